@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, license, lm, mixing, neardup, quality, sharding, substring
+from . import decontam, license, lm, media, mixing, neardup, quality, sharding, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("doc").cast("long").alias("doc_id"), "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.sniff(media.store(_table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -43,6 +47,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_index(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "at", "length")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -52,16 +60,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
+        "op2_media": op2_media,
         "op3_lm_scoring": op3_lm_scoring,
         "op4_decontamination": op4_decontamination,
         "op5_quality": op5_quality,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_near_dedup": op7_near_dedup,
+        "op8_warc": op8_warc,
         "op9_license_scan": op9_license_scan,
         "op10_sharding": op10_sharding,
+        "pipeline": pipeline,
     }
 
 
