@@ -1,0 +1,173 @@
+"""Systems of equations and their simulation."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+from functools import lru_cache
+
+import numpy as np
+
+from ..operators.library import monomials, spectral_derivative, wavenumbers
+
+
+@dataclass(frozen=True)
+class System:
+    """kind 'ode' (state is a vector) or 'pde' (state is a periodic field of length `length`)."""
+
+    name: str
+    kind: str
+    rhs: object = field(compare=False)
+    x0: np.ndarray = field(compare=False)
+    t_span: tuple
+    truth: np.ndarray = field(compare=False)
+    variables: tuple = ()
+    length: float = 2 * np.pi
+    rank: int = 8
+
+
+def _truth(variables: tuple, *terms: tuple[str, int, float]) -> np.ndarray:
+    names = ["*".join(t) if t else "1" for t in monomials(list(variables), 3)]
+    xi = np.zeros((len(names), len(variables)))
+    for name, equation, value in terms:
+        xi[names.index(name), equation] = value
+    return xi
+
+
+def lorenz(sigma: float = 10.0, rho: float = 28.0, beta: float = 8.0 / 3.0) -> System:
+    def rhs(t, s):
+        x, y, z = s
+        return np.array([sigma * (y - x), x * (rho - z) - y, x * y - beta * z])
+
+    truth = _truth(("x", "y", "z"), ("x", 0, -sigma), ("y", 0, sigma), ("x", 1, rho), ("y", 1, -1.0), ("x*z", 1, -1.0), ("z", 2, -beta), ("x*y", 2, 1.0))
+    return System("lorenz63", "ode", rhs, np.array([-8.0, 7.0, 27.0]), (0.0, 10.0), truth, ("x", "y", "z"))
+
+
+def van_der_pol(mu: float = 2.0) -> System:
+    def rhs(t, s):
+        x, y = s
+        return np.array([y, mu * (1 - x * x) * y - x])
+
+    truth = _truth(("x", "y"), ("y", 0, 1.0), ("x", 1, -1.0), ("y", 1, mu), ("x*x*y", 1, -mu))
+    return System("vanderpol_mu2", "ode", rhs, np.array([2.0, 0.0]), (0.0, 20.0), truth, ("x", "y"))
+
+
+def _grid(n: int, length: float) -> np.ndarray:
+    return np.linspace(0, length, n, endpoint=False)
+
+
+def burgers(n: int = 64, length: float = 2 * np.pi, nu: float = 0.05, t_end: float = 2.0) -> System:
+    def rhs(t, u):
+        return -u * spectral_derivative(u, length, 1) + nu * spectral_derivative(u, length, 2)
+
+    x = _grid(n, length)
+    return System("burgers", "pde", rhs, np.sin(x) + 0.5 * np.sin(2 * x + 0.2), (0.0, t_end), np.array([0, 0, 0, 0, -1.0, 0, nu, 0]), (), length)
+
+
+def fisher_kpp(n: int = 64, length: float = 2 * np.pi, diffusion: float = 0.03, rate: float = 1.0, t_end: float = 2.0, start: str = "default") -> System:
+    x = _grid(n, length)
+    if start == "front":
+        u0 = 0.5 * (np.tanh((x - 0.25 * length) / 0.3) - np.tanh((x - 0.75 * length) / 0.3))
+    elif start == "rich":
+        u0 = 0.4 + 0.2 * np.sin(x) + 0.15 * np.cos(2 * x + 0.4) + 0.1 * np.sin(3 * x + 0.9)
+    else:
+        u0 = 0.35 + 0.25 * np.sin(x) + 0.1 * np.cos(2 * x)
+
+    def rhs(t, u):
+        return diffusion * spectral_derivative(u, length, 2) + rate * u * (1 - u)
+
+    return System("fisher_kpp" if start == "default" else f"fisher_kpp_{start}", "pde", rhs, np.maximum(u0, 0.02), (0.0, t_end), np.array([0, rate, -rate, 0, 0, 0, diffusion, 0]), (), length)
+
+
+def advection_diffusion(n: int = 64, length: float = 2 * np.pi, speed: float = 1.0, nu: float = 0.02, t_end: float = 2.0) -> System:
+    def rhs(t, u):
+        return -speed * spectral_derivative(u, length, 1) + nu * spectral_derivative(u, length, 2)
+
+    x = _grid(n, length)
+    return System("advection_diffusion", "pde", rhs, np.sin(x) + 0.5 * np.sin(2 * x + 0.2), (0.0, t_end), np.array([0, 0, 0, -speed, 0, 0, nu, 0]), (), length)
+
+
+SYSTEMS = {"lorenz63": lorenz, "vanderpol_mu2": van_der_pol, "burgers": burgers, "fisher_kpp": fisher_kpp, "fisher_kpp_front": lambda: fisher_kpp(start="front"), "fisher_kpp_rich": lambda: fisher_kpp(start="rich"), "advection_diffusion": advection_diffusion}
+
+
+def system(name: str) -> System:
+    if name not in SYSTEMS:
+        raise ValueError(f"unknown system {name}; known: {', '.join(sorted(SYSTEMS))}")
+    return SYSTEMS[name]()
+
+
+# The Dormand-Prince coefficients of order 5 and 4.
+_C = np.array([0, 1 / 5, 3 / 10, 4 / 5, 8 / 9, 1, 1])
+_A = [
+    [],
+    [1 / 5],
+    [3 / 40, 9 / 40],
+    [44 / 45, -56 / 15, 32 / 9],
+    [19372 / 6561, -25360 / 2187, 64448 / 6561, -212 / 729],
+    [9017 / 3168, -355 / 33, 46732 / 5247, 49 / 176, -5103 / 18656],
+    [35 / 384, 0, 500 / 1113, 125 / 192, -2187 / 6784, 11 / 84],
+]
+_B5 = np.array([35 / 384, 0, 500 / 1113, 125 / 192, -2187 / 6784, 11 / 84, 0])
+_B4 = np.array([5179 / 57600, 0, 7571 / 16695, 393 / 640, -92097 / 339200, 187 / 2100, 1 / 40])
+
+
+def integrate(rhs, x0: np.ndarray, times: np.ndarray, rtol: float = 1e-10, atol: float = 1e-12, max_steps: int = 200_000) -> np.ndarray:
+    """States at the given times by an adaptive embedded Runge-Kutta method that steps exactly onto each time."""
+    x, t = np.asarray(x0, float).copy(), float(times[0])
+    out = [x.copy()]
+    k1 = rhs(t, x)
+    h = 0.01 * (1 + np.abs(x).max()) / (1 + np.abs(k1).max())
+    steps = 0
+    for target in times[1:]:
+        while t < target - 1e-14 * max(1.0, abs(target)):
+            steps += 1
+            if steps > max_steps:
+                raise RuntimeError("integration needs too many steps")
+            h_now = min(h, target - t)
+            ks = [k1]
+            for i in range(1, 7):
+                ks.append(rhs(t + _C[i] * h_now, x + h_now * sum(a * k for a, k in zip(_A[i], ks))))
+            k = np.array(ks)
+            new = x + h_now * np.tensordot(_B5, k, 1)
+            err = h_now * np.tensordot(_B5 - _B4, k, 1)
+            size = np.sqrt(np.mean((err / (atol + rtol * np.maximum(np.abs(x), np.abs(new)))) ** 2))
+            if size <= 1:
+                t, x, k1 = t + h_now, new, ks[6]
+            grow = min(5.0, max(0.2, 0.9 * (size + 1e-16) ** -0.2))
+            h = h_now * grow if size > 1 or h_now == h else max(h, h_now * grow)
+        t = float(target)
+        out.append(x.copy())
+    return np.array(out)
+
+
+@lru_cache(16)
+def trajectory(name: str, dt: float) -> tuple[np.ndarray, np.ndarray]:
+    """(times, states) of a known system, kept for the worker's next tasks."""
+    s = system(name)
+    t = np.arange(s.t_span[0], s.t_span[1] + dt / 2, dt)
+    tight = (1e-10, 1e-12) if s.kind == "ode" else (1e-8, 1e-10)
+    return t, integrate(s.rhs, s.x0, t, *tight)
+
+
+def add_noise(x: np.ndarray, rel: float, rng: np.random.Generator, kind: str) -> np.ndarray:
+    """Gaussian noise: a deviation for each channel of an ODE, one for a whole field."""
+    if rel <= 0:
+        return x.copy()
+    if kind == "pde":
+        return x + rng.normal(0.0, rel * max(x.std(), 1e-12), x.shape)
+    s = x.std(axis=0, ddof=1)
+    sigma = rel * np.where(s < 1e-12, max(s.max(), 1e-12), s)
+    return x + rng.normal(0.0, 1.0, x.shape) * sigma
+
+
+def pde_terms(u: np.ndarray, length: float) -> np.ndarray:
+    """The eight library terms at all points, rows in time-major order."""
+    ux, uxx = spectral_derivative(u, length, 1), spectral_derivative(u, length, 2)
+    return np.stack([np.ones_like(u), u, u * u, ux, u * ux, u * u * ux, uxx, u * uxx], -1).reshape(-1, 8)
+
+
+def ode_terms(x: np.ndarray, degree: int = 3) -> np.ndarray:
+    names = [str(i) for i in range(x.shape[1])]
+    return np.stack([np.prod([x[:, int(c)] for c in term], axis=0) if term else np.ones(len(x)) for term in monomials(names, degree)], 1)
+
+
+__all__ = ["System", "system", "SYSTEMS", "integrate", "trajectory", "add_noise", "pde_terms", "ode_terms", "wavenumbers"]

@@ -1,0 +1,164 @@
+"""Queries whose core is numerical: no SQL form, tests compare them with analytic results."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..functions import reconstruct as C
+from ..functions import smoothing as S
+from ..functions import spectral as P
+from ..operators import library as L
+from ..operators import records as X
+from ..operators import reporting as R
+from . import grid
+from .inputs import daily, table
+
+QUERIES, SQL = {}, {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def k_spectral_derivative(spark, sf_dir):
+    d = L.with_spectral_derivative(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 2 * np.pi, 1, "embedding")
+    return d.select("vec_id", F.posexplode("derivative").alias("i", "d")).select("vec_id", "i", F.round("d", 6).alias("d"))
+
+
+@query
+def k_pde_library(spark, sf_dir):
+    lib = L.pde_library(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 2 * np.pi, ["vec_id"], "embedding")
+    return lib.select("vec_id", "j", *[F.round(f"f{i}", 6).alias(f"f{i}") for i in range(8)])
+
+
+def _per_series(df, f, schema: str):
+    """f(times, values [n, 1]) of each series; a series is bounded by the days it covers."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("t")
+        out = f(part["t"].to_numpy(), part[["x"]].to_numpy(float))
+        return out.assign(event_type=part["event_type"].iloc[0])
+
+    return df.groupBy("event_type").applyInPandas(run, schema)
+
+
+DENSE = "event_type string, t double, x double"
+
+
+def _dense(method):
+    def f(t, y):
+        new_t, states = C.reconstruct(method, y, t, 4, "ode", 1, np.random.default_rng(7))
+        return pd.DataFrame({"t": np.round(new_t, 6), "x": np.round(states[:, 0], 6)})
+
+    return f
+
+
+def _reconstruction(name, method):
+    def run(spark, sf_dir):
+        return _per_series(daily(spark, sf_dir), _dense(method), DENSE)
+
+    run.__name__ = name
+    QUERIES[name] = run
+
+
+for _name, _method in (("k_linear", "linear"), ("k_spline_cv", "spline"), ("k_gp_cv", "gp"), ("k_edmd_poly", "edmd_poly"), ("k_edmd_rbf", "edmd_rbf"), ("k_hankel_dmd", "hankel_dmd"), ("k_tv_cv", "tv")):
+    _reconstruction(_name, _method)
+
+
+@query
+def k_tv_smooth(spark, sf_dir):
+    def f(t, y):
+        z, info = S.smooth_tv((y - y.mean()) / max(y.std(), 1e-12), t, 0.05)
+        return pd.DataFrame({"t": t, "x": np.round(z[:, 0], 4)})
+
+    return _per_series(daily(spark, sf_dir), f, DENSE)
+
+
+@query
+def k_fractional_power(spark, sf_dir):
+    """Half and third powers of each label's mean outer structure: a 4 x 4 positive matrix for each label."""
+    e = table(spark, sf_dir, "embeddings")
+    pairs = [(i, j) for i in range(4) for j in range(4)]
+    sums = e.groupBy("label").agg(*[F.avg(F.col("embedding")[i].cast("double") * F.col("embedding")[j].cast("double")).alias(f"m{i}{j}") for i, j in pairs])
+
+    def run(parts):
+        for part in parts:
+            out = []
+            for r in part.to_dict("records"):
+                evolve = P.FractionalEvolution(np.array([[r[f"m{i}{j}"] for j in range(4)] for i in range(4)]) + np.eye(4))
+                for f in (0.5, 1 / 3):
+                    m = evolve.power(f)
+                    out += [(r["label"], round(f, 6), i, j, round(float(m[i, j].real), 6)) for i in range(4) for j in range(4)]
+            yield pd.DataFrame(out, columns=["label", "fraction", "i", "j", "value"])
+
+    return sums.mapInPandas(run, "label int, fraction double, i int, j int, value double")
+
+
+@query
+def pod_project(spark, sf_dir):
+    """Coordinates of all embeddings on the three leading modes: the covariance is one aggregate, its modes a small solve, and the
+    projection a native expression."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = len(e.first()["embedding"])
+    long = e.select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    mean = [r["m"] for r in long.groupBy("i").agg(F.avg(F.col("v").cast("double")).alias("m")).orderBy("i").collect()]
+    c = [F.col("embedding")[i].cast("double") - mean[i] for i in range(n)]
+    centred = e.select("vec_id", F.array(*c).alias("c"))
+    cov = np.zeros((n, n))
+    cells = centred.select(F.posexplode("c").alias("i", "a"), "c").select("i", F.posexplode(F.transform("c", lambda x: x * F.col("a"))).alias("j", "p"))
+    for r in cells.groupBy("i", "j").agg(F.sum("p").alias("s")).collect():
+        cov[r["i"], r["j"]] = r["s"]
+    _, vectors = np.linalg.eigh((cov + cov.T) / 2)
+    modes = vectors[:, ::-1][:, :3]
+    modes = modes * np.sign(modes[np.abs(modes).argmax(0), range(3)])
+    dots = [F.round(F.aggregate(F.zip_with("c", F.array(*[F.lit(float(v)) for v in m]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v), 6).alias(f"z{k}") for k, m in enumerate(modes.T)]
+    return centred.select("vec_id", *dots)
+
+
+@query
+def k_simulate(spark, sf_dir):
+    """Trajectories of the known systems on a coarse grid, a task for each."""
+    names = sorted(grid.dynamics.SYSTEMS)
+
+    def run(parts):
+        for part in parts:
+            for name in part["system"]:
+                t, x = grid.dynamics.trajectory(name, 0.1)
+                step = 1 if x.shape[1] <= 3 else x.shape[1] // 8
+                rows = [(name, round(float(a), 6), j, round(float(v), 4)) for a, row in zip(t, x) for j, v in enumerate(row[::step])]
+                yield pd.DataFrame(rows, columns=["system", "t", "component", "value"])
+
+    return X.parameter_grid(spark, system=names).repartition(len(names), "system").mapInPandas(run, "system string, t double, component int, value double")
+
+
+def _tasks(spark, systems, methods, strategies=("local_reset",), factors=(8,), noises=(0.01, 0.05), seeds=(0, 1)):
+    g = X.parameter_grid(spark, system=list(systems), sparse_factor=list(factors), noise=list(noises), seed=list(seeds), method=list(methods), strategy=list(strategies))
+    return g
+
+
+def _summary(records):
+    s = R.core_summary(records.where("status = 'ok'"), ["system", "method", "strategy"])
+    return s.select("system", "method", "strategy", *[F.round(c, 3).alias(c) for c in ("mean_f1", "median_error", "mean_score")], "n")
+
+
+@query
+def grid_ode(spark, sf_dir):
+    return _summary(grid.run_grid(_tasks(spark, ["vanderpol_mu2"], ["raw", "linear", "edmd_poly", "edmd_rbf", "tv"]), 0.02))
+
+
+@query
+def grid_pde(spark, sf_dir):
+    return _summary(grid.run_grid(_tasks(spark, ["burgers", "advection_diffusion"], ["raw", "pod_only", "pod_edmd_rbf", "optdmd"], factors=(5,)), 0.02))
+
+
+@query
+def grid_strategies(spark, sf_dir):
+    return _summary(grid.run_grid(_tasks(spark, ["vanderpol_mu2"], ["edmd_poly"], ["local_reset", "global_rollout", "residual_corrected", "two_sided"]), 0.02))
+
+
+@query
+def grid_weak(spark, sf_dir):
+    return _summary(grid.run_grid(_tasks(spark, ["vanderpol_mu2", "burgers"], ["raw", "linear"], factors=(4,)), 0.02, form="weak"))
