@@ -1,0 +1,162 @@
+import numpy as np
+import pytest
+
+from tidewell.functions import dynamics, reconstruct, smoothing, spectral, weak
+from tidewell.operators import library, regression, selection
+
+
+@pytest.mark.parametrize("matrix", [[[-1.0]], spectral.expm(0.3 * np.array([[0, -2.0], [2, 0]])), [[1.0, 1], [0, 1]], [[2.0, 1], [0.5, 3]]])
+def test_fractional_powers_compose(matrix):
+    m = np.array(matrix)
+    e = spectral.FractionalEvolution(m)
+    assert np.allclose(e.power(0.5) @ e.power(0.5), m, atol=1e-9)
+    assert np.allclose(e.power(1 / 3) @ e.power(2 / 3), m, atol=1e-9)
+    assert np.allclose(e.power(2), m @ m)
+
+
+def test_fractional_power_edges():
+    assert spectral.FractionalEvolution(np.diag([0.0, 0.9])).floored == 1
+    with pytest.raises(FloatingPointError):
+        spectral.FractionalEvolution(np.array([[np.nan]]))
+    with pytest.raises(ValueError):
+        spectral.FractionalEvolution(np.ones((2, 3)))
+
+
+def test_spectral_derivative():
+    x = np.linspace(0, 2 * np.pi, 64, endpoint=False)
+    assert np.allclose(library.spectral_derivative(np.sin(x), 2 * np.pi, 1), np.cos(x), atol=1e-12)
+    assert np.allclose(library.spectral_derivative(np.sin(3 * x), 2 * np.pi, 2), -9 * np.sin(3 * x), atol=1e-10)
+
+
+def test_integration():
+    t = np.linspace(0, 5, 11)
+    x = dynamics.integrate(lambda t, s: np.array([s[1], -s[0]]), np.array([1.0, 0.0]), t)
+    assert np.allclose(x[:, 0], np.cos(t), atol=1e-8)
+
+
+def test_stlsq_recovers_lorenz():
+    t, x = dynamics.trajectory("lorenz63", 0.01)
+    d = (x[2:] - x[:-2]) / (t[2:] - t[:-2])[:, None]
+    best = regression.best_fit(dynamics.ode_terms(x[1:-1]), d, dynamics.lorenz().truth, [0.1, 0.2, 0.5])
+    assert best["support_f1"] == 1.0 and best["coef_error"] < 0.05
+
+
+def test_stlsq_gram_equals_direct():
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=(200, 5))
+    y = a @ np.array([[1.0], [0], [-2], [0.01], [0]]) + 0.001 * rng.normal(size=(200, 1))
+    xi = regression.stlsq(a, y, 0.1)
+    assert np.allclose(xi[[0, 2], 0], [1, -2], atol=0.01) and not xi[[1, 3, 4]].any()
+
+
+def test_pde_terms_recover_burgers():
+    t, u = dynamics.trajectory("burgers", 0.01)
+    d = (u[2:] - u[:-2]) / (t[2:] - t[:-2])[:, None]
+    best = regression.best_fit(dynamics.pde_terms(u[1:-1], 2 * np.pi), d.reshape(-1), dynamics.burgers().truth, [0.01, 0.02, 0.05])
+    assert best["exact_support"] and best["coef_error"] < 0.02
+
+
+def test_splines():
+    t = np.array([-2, -1.6, -0.8, -0.45, 0.2, 0.7, 1.3, 2.0])
+    line = np.stack([2 * t + 1], 1)
+    x = np.linspace(-2, 2, 30)
+    assert np.allclose(smoothing.natural_spline(t, line, x)[:, 0], 2 * x + 1)
+    assert np.allclose(smoothing.smoothing_spline(t, line + 0.0, x, 0.1)[:, 0], 2 * x + 1)
+    y = np.sin(3 * t)[:, None]
+    rough = smoothing.smoothing_spline(t, y, t, 0.3)
+    assert ((rough - y) ** 2).sum() <= 0.3 * len(t) * y.var() * 1.001
+    assert np.allclose(smoothing.natural_spline(t, y, t), y)
+
+
+def test_tv_certificate_and_limits():
+    rng = np.random.default_rng(1)
+    t = np.linspace(0, 1, 51)
+    y = np.abs(t - 0.5)[:, None] + 0.01 * rng.normal(size=(51, 3))
+    z, info = smoothing.smooth_tv(y, t, 1e-3, tol=1e-5)
+    assert info["converged"] and info["max_relative_gap"] <= 1e-5
+    far, _ = smoothing.smooth_tv(y, t, 1e4, tol=1e-4)
+    assert np.abs(smoothing.slope_differences(t) @ far).max() < 1e-3
+    mask = np.arange(51) % 3 != 1
+    kept, _ = smoothing.smooth_tv(np.where(mask[:, None], y, np.nan), t, 0.0, mask)
+    assert np.allclose(kept[mask], y[mask]) and np.isfinite(kept).all()
+    held, info = smoothing.smooth_tv(np.where(mask[:, None], y, 0), t, 1e-3, mask, tol=1e-3)
+    assert info["converged"] and np.abs(held - y).max() < 0.2
+
+
+def test_weak_weights_are_exact():
+    g = np.array([-2, -1.6, -0.8, -0.45, 0.2, 0.7, 1.3, 2.0])
+    fine = np.linspace(-2, 2, 400_001)
+    for d in (0, 1):
+        w = weak.integral_weights(g, 0.1, 1.7, d)
+        f = np.interp(fine, g, np.cos(2 * g))
+        s = (fine - 0.1) / 1.7
+        psi = np.where(np.abs(s) < 1, (1 - s**2) ** 4 if d == 0 else -8 * s * (1 - s**2) ** 3 / 1.7, 0)
+        assert abs(w @ np.cos(2 * g) - np.trapezoid(f * psi, fine)) < 1e-6
+
+
+def test_weak_form_recovers_van_der_pol():
+    t, x = dynamics.trajectory("vanderpol_mu2", 0.02)
+    theta, target = weak.ode_weak(x, t)
+    best = regression.best_fit(theta, target, dynamics.van_der_pol().truth, [0.05, 0.1, 0.2])
+    assert best["exact_support"] and best["coef_error"] < 0.05
+
+
+def test_pod():
+    rng = np.random.default_rng(2)
+    u = rng.normal(size=(30, 3)) @ rng.normal(size=(3, 20)) + 5
+    mean, modes, z = spectral.pod_fit(u, 3)
+    assert np.allclose(spectral.pod_reconstruct(mean, modes, z), u)
+    assert spectral.energy_rank(u, 0.9999999, 9) == 3 and spectral.energy_rank(np.ones((5, 4)), 0.9, 3) == 1
+
+
+def test_optimized_dmd_and_strategies():
+    t = np.linspace(0, 4, 21)
+    z = np.stack([np.exp(-0.3 * t) * np.cos(2 * t), np.exp(-0.3 * t) * np.sin(2 * t)], 1)
+    new = np.linspace(0, 4, 81)
+    want = np.stack([np.exp(-0.3 * new) * np.cos(2 * new), np.exp(-0.3 * new) * np.sin(2 * new)], 1)
+    assert np.abs(spectral.optimized_dmd(z, t, new, 2) - want).max() < 1e-6
+    for name, strategy in reconstruct.STRATEGIES.items():
+        k = spectral.evolution(z, np.ones(20, bool), 1e-12)
+        assert np.abs(strategy(k, z, t, new, np.arange(2), 0.2) - want).max() < 1e-3, name
+    for method in ("dmd", "fb_dmd", "tls_dmd", "hankel_dmd", "edmd_poly", "spline", "gp", "linear"):
+        got_t, got = reconstruct.reconstruct(method, z, t, 4, "ode", 2, np.random.default_rng(0))
+        assert got.shape == (len(got_t), 2) and np.isfinite(got).all(), method
+
+
+def test_rank_cv_and_folds():
+    t, u = dynamics.trajectory("advection_diffusion", 0.1)
+    assert reconstruct.rank_cv(u, t, "optdmd", [1, 4, 6], np.random.default_rng(0)) in (4, 6)
+    assert smoothing.interior_folds(5, 3) == []
+    assert sorted(np.concatenate(smoothing.interior_folds(10, 4))) == list(range(1, 9))
+
+
+def test_kneedle():
+    x = np.arange(1, 11.0)
+    assert selection.kneedle(x, 1 - np.exp(-x)) in (2.0, 3.0)
+    assert selection.kneedle(x[:2], x[:2]) is None
+
+
+def test_grid_failures_are_rows(spark, tmp_path):
+    from tidewell.operators.records import parameter_grid
+    from tidewell.plans import grid
+
+    tasks = parameter_grid(spark, system=["vanderpol_mu2", "nowhere"], sparse_factor=[8], noise=[0.01], seed=[0], method=["raw", "linear"], strategy=["local_reset"])
+    path = str(tmp_path / "records")
+    rows = grid.resume_grid(tasks, path, dt=0.05).collect()
+    assert len(rows) == 4 and sum(r.status.startswith("fail: ValueError") for r in rows) == 2
+    assert grid.resume_grid(tasks, path, dt=0.05).count() == 4
+    assert grid.coefficients(spark.read.parquet(path)).count() == 2 * 20
+    one = {r.observation_sha256 for r in rows if r.status == "ok"}
+    assert len(one) == 1  # all methods see the same draw
+
+
+def test_files(spark, tmp_path):
+    from tidewell.sources import files
+
+    df = spark.createDataFrame([("a", 1, 0.5), ("b", 2, float("nan"))], "system string, seed int, noise double")
+    files.write_csv(df, str(tmp_path / "c"))
+    back = files.read_csv(spark, str(tmp_path / "c"))
+    assert back.count() == 2 and back.where("method IS NULL").count() == 2
+    assert files.archive(df, str(tmp_path / "p")) and not files.archive(df, str(tmp_path / "p"))
+    assert files.table_hash(df) == files.table_hash(df.repartition(3)) and "content" in files.manifest(df)
+    assert files.to_markdown(df).count("\n") == 3

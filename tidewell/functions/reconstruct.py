@@ -112,7 +112,9 @@ def pod_bagged_optdmd(u, t, t_new, rank: int, rng, bags: int = 7) -> np.ndarray:
 
 def log_reset(a: np.ndarray, x: np.ndarray, t: np.ndarray, t_new: np.ndarray) -> np.ndarray:
     dt = float(np.median(np.diff(t)))
-    rate = P.logm(a).real / dt
+    lam, v = np.linalg.eig(a.astype(complex))
+    lam = np.where(np.abs(lam) < 1e-12, 1e-12, lam)  # directions that vanish at once
+    rate = ((v * np.log(lam)) @ np.linalg.pinv(v)).real / dt if np.linalg.cond(v) < 1e8 else P.logm(a).real / dt
     half = 0.5 * (t_new[1] - t_new[0]) if len(t_new) > 1 else 0.0
     at = np.clip(np.searchsorted(t, t_new + half, side="right") - 1, 0, len(t) - 1)
     out, memo = np.empty((len(t_new), x.shape[1])), {}

@@ -37,11 +37,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = o.join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "o_orderpriority", "r_name")
     j = li.select("l_orderkey", "l_returnflag", "l_discount", "l_linenumber", "l_quantity", "l_extendedprice").join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
     g = j.groupBy(F.col("r_name").alias("system"), F.col("l_returnflag").alias("method"), F.col("o_orderpriority").alias("setting"), F.col("l_discount").alias("noise"), F.col("l_linenumber").alias("seed"))
-    g = g.agg(F.round(F.avg("l_quantity") / 50, 12).alias("support_f1"), F.round(F.avg("l_extendedprice") / 100000, 12).alias("coef_error"), F.count("*").alias("items"))
+    g = g.agg(F.round(F.avg("l_quantity") / 50, 12).alias("support_f1"), F.round(F.sqrt(F.avg("l_extendedprice")) / 300, 12).alias("coef_error"), F.count("*").alias("items"))
     return g.withColumn("practical_score", F.col("support_f1") / (1 + F.col("coef_error"))).withColumn("status", F.when(F.col("items") > 1, "ok").otherwise("fail: short"))
 
 
 RECORDS = """rec0 AS (SELECT r_name AS system, l_returnflag AS method, o_orderpriority AS setting, l_discount AS noise, l_linenumber AS seed,
- round(avg(l_quantity) / 50, 12) AS support_f1, round(avg(l_extendedprice) / 100000, 12) AS coef_error, count(*) AS items
+ round(avg(l_quantity) / 50, 12) AS support_f1, round(sqrt(avg(l_extendedprice)) / 300, 12) AS coef_error, count(*) AS items
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
 rec AS (SELECT *, support_f1 / (1 + coef_error) AS practical_score, CASE WHEN items > 1 THEN 'ok' ELSE 'fail: short' END AS status FROM rec0)"""
