@@ -228,3 +228,33 @@ def flt_conjunction(spark, sf_dir):
     r = records(spark, sf_dir).where(R.finite("support_f1", "coef_error"))
     r = r.where((F.col("status") == "ok") & F.col("support_f1").between(0.2, 0.8) & F.col("setting").contains("URGENT") & F.col("method").isin("A", "R"))
     return r.groupBy("system", "method").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {RECORDS}, {GRID}, ok AS (SELECT system, method, seed, count(*) AS n_ok, avg(practical_score) AS m FROM rec WHERE status = 'ok' GROUP BY ALL)
+SELECT gr.system, gr.method, gr.seed::INT AS seed, coalesce(n_ok, 0) AS n_ok, round(m, 6) AS mean_score FROM gr LEFT JOIN ok ON ok.system = gr.system AND ok.method = gr.method AND ok.seed = gr.seed""")
+def rpt_planned_counts(spark, sf_dir):
+    ok = records(spark, sf_dir).where("status = 'ok'").groupBy("system", "method", "seed").agg(F.count("*").alias("n_ok"), F.avg("practical_score").alias("mean_score"))
+    out = set_param_grid(spark, sf_dir).join(ok, ["system", "method", "seed"], "left")
+    return rounded(out.withColumn("n_ok", F.coalesce("n_ok", F.lit(0)).cast("long")))
+
+
+@query(f"""WITH {RECORDS} SELECT system, method, round(min(coef_error), 6) AS lowest, round(max(coef_error), 6) AS highest, round(arg_min(practical_score, setting || '/' || noise::DECIMAL(4,2)::VARCHAR || '/' || seed::VARCHAR), 6) AS first_score, sum(items)::BIGINT AS items FROM rec GROUP BY ALL""")
+def rpt_first_by_order(spark, sf_dir):
+    order = F.concat_ws("/", "setting", F.col("noise").cast("decimal(4,2)").cast("string"), F.col("seed").cast("string"))
+    g = records(spark, sf_dir).groupBy("system", "method")
+    return rounded(g.agg(F.min("coef_error").alias("lowest"), F.max("coef_error").alias("highest"), F.min_by("practical_score", order).alias("first_score"), F.sum("items").alias("items")))
+
+
+@query(f"""WITH {RECORDS} SELECT system, method, sum(CASE WHEN items = 3 THEN 1 ELSE 0 END)::BIGINT AS exact_size, sum(CASE WHEN items = 3 AND support_f1 > 0.5 THEN 1 ELSE 0 END)::BIGINT AS exact_support, count(*) AS n FROM rec GROUP BY ALL""")
+def rpt_selection_counts(spark, sf_dir):
+    size, support = F.col("items") == 3, (F.col("items") == 3) & (F.col("support_f1") > 0.5)
+    return records(spark, sf_dir).groupBy("system", "method").agg(F.sum(size.cast("int")).alias("exact_size"), F.sum(support.cast("int")).alias("exact_support"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {RECORDS}, k AS (SELECT system, setting, noise, seed FROM rec GROUP BY ALL HAVING count(DISTINCT method) = 3), p AS (SELECT a.system, a.seed, a.method, a.coef_error - b.coef_error AS d FROM rec a JOIN rec b USING (system, setting, noise, seed) SEMI JOIN k USING (system, setting, noise, seed) WHERE a.method != 'N' AND b.method = 'N'),
+c AS (SELECT method, seed, sum(d) AS s, count(d) AS c FROM p GROUP BY ALL), m AS (SELECT *, sum(s) OVER (PARTITION BY method) / sum(c) OVER (PARTITION BY method) AS mean FROM c)
+SELECT method, round(any_value(mean), 6) AS mean, round(CASE WHEN count(*) > 1 THEN sqrt(count(*)::DOUBLE / (count(*) - 1) * sum(pow(s - c * mean, 2))) / sum(c) END, 6) AS clustered_se, count(*) AS clusters, sum(c)::BIGINT AS n FROM m GROUP BY method""")
+def rpt_matched_controls(spark, sf_dir):
+    matched = X.common_keys(records(spark, sf_dir), KEYS, "method", ["A", "N", "R"])
+    pairs = R.paired(matched, KEYS, "method", "N", ["coef_error"])
+    return rounded(R.clustered_se(pairs.withColumn("delta", F.col("coef_error") - F.col("coef_error_base")), ["method"], "seed", "delta"))

@@ -1 +1 @@
-
+"""The reference has no unbounded input, so there is nothing here: grids are resumed in batches (``plans.grid``)."""
