@@ -160,3 +160,13 @@ def test_files(spark, tmp_path):
     assert files.archive(df, str(tmp_path / "p")) and not files.archive(df, str(tmp_path / "p"))
     assert files.table_hash(df) == files.table_hash(df.repartition(3)) and "content" in files.manifest(df)
     assert files.to_markdown(df).count("\n") == 3
+
+
+def test_gram_forms_agree(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(500).select((F.col("id") % 3).alias("k"), *[F.sin(F.col("id") * (i + 1)).alias(f"f{i}") for i in range(4)]).withColumn("y", 2 * F.col("f1") - F.col("f3"))
+    names = [f"f{i}" for i in range(4)]
+    paths = [regression.stlsq_path(g(df, names, ["y"], ["k"]), names, ["y"], [0.1], ["k"]).orderBy("k", "term").collect() for g in (regression.gram, regression.gram_arrays)]
+    assert [(r.k, r.n) for r in paths[0]] == [(r.k, r.n) for r in paths[1]]
+    assert np.allclose([r.coef for r in paths[0]], [r.coef for r in paths[1]]) and np.allclose([r.coef for r in paths[0]][:4], [0, 2, 0, -1], atol=1e-6)

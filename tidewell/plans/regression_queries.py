@@ -103,7 +103,7 @@ def _path(spark, sf_dir):
     """Threshold paths of price on all cubic terms of quantity, discount and tax, a group for each return flag."""
     features = [f"f{i}" for i in range(len(_TERMS))]
     lib = L.polynomial_library(_items(spark, sf_dir), ["q", "d", "v"], 3, ["l_returnflag", "y"])
-    g = G.gram(lib, features, ["y"], ["l_returnflag"])
+    g = G.gram_arrays(lib, features, ["y"], ["l_returnflag"])
     return G.stlsq_path(g, features, ["y"], [0.0, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0], ["l_returnflag"])
 
 
