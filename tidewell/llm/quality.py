@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, in_slices, mix64, span_hashes, text_buffers, word_spans
+from .common import U64, in_slices, mix64, span_hashes, stored, text_buffers, word_spans
 
-FEATURE_BITS, SAMPLE_ROWS, EPOCHS, COST = 17, 12_000, 8, 1.0
+FEATURE_BITS, SAMPLE_ROWS, EPOCHS, COST = 17, 6_000, 8, 1.0
 SIZE = 1 << FEATURE_BITS
 THRESHOLD = 0.7
 
@@ -92,8 +92,9 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _sampled_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in in_slices(batches, "text", 1 << 20):
         slots, first = features(batch.column("text"))
-        lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(slots.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("order"), lists], ["label", "order", "slots"])
+        slots = slots.astype(np.int32)
+        packed = pa.array([slots[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("order"), packed], ["label", "order", "slots"])
 
 
 def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -138,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The model: weights (float32, a slot each), bias, a and b of the curve."""
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
     rows = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(marks, F.col("__doc") == F.col("__id"))
+    rows = stored(rows.select("__doc", "label", "text"), "quality-labelled")
     counts = rows.select("label", "text").mapInArrow(_class_counts, "label int, slot int, n long").groupBy("label", "slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * SIZE + 2 rows
     table, n = np.zeros((2, SIZE)), np.zeros(2)
     for c in (0, 1):
@@ -156,9 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = F.xxhash64(F.lit(seed), "__doc")
     share = min(1.0, 1.1 * sample_rows / n.sum())
     picked = rows.where(F.pmod(order, F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("label", order.alias("order"), "text")
-    sample = picked.mapInArrow(_sampled_features, "label int, order long, slots array<int>").orderBy("order").limit(sample_rows).toArrow()
-    texts = [np.asarray(x.values) for x in sample.column("slots")]
-    y = np.where(np.asarray(sample.column("label")) == 1, 1.0, -1.0)
+    sample = picked.mapInArrow(_sampled_features, "label int, order long, slots binary").toPandas().sort_values("order").head(sample_rows)
+    texts = [np.frombuffer(x, np.int32) for x in sample["slots"]]
+    y = np.where(sample["label"] == 1, 1.0, -1.0)
     held = np.arange(len(y)) % 5 == 4
     scale = ratio / np.sqrt(np.mean([float((ratio[t] ** 2).sum()) for t in texts]) + 1e-12)
     train = np.flatnonzero(~held)

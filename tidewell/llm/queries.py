@@ -48,7 +48,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.capture_index(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "at", "length")
+    return warc.capture_index(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +82,24 @@ def queries() -> dict:
     }
 
 
+#: The SQL of those that SQL can express; tests/llm compares the others with brute force.
+SQL = {
+    "op6_substring_dedup": r"""
+        WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        p AS (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35),
+        h AS (SELECT r, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS h FROM p),
+        rep AS (SELECT r, i FROM h QUALIFY count(*) OVER (PARTITION BY h) > 1),
+        cov AS (SELECT DISTINCT r, i + k AS j FROM rep, range(35) t(k)),
+        x AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
+        kept AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM x ANTI JOIN cov USING (r, j) GROUP BY r)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+        g AS (SELECT html, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY html)
+        SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN first != page_id THEN first END AS refers_to FROM p LEFT JOIN g USING (html)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from .common import U64, chunk_count, mix64, powers, span_hashes, text_buffers, word_spans
 
 WINDOW, ROUNDS, RUN_ROUNDS = 35, 6, 2
+#: Text of a chunk, which a task holds as a whole.
+CHUNK_BYTES = 16 << 20
 _RUN, _PAIR = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 
 
@@ -219,10 +221,11 @@ def _texts(key: tuple, table: pa.Table, repeated: pa.Table) -> pa.Table:
 
 
 def _repeats(docs: DataFrame, finish, schema: T.StructType) -> DataFrame:
-    """docs: (text and further columns). Applies finish(key, chunk's rows, its repeated windows)."""
-    chunks = chunk_count(docs)
+    """docs: (text and further columns). Applies finish(key, chunk's rows, its repeated windows). All three passes take the same
+    columns, so that Spark deals the texts to chunks once and reuses that exchange."""
+    chunks = chunk_count(docs, target_bytes=CHUNK_BYTES)
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
-    symbols = dealt.select("chunk", "text").groupBy("chunk").applyInArrow(_symbols, "symbol long, chunk int, n int")
+    symbols = dealt.groupBy("chunk").applyInArrow(_symbols, "symbol long, chunk int, n int")
     total = F.sum("n").over(Window.partitionBy("symbol"))  # a row for each chunk at most
     shared = symbols.withColumn("total", total).where("total > 1").select("chunk", "symbol")
     windows = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_windows, "h1 long, h2 int, chunk int, n int")
