@@ -29,6 +29,8 @@ from .common import U64, in_slices, mix64, span_hashes, stored, text_buffers, wo
 FEATURE_BITS, SAMPLE_ROWS, EPOCHS, COST = 17, 6_000, 8, 1.0
 SIZE = 1 << FEATURE_BITS
 THRESHOLD = 0.7
+#: Labels that are broadcast at most (an id and a label each); beyond that labels and texts are shuffled.
+BROADCAST_LABELS = 2_000_000
 
 
 def features(batch_text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +140,9 @@ def logistic_curve(margin: np.ndarray, good: np.ndarray, steps: int = 50) -> tup
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> dict:
     """The model: weights (float32, a slot each), bias, a and b of the curve."""
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
+    marks = stored(marks, "quality-marks")
+    if marks.count() <= BROADCAST_LABELS:
+        marks = F.broadcast(marks)
     rows = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(marks, F.col("__doc") == F.col("__id"))
     rows = stored(rows.select("__doc", "label", "text"), "quality-labelled")
     counts = rows.select("label", "text").mapInArrow(_class_counts, "label int, slot int, n long").groupBy("label", "slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * SIZE + 2 rows
