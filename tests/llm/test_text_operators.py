@@ -227,6 +227,22 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert sum(got[i] != 0 for i in range(400)) == 0 and all(got[i] == i for i in range(1000, 1050))
 
 
+def test_pairs_behind_a_shared_passage_match_brute_force(spark):
+    """Texts that are mostly one passage: all sketches of a pair lie in large buckets, whose leaders are like neither."""
+    rng, rows = random.Random(5), []
+    passage = words(rng, 82, 100_000)
+    for i in range(0, 600, 2):
+        twin = words(rng, 11, 100_000)
+        own = [words(rng, 11, 100_000) for _ in range(2)]
+        if i % 20:
+            rows += [(i + k, f"{passage} {own[k]} {words(rng, 11, 100_000)}") for k in range(2)]
+        else:
+            rows += [(i + k, f"{passage} {twin} {own[k]}") for k in range(2)]
+    want = classes_of(rows)
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(i != c for i, c in want.items()) == 30
+
+
 def test_alignment_needs_order():
     a = np.arange(100, dtype=np.uint64)
     assert neardup.alignment(a, a) == 1.0 and neardup.alignment(a, a[::-1].copy()) < 0.1

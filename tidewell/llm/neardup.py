@@ -11,8 +11,14 @@ Equal texts are one node from the start. First each bucket's nodes are held agai
 SMALL_BUCKET nodes there are LEADERS of them: of each of as many hash classes the node whose LOWEST least shingles
 are held by the most others, as those of a text are that the others were copied from. What this links is one class.
 Then, in PASSES rounds, nodes of different classes are compared: in small buckets all pairs of them, in large ones one
-node of each class with the leaders among those. So candidates grow in proportion to the nodes, no bucket is
-collected, and no two classes with a link between them that shares a small bucket stay apart.
+node of each class with the leaders among those. No bucket is collected, and no two classes with a link between them
+that shares a small bucket stay apart.
+
+What is left, nodes of large buckets that still hold several classes, is joined exactly (``_exact_rest``), by prefixes of
+their shingles. A shingle that only one class holds cannot be common to two classes; the others, the rarest first, are one
+order for all nodes. Of n shingles two similar nodes have ceil(THRESHOLD * n) in common at least, so that those among a
+node's shared shingles but for the last ceil(THRESHOLD * n) - 1 hold one of them; only these are compared, where place
+and length leave room for the similarity. A passage that many texts share comes last in that order and is not reached.
 
 Defined results: the class of a text is the least id among its class; null and empty texts are one node, linked to
 nothing else; a text of fewer than SHINGLE words is one shingle; a null id counts as greater than any; rows alike
@@ -168,6 +174,39 @@ def _rest(members: DataFrame, within: DataFrame) -> DataFrame:
     return pairs.unionByName(_stars(heads)).distinct()
 
 
+def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in in_slices(batches, "text", 2 << 20):
+        data, offsets = text_buffers(batch.column("text"))
+        starts, ends, first = word_spans(data, offsets)
+        h = span_hashes(data, starts, ends)
+        found = [labelled_shingles(h[a:b]).view(np.int64) for a, b in zip(first[:-1], first[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("root"), _lists(found)], ["key", "root", "shingles"])
+
+
+def _exact_rest(members: DataFrame, within: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes that hold every pair of THRESHOLD or more among the nodes of large buckets."""
+    rooted = members.where(F.col("g") > SMALL_BUCKET).join(within, members["key"] == within["node"], "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
+    nodes = rooted.join(mixed, "bucket", "left_semi").select(F.col("key").alias("node"), "root").distinct()
+    held = texts.join(nodes, texts["key"] == nodes["node"]).select("key", "root", "text")
+    held = stored(held.mapInArrow(_all_shingles, "key long, root long, shingles array<long>"), "neardup-shingles")
+
+    # shingles that several classes hold, the rarest first: what two classes have in common is among these
+    each = held.select("key", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
+    across = each.groupBy("v").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("v", "c")
+    ranked = each.join(across, "v").groupBy("key", "root", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("live"))
+    wanted = F.ceil(F.lit(THRESHOLD) * F.col("n") - 1e-9).cast("int")
+    ranked = ranked.withColumn("prefix", F.size("live") - wanted + 1).where("prefix > 0")
+    spread = ranked.select("key", "root", "n", F.size("live").alias("m"), F.posexplode(F.slice("live", 1, F.col("prefix"))).alias("at", "e"))
+    spread = stored(spread.select("key", "root", "n", (F.col("m") - F.col("at")).alias("left"), F.col("e.v").alias("v")), "neardup-prefixes")
+
+    # at its first common shingle a pair has that one and what follows in both: enough for the similarity, or no pair
+    a = spread.select("v", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("left").alias("la"))
+    b = spread.select("v", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("left").alias("lb"))
+    room = F.least("la", "lb") >= F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("na") + F.col("nb")) - 1e-9
+    return a.join(b, "v").where("a < b AND ra != rb").where(_similar_length()).where(room).select("a", "b").distinct()
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, root) for every node of edges (a, b), root the least node of its component: alternating large and small stars.
 
@@ -219,7 +258,9 @@ def links(texts: DataFrame) -> DataFrame:
             break
         tried = tried.unionByName(pairs)
         found = found.unionByName(verified(pairs))
-    return found
+    roots = stored(components(found.select("a", "b")), "neardup-roots")
+    pairs = stored(_exact_rest(shared, roots, held).join(tried, ["a", "b"], "left_anti"), "neardup-exact")
+    return found.unionByName(verified(pairs))
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
