@@ -172,6 +172,31 @@ def test_leaks_match_brute_force(spark, docs):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_moved_passages_and_equal_items_match_brute_force(spark):
+    rng = random.Random(11)
+    items = [(i, words(rng, n, 3000)) for i, n in enumerate((100, 80, 40))] + [(3, "a b c d e " * 6)]
+    items.append((7, items[0][1]))
+    halves = items[0][1].split()
+    moved = " ".join(halves[50:] + halves[:50])
+    near = items[1][1].split()
+    near = near[60:] + near[:60]
+    near[0] = "changed"
+    rows = [(1, f"{words(rng, 90, 3000)} {moved} {words(rng, 90, 3000)}"), (2, f"{words(rng, 9, 3000)} {' '.join(near)}"), (3, "a b c d e " * 5), (4, "a b c d e " * 90)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for d, t in rows:
+        w = t.split()
+        for i, b in items:
+            v = b.split()
+            s, at = max((similarity(w[x : x + len(v)], v), -x) for x in range(max(1, len(w) - len(v) + 1)))
+            if s >= 0.8:
+                want[d, i] = (s, -at)
+    found = decontam.leaks(df, bench)
+    got = {(r.id, r.item): (r.similarity, r.first_word) for r in decontam.every_item(found, bench).collect()}
+    assert got == want and {(1, 0), (1, 7), (2, 1), (4, 3)} <= set(got)
+    assert {r.doc_id for r in decontam.decontaminate(df, bench).collect()} == {1, 2, 3, 4} - {d for d, _ in want}
+
+
 # --- 7: near duplicates ------------------------------------------------------------------------------
 
 

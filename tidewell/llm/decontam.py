@@ -1,11 +1,11 @@
 """Benchmark decontamination by fingerprints of item-sized windows.
 
-A window of a document is as long as the benchmark item it is held against. It can only reach the wanted
-similarity if it shares a shingle of SHINGLE words with the item, at the same distance from its start; so the shared
-shingles name all windows worth a fingerprint, and leave out none. The windows and the items get SimHash fingerprints;
-both are indexed by RADIUS + 1 blocks of bits, of which two fingerprints within RADIUS share one at least
-(pigeonhole). What the index finds is verified by the exact similarity of the two multisets of shingles, weighted
-by their counts: sum of minima over sum of maxima, THRESHOLD or more.
+A window of a document is as long as the benchmark item it is held against. What the two have in common is at most the
+number of the window's shingles, of SHINGLE words, that stand anywhere in the item; so every start with as many of them
+in reach as THRESHOLD asks for is a window worth a fingerprint, wherever in the item they stand, and no other window can
+reach it. The windows and the items get SimHash fingerprints; both are indexed by RADIUS + 1 blocks of bits, of which
+two fingerprints within RADIUS share one at least (pigeonhole). What the index finds is verified by the exact
+similarity of the two multisets of shingles, weighted by their counts: sum of minima over sum of maxima, THRESHOLD or more.
 
 The radius leaves room: at a similarity of 0.8 two 64-bit fingerprints differ in 10 bits on average, with a
 standard deviation of 3; the exact check decides anyway.
@@ -69,6 +69,17 @@ def items_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "t
     return w.withColumn("shingles", chosen).withColumn("fingerprint", simhash(F.col("shingles"))).drop("hashes")
 
 
+def _starts(places: Column, need: Column, m: Column, last: Column) -> Column:
+    """All starts up to last of m shingles with at least need of the (sorted) places among them."""
+
+    def run(i):
+        low = F.greatest(F.lit(0), F.get(places, i + need - 1) - m + 1, F.get(places, i - 1) + 1)
+        high = F.least(F.get(places, i), last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(places) - need), run))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """(id, key, item, similarity, first_word, n_words): the best window of each document for each item that it holds.
 
@@ -80,18 +91,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
     hashed = rows.withColumn("hashes", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x))).drop("text")
 
-    # where a document and an item share a shingle
-    postings = items.select("item", "n", "k", F.posexplode("shingles").alias("at", "shingle"))
-    postings = postings.groupBy("k", "shingle").agg(F.collect_list(F.struct("item", "n", "at")).alias("items"))
+    # starts of the windows with enough shingles of an item
+    postings = items.select("item", "n", "k", F.explode(F.array_distinct("shingles")).alias("shingle"))
+    postings = postings.groupBy("k", "shingle").agg(F.collect_list(F.struct("item", "n")).alias("items"))
     small = postings.count() <= BROADCAST_ROWS
     starts = None
     for k in lengths:
         place = hashed.select("id", "key", F.size("hashes").alias("words"), F.posexplode(_shingles("hashes", k)).alias("p", "shingle"))
         own = postings.where(F.col("k") == k).drop("k")
         hit = place.join(F.broadcast(own) if small else own, "shingle")
-        hit = hit.select("id", "key", "words", "p", F.explode("items").alias("i"))
-        begin = F.greatest(F.lit(0), F.least(F.col("p") - F.col("i.at"), F.col("words") - F.col("i.n")))
-        hit = hit.select("id", "key", F.lit(k).alias("k"), F.col("i.item").alias("item"), F.col("i.n").alias("n"), begin.alias("start")).distinct()
+        hit = hit.select("id", "key", "words", "p", F.explode("items").alias("i")).select("id", "key", "words", "p", "i.*")
+        hit = hit.groupBy("id", "key", "words", "item", "n").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+        hit = hit.withColumn("m", F.least("n", "words") - k + 1)
+        hit = hit.withColumn("need", F.greatest(F.lit(1), F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("n") - k + 1) - 1e-9).cast("int")))
+        hit = hit.where(F.size("ps") >= F.col("need")).withColumn("starts", _starts(F.col("ps"), F.col("need"), F.col("m"), F.greatest(F.lit(0), F.col("words") - F.col("n"))))
+        hit = hit.where(F.size("starts") > 0).select("id", "key", F.lit(k).alias("k"), "item", "n", "starts")
         starts = hit if starts is None else starts.unionByName(hit)
     starts = stored(starts, "decontam-windows")
 
@@ -99,12 +113,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     held = starts.select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct()
     kept = rows.join(held, (rows["key"] == held["__key"]) & rows["id"].eqNullSafe(held["__id"]), "left_semi").dropDuplicates(["id", "key"])
     kept = kept.withColumn("hashes", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x))).drop("text")
-    wanted = starts.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "k", "item", "n", "start")
-    windows = kept.join(wanted, (kept["key"] == wanted["__key"]) & kept["id"].eqNullSafe(wanted["__id"])).withColumn("hashes", F.slice("hashes", F.col("start") + 1, F.col("n")))
+    wanted = starts.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "k", "item", "n", "starts")
+    windows = kept.join(wanted, (kept["key"] == wanted["__key"]) & kept["id"].eqNullSafe(wanted["__id"]))
+    cut = F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("hashes", s + 1, F.col("n")).alias("hashes")))
+    windows = windows.select("id", "key", "k", "item", "n", F.explode(cut).alias("w")).select("id", "key", "k", "item", "n", "w.*")
     chosen = F.array().cast("array<bigint>")
     for k in lengths:
         chosen = F.when(F.col("k") == k, _shingles("hashes", k)).otherwise(chosen)
-    windows = windows.select("id", "key", "item", "n", "start", chosen.alias("shingles")).where(F.size("shingles") > 0)
+    windows = stored(windows.select("id", "key", "item", "n", "start", chosen.alias("shingles")).where(F.size("shingles") > 0), "decontam-shingles")
     windows = stored(windows.withColumn("fingerprint", simhash(F.col("shingles"))), "decontam-fingerprints")
 
     # multi-index: pairs of a window and an item within the radius share a block
@@ -116,14 +132,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     # exact similarity of the multisets
     on = (windows["key"] == near["key"]) & windows["id"].eqNullSafe(near["id"]) & (windows["item"] == near["item"]) & (windows["start"] == near["start"])
     candidates = windows.join(near, on, "left_semi")
-    counted = candidates.select("id", "key", "item", "start", F.size("shingles").alias("m"), F.explode("shingles").alias("shingle")).groupBy("id", "key", "item", "start", "m", "shingle").agg(F.count("*").alias("c"))
-    of_item = items.select("item", F.size("shingles").alias("mi"), "n", F.explode("shingles").alias("shingle")).groupBy("item", "mi", "n", "shingle").agg(F.count("*").alias("ci"))
-    shared = counted.join(of_item, ["item", "shingle"]).groupBy("id", "key", "item", "start", "m", "mi", "n").agg(F.sum(F.least("c", "ci")).alias("s"))
-    scored = shared.withColumn("similarity", F.col("s") / (F.col("m") + F.col("mi") - F.col("s"))).where(F.col("similarity") >= threshold)
+    repeated = items.select("item", F.explode("shingles").alias("v")).groupBy("item", "v").agg(F.count("*").alias("c")).where("c > 1")
+    repeated = repeated.groupBy("item").agg(F.collect_list(F.struct("v", "c")).alias("repeated"))
+    of_item = items.select("item", F.col("shingles").alias("of_item")).join(repeated, "item", "left")
+    both = candidates.join(of_item, "item")
+    more = F.aggregate(F.coalesce("repeated", F.array().cast("array<struct<v:bigint,c:bigint>>")), F.lit(0).cast("long"), lambda s, r: s + F.greatest(F.lit(0), F.least(F.size(F.filter("shingles", lambda x: x == r.v)), r.c) - 1))
+    shared = both.withColumn("s", F.size(F.array_intersect("shingles", "of_item")) + more)
+    scored = shared.withColumn("similarity", F.col("s") / (F.size("shingles") + F.size("of_item") - F.col("s"))).where(F.col("similarity") >= threshold)
     best = scored.groupBy("id", "key", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("b"))
     return best.select("id", "key", "item", "b.similarity", (-F.col("b.back")).alias("first_word"), F.col("b.n").alias("n_words"))
 
 
+def every_item(found: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """found (``leaks``) with a row for each id of the items of one text instead of the least of them."""
+    named = benchmark.select(F.col(item_col).alias("named"), F.transform(_words(F.col(text_col)), lambda x: F.xxhash64(x)).alias("hashes")).where(F.size("hashes") > 0).distinct()
+    least = named.groupBy("hashes").agg(F.min("named").alias("item"))
+    same = named.join(least, "hashes").select("item", "named")
+    return found.join(same, "item").withColumn("item", F.col("named")).drop("named")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those that hold a window like a benchmark item; all columns are kept."""
     bad = leaks(docs, benchmark, id_col, text_col, **options).select(F.col("key").alias("__leak")).distinct()

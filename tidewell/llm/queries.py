@@ -27,7 +27,8 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    benchmark = _table(spark, sf_dir, "benchmark")
+    found = decontam.every_item(decontam.leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), benchmark), benchmark)
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "similarity", "first_word", "n_words")
 
 
