@@ -297,3 +297,14 @@ def test_license_scan(spark, docs, empty):
         assert r.base_labels == ",".join(sorted({n for _, n in at})) and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
     assert by[5].labels == "gpl-3" and by[6].labels == "all-rights-reserved" and by[9].labels == "mit" and by[10].labels == "" and 0 <= by[5].score <= 1
     assert license.scan(empty).count() == 0 and license.scan(docs).count() == docs.count()
+
+
+def test_license_scan_of_all_templates_in_one_file(spark):
+    want = sorted({name for _, name, _ in license.TEMPLATES})
+    rows = [(0, "\n\n".join(t for t, _, _ in license.TEMPLATES)), (1, "nothing here")]
+    rows += [(10 + i, f"a {t} b") for i, (t, _, _) in enumerate(license.TEMPLATES) if i != 2]
+    rows += [(100 + i, "all rights reserved") for i in range(20)]
+    by = {r.doc_id: r for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert by[0].labels.split(",") == want and by[0].score == 1.0 and by[1].labels == ""
+    alone = license.scan(spark.createDataFrame([(0, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files " + license.TEMPLATES[4][0] + " " + license.TEMPLATES[5][0])], "doc_id long, text string")).first()
+    assert alone.labels == "bsd,mit"

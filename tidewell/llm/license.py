@@ -1,7 +1,7 @@
 """License scans with a positional index of rare words.
 
 The templates' words, but for the commonest English ones, form a positional index: word -> (template, position).
-A file's words of that index are looked up, its highest by inverse document frequency first; each hit votes for
+A file's words of that index are looked up, all of them; each hit votes, by its inverse document frequency, for
 the place where its template would begin, so that intersecting postings by relative position is grouping equal
 places. A template counts when its votes reach MIN_SCORE of its weight and all its mandatory phrases stand where that
 place puts them. Phrases of the caller (``PHRASES``) count wherever their words stand consecutively.
@@ -43,7 +43,7 @@ TEMPLATES = (
 )
 # Words too common to be looked up.
 COMMON = frozenset("a all an and any are as be by can except for forms free in is it may not of or out over terms the this to use version with without you 0 2 3".split())
-MIN_SCORE, TOP_WORDS = 0.5, 12
+MIN_SCORE = 0.5
 
 
 def _ascii_lower(word: Column) -> Column:
@@ -97,10 +97,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col: str = "d
     index = [(w, t, i, idf[w]) for t, (text, _, _) in enumerate(templates) for i, w in enumerate(text.split()) if w in idf and w not in COMMON]
     weight = {t: sum(idf.get(w, math.log((total + 1) / 0.5)) for w in text.split() if w not in COMMON) for t, (text, _, _) in enumerate(templates)}
     distinct = with_hits.dropDuplicates(["key"])
-    rank = F.create_map(*[x for w, v in (idf or {"": 0.0}).items() for x in (F.lit(w), F.lit(v))])
-    ranked = F.array_sort(F.transform(F.array_distinct(F.transform("hits", lambda h: h.w)), lambda w: F.struct((-rank[w]).alias("o"), w.alias("w"))))
-    top = F.transform(F.slice(ranked, 1, TOP_WORDS), lambda s: s.w)
-    picked = distinct.withColumn("__top", top).withColumn("hit", F.explode("hits")).where(F.array_contains("__top", F.col("hit.w"))).select("key", "hit.*")
+    picked = distinct.select("key", F.explode("hits").alias("hit")).select("key", "hit.*")
     spark = docs.sparkSession
     postings = spark.createDataFrame(index or [("", -1, 0, 0.0)], "w string, template int, at int, idf double")
     votes = picked.join(F.broadcast(postings), "w").groupBy("key", "template", (F.col("p") - F.col("at")).alias("begins")).agg(F.sum("idf").alias("idf"))
