@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session, if unset, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="tidewell-")  # only for local sessions, as in tests
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tidewell-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -48,6 +51,11 @@ def uniform(*cols) -> Column:
     return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53)
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes that name a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def chunk_count(docs: DataFrame, text: str = "text", target_bytes: int = 24 << 20, least: int = 8) -> int:
     """Number of chunks that hold about target_bytes of text each; grows with the input."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -1,33 +1,32 @@
 """Near duplicates by order MinHash.
 
-A text's shingles (SHINGLE words) are labelled by their occurrence, so that each is unique within the text. Each
-of SKETCHES hash orders picks the two least of them; the pair, kept in the order of the text, is the sketch. Two texts
-share a sketch with about the square of their similarity as probability, less if their order differs. Texts with a
-common sketch are candidates. Candidates are verified by a banded alignment: the longest common subsequence of the
-labelled shingles within a band around the diagonal, c of a and b shingles; c / (a + b - c) must reach THRESHOLD. The band
-is as wide as two texts of that similarity can drift apart, so that it loses nothing.
-
-Equal texts are one node from the start. First each bucket's nodes are held against its leader. In buckets of more than
-SMALL_BUCKET nodes there are LEADERS of them: of each of as many hash classes the node whose LOWEST least shingles
-are held by the most others, as those of a text are that the others were copied from. What this links is one class.
-Then, in PASSES rounds, nodes of different classes are compared: in small buckets all pairs of them, in large ones one
-node of each class with the leaders among those. No bucket is collected, and no two classes with a link between them
-that shares a small bucket stay apart.
+A text's k-mers (SHINGLE words) are labelled by their occurrence, so that each is unique within the text. Each of
+SKETCHES hash orders picks the two least of them; the pair, kept in the order of the text, is the sketch. Every edited
+word breaks SHINGLE k-mers, so texts of fewer than SHORT words also get sketches of k-mers of SHORT_SHINGLE words. Texts
+with a common sketch are candidates. Candidates are verified by a banded alignment of their words: the longest common
+subsequence c of a and b words, within a band around the diagonal; c / (a + b - c) must reach THRESHOLD. The band is as
+wide as two texts of that similarity can drift apart, so that it loses nothing.
+
+Equal texts are one node from the start, named by the 128 bits of their MD5. First each bucket's nodes are held against
+its leader, the node with the largest buckets, as the text is that the others were copied from. What this links is one
+class. Then, in PASSES rounds, nodes of different classes are compared: in buckets of up to SMALL_BUCKET nodes all pairs
+of them, in large ones a node of each class with LEADERS of those. No bucket is collected, and no two nodes with a
+link between them that share a small bucket stay in different classes.
 
 What is left, nodes of large buckets that still hold several classes, is joined exactly (``_exact_rest``), by prefixes of
-their shingles. A shingle that only one class holds cannot be common to two classes; the others, the rarest first, are one
-order for all nodes. Of n shingles two similar nodes have ceil(THRESHOLD * n) in common at least, so that those among a
-node's shared shingles but for the last ceil(THRESHOLD * n) - 1 hold one of them; only these are compared, where place
-and length leave room for the similarity. A passage that many texts share comes last in that order and is not reached.
+their words, labelled by occurrence. A word that only one class holds cannot be common to two classes; the others, the
+rarest first, are one order for all nodes. Of n words two similar nodes have ceil(THRESHOLD * n) in common at least, so that
+those among a node's shared words but for the last ceil(THRESHOLD * n) - 1 hold one of them; only these are compared,
+where place and length leave room for the similarity. Of the classes that hold such a word the largest is not held against
+itself, so that a large class costs a row for each of its nodes and not for each pair of them.
 
 Defined results: the class of a text is the least id among its class; null and empty texts are one node, linked to
-nothing else; a text of fewer than SHINGLE words is one shingle; a null id counts as greater than any; rows alike
+nothing else; a text of fewer words than a k-mer is one k-mer; a null id counts as greater than any; rows alike
 stay rows (``classes``) or become one (``deduplicate``); an empty table gives an empty result; further columns are kept.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, in_slices, mix64, span_hashes, stored, text_buffers, word_spans
+from .common import U64, in_slices, mix64, span_hashes, stored, text_buffers, text_key, word_spans
 
-SHINGLE, THRESHOLD, SKETCHES = 5, 0.8, 12
-SMALL_BUCKET, LEADERS, LOWEST, PASSES = 16, 4, 48, 2
+SHINGLE, THRESHOLD, SKETCHES = 5, 0.8, 20
+SHORT, SHORT_SHINGLE = 80, 3
+SMALL_BUCKET, LEADERS, PASSES = 16, 4, 2
 #: Rows of a round's table in one task.
 ROUND_ROWS = 200_000
 _ORDERS = mix64(np.arange(1, SKETCHES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -64,42 +64,82 @@ def labelled_shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return mix64(h + label * U64(0xD6E8FEB86659FD93))
 
 
-def sketches(shingles: np.ndarray) -> np.ndarray:
+def sketches(shingles: np.ndarray, salt: int = 0) -> np.ndarray:
     """One 64-bit sketch for each order: the two least shingles, in the order of the text."""
+    orders = _ORDERS ^ U64(salt)
+    if not len(shingles):
+        return shingles
     if len(shingles) == 1:
-        return mix64(shingles ^ _ORDERS)
+        return mix64(shingles ^ orders)
     pairs = np.empty((SKETCHES, 2), np.int64)
-    for j, salt in enumerate(_ORDERS):
-        x = (shingles ^ salt) * U64(0xBF58476D1CE4E5B9)
+    step = max(1, (1 << 17) // len(shingles))
+    for j in range(0, SKETCHES, step):
+        x = (shingles ^ orders[j : j + step, None]) * U64(0xBF58476D1CE4E5B9)
         x ^= x >> U64(32)
-        pairs[j] = np.argpartition(x, 1)[:2]
+        pairs[j : j + step] = np.argpartition(x, 1, axis=1)[:, :2]
     pairs.sort(axis=1)
-    return mix64(shingles[pairs[:, 0]] * U64(0xA0761D6478BD642F) + mix64(shingles[pairs[:, 1]] ^ _ORDERS))
+    return mix64(shingles[pairs[:, 0]] * U64(0xA0761D6478BD642F) + mix64(shingles[pairs[:, 1]] ^ orders))
+
+
+def text_sketches(words: np.ndarray) -> np.ndarray:
+    """All sketches of a text of these word hashes."""
+    found = sketches(labelled_shingles(words))
+    if len(words) < SHORT:
+        found = np.concatenate([found, sketches(labelled_shingles(words, SHORT_SHINGLE), SHORT_SHINGLE)])
+    return found
+
+
+def _common(a: list[int], b: list[int], low: int, high: int) -> int:
+    """Length of the longest common subsequence, of places i and j with low <= j - i <= high at least.
+
+    A column is a bit that is clear once it ends a longer subsequence; rows are taken in blocks, and the bits are those
+    of the columns that a block's rows can reach."""
+    step = max(64, high - low)
+    left, ones, state, found = 0, 0, 0, 0  # state: bits of the columns left .. left + ones - 1
+    for first in range(0, len(a), step):
+        rows = a[first : first + step]
+        begin, end = min(max(0, first + low), len(b)), min(len(b), first + len(rows) + high)
+        gone = min(begin - left, ones)
+        found += gone - (state & ((1 << gone) - 1)).bit_count()
+        state >>= gone
+        left, ones = begin, max(ones - gone, 0)
+        if end - left > ones:
+            state |= ((1 << (end - left - ones)) - 1) << ones
+            ones = end - left
+        columns: dict[int, int] = {}
+        bit = 1
+        for x in b[left : left + ones]:
+            columns[x] = columns.get(x, 0) | bit
+            bit <<= 1
+        whole = bit - 1
+        for x in rows:
+            hit = columns.get(x)
+            if hit:
+                u = state & hit
+                state = ((state + u) | (state - u)) & whole
+    return found + ones - state.bit_count()
 
 
 def alignment(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Similarity of two labelled shingle sequences by their longest common subsequence within the band."""
-    if not len(a) or not len(b) or min(len(a), len(b)) < threshold * max(len(a), len(b)):
+    """Similarity of two word sequences by their longest common subsequence within the band; 0 if it can't reach threshold."""
+    n, m = len(a), len(b)
+    if not n or not m or min(n, m) < threshold * max(n, m):
         return 0.0
-    order = np.argsort(b)
-    at = np.minimum(np.searchsorted(b, a, sorter=order), len(b) - 1)
-    q = order[at]
-    hit = b[q] == a
-    p, q = np.flatnonzero(hit), q[hit]
-    band = int(len(a) + len(b) - 2 * (threshold / (1 + threshold)) * (len(a) + len(b))) + 1
-    near = np.abs(p - q) <= band
-    q = q[near]
-    if len(q) < threshold * (len(a) + len(b) - len(q)):
-        return 0.0
-    if (np.diff(q) > 0).all():
-        c = len(q)
-    else:
-        tails: list[int] = []
-        for x in q.tolist():
-            i = bisect_left(tails, x)
-            tails[i : i + 1] = [x]
-        c = len(tails)
-    return c / (len(a) + len(b) - c)
+    need = threshold / (1 + threshold) * (n + m) - 1e-9
+    short = min(n, m)
+    other = np.flatnonzero(a[:short] != b[:short])
+    head = int(other[0]) if len(other) else short
+    other = np.flatnonzero(a[n - short + head :][::-1] != b[m - short + head :][::-1])
+    tail = int(other[0]) if len(other) else short - head
+    x, y = a[head : n - tail], b[head : m - tail]
+    c = head + tail
+    if len(x) and len(y):
+        words, number = np.unique(np.concatenate([x, y]), return_inverse=True)
+        x, y = number[: len(x)], number[len(x) :]
+        if c + np.minimum(np.bincount(x, minlength=len(words)), np.bincount(y, minlength=len(words))).sum() < need:
+            return 0.0
+        c += _common(x.tolist(), y.tolist(), -int(n - need) - 1, int(m - need) + 1)
+    return c / (n + m - c) if c >= need else 0.0
 
 
 def _lists(found: list[np.ndarray]) -> pa.ListArray:
@@ -112,52 +152,41 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = text_buffers(batch.column("text"))
         starts, ends, first = word_spans(data, offsets)
         h = span_hashes(data, starts, ends)
-        shingles = [labelled_shingles(h[a:b]) for a, b in zip(first[:-1], first[1:])]
-        found = [sketches(x).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in shingles]
-        lowest = [(np.partition(x, LOWEST - 1)[:LOWEST] if len(x) > LOWEST else x).view(np.int64) for x in shingles]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), _lists(found), _lists(lowest), pa.array([len(x) for x in shingles], pa.int32())], ["key", "sketches", "lowest", "n"])
+        found = [text_sketches(h[a:b]).view(np.int64) for a, b in zip(first[:-1], first[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), _lists(found), pa.array(np.diff(first).astype(np.int32))], ["key", "sketches", "n"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         memo: dict = {}
 
-        def shingles(key, text):
+        def words(key, text):
             if key not in memo:
                 if len(memo) > 256:
                     memo.clear()
                 data, offsets = text_buffers(pa.array([text], pa.string()))
                 starts, ends, _ = word_spans(data, offsets)
-                memo[key] = labelled_shingles(span_hashes(data, starts, ends))
+                memo[key] = span_hashes(data, starts, ends)
             return memo[key]
 
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
         left, right = batch.column("text_a"), batch.column("text_b")
-        sim = [alignment(shingles(a[i], left[i].as_py()), shingles(b[i], right[i].as_py())) for i in range(len(a))]
-        keep = pa.array([s >= THRESHOLD for s in sim])
+        sim = [alignment(words(a[i], left[i].as_py()), words(b[i], right[i].as_py())) for i in range(len(a))]
         out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], ["a", "b", "similarity"])
-        yield out.filter(keep)
-
-
-def _popularity(shared: DataFrame, sketched: DataFrame) -> DataFrame:
-    """(node, s) of the nodes in large buckets: how often their lowest shingles occur among all of those nodes."""
-    nodes = shared.where(F.col("g") > SMALL_BUCKET).select("key").distinct()
-    low = stored(sketched.join(nodes, "key", "left_semi").select("key", F.explode("lowest").alias("v")), "neardup-lowest")
-    counts = low.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    return stored(low.join(counts, "v").groupBy(F.col("key").alias("node")).agg(F.sum("c").alias("s")), "neardup-popular")
+        yield out.filter(pa.array([s > 0 for s in sim]))
 
 
 def _similar_length() -> Column:
-    """Whether two nodes have numbers of shingles that allow the wanted similarity at all."""
+    """Whether two nodes have numbers of words that allow the wanted similarity at all."""
     return F.least("na", "nb") >= F.lit(THRESHOLD) * F.greatest("na", "nb")
 
 
-def _stars(members: DataFrame) -> DataFrame:
+def _stars(members: DataFrame, leaders: int = 1) -> DataFrame:
     """Pairs (a, b) of the nodes of each bucket and its leaders: one leader, or in large buckets one of each hash class."""
-    part = F.when(F.col("g") > SMALL_BUCKET, F.pmod(F.xxhash64("key", "bucket"), F.lit(LEADERS))).otherwise(0)
-    leaders = members.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("s", F.xxhash64("key").alias("o"), "key", "n")).alias("l"))
-    leaders = leaders.select("bucket", F.col("l.key").alias("leader"), F.col("l.n").alias("nb"))
-    led = members.select("bucket", "key", F.col("n").alias("na")).join(leaders, "bucket").where("key != leader").where(_similar_length())
+    part = F.when(F.col("g") > SMALL_BUCKET, F.pmod(F.xxhash64("key"), F.lit(leaders))).otherwise(0)
+    heads = members.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("s", F.xxhash64("key").alias("o"), "key", "n")).alias("l"))
+    heads = heads.select("bucket", F.col("l.key").alias("leader"), F.col("l.n").alias("nb"))
+    led = members.select("bucket", "key", F.col("n").alias("na")).join(heads, "bucket").where("key != leader").where(_similar_length())
     return led.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
 
 
@@ -171,16 +200,16 @@ def _rest(members: DataFrame, within: DataFrame) -> DataFrame:
     pairs = small.join(other, "bucket").where("a < b AND ra != rb").where(_similar_length()).select("a", "b")
     best = F.max(F.struct("s", F.xxhash64("bucket", "key").alias("o"), "key", "n"))
     heads = rooted.where(F.col("g") > SMALL_BUCKET).groupBy("bucket", "root", "g").agg(best.alias("h")).select("bucket", "g", "h.key", "h.s", "h.n")
-    return pairs.unionByName(_stars(heads)).distinct()
+    return pairs.unionByName(_stars(heads, LEADERS)).distinct()
 
 
-def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _labelled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in in_slices(batches, "text", 2 << 20):
         data, offsets = text_buffers(batch.column("text"))
         starts, ends, first = word_spans(data, offsets)
         h = span_hashes(data, starts, ends)
-        found = [labelled_shingles(h[a:b]).view(np.int64) for a, b in zip(first[:-1], first[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("root"), _lists(found)], ["key", "root", "shingles"])
+        found = [labelled_shingles(h[a:b], 1).view(np.int64) for a, b in zip(first[:-1], first[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("root"), _lists(found)], ["key", "root", "words"])
 
 
 def _exact_rest(members: DataFrame, within: DataFrame, texts: DataFrame) -> DataFrame:
@@ -189,10 +218,10 @@ def _exact_rest(members: DataFrame, within: DataFrame, texts: DataFrame) -> Data
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
     nodes = rooted.join(mixed, "bucket", "left_semi").select(F.col("key").alias("node"), "root").distinct()
     held = texts.join(nodes, texts["key"] == nodes["node"]).select("key", "root", "text")
-    held = stored(held.mapInArrow(_all_shingles, "key long, root long, shingles array<long>"), "neardup-shingles")
+    held = stored(held.mapInArrow(_labelled_words, "key binary, root binary, words array<long>"), "neardup-words")
 
-    # shingles that several classes hold, the rarest first: what two classes have in common is among these
-    each = held.select("key", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
+    # words that several classes hold, the rarest first: what two classes have in common is among these
+    each = held.select("key", "root", F.size("words").alias("n"), F.explode("words").alias("v"))
     across = each.groupBy("v").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("v", "c")
     ranked = each.join(across, "v").groupBy("key", "root", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("live"))
     wanted = F.ceil(F.lit(THRESHOLD) * F.col("n") - 1e-9).cast("int")
@@ -200,21 +229,27 @@ def _exact_rest(members: DataFrame, within: DataFrame, texts: DataFrame) -> Data
     spread = ranked.select("key", "root", "n", F.size("live").alias("m"), F.posexplode(F.slice("live", 1, F.col("prefix"))).alias("at", "e"))
     spread = stored(spread.select("key", "root", "n", (F.col("m") - F.col("at")).alias("left"), F.col("e.v").alias("v")), "neardup-prefixes")
 
-    # at its first common shingle a pair has that one and what follows in both: enough for the similarity, or no pair
-    a = spread.select("v", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("left").alias("la"))
+    # of each word's classes the largest is not compared with itself
+    sizes = spread.groupBy("v", "root").agg(F.count("*").alias("c"))
+    sizes = sizes.groupBy("v").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1").select("v", F.col("top.root").alias("top"))
+    spread = stored(spread.join(sizes, "v"), "neardup-shared")
+
+    # at its first common word a pair has that one and what follows in both: enough for the similarity, or no pair
+    a = spread.where("root != top").select("v", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("left").alias("la"))
     b = spread.select("v", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("left").alias("lb"))
     room = F.least("la", "lb") >= F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("na") + F.col("nb")) - 1e-9
-    return a.join(b, "v").where("a < b AND ra != rb").where(_similar_length()).where(room).select("a", "b").distinct()
+    pairs = a.join(b, "v").where("ra != rb").where(_similar_length()).where(room)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b), root the least node of its component: alternating large and small stars.
 
     Each round is two groupings with partial aggregation and two joins; it ends when the stars stay as they are. The
     tables of a round have as many partitions as their rows need, so that a few edges do not cost hundreds of tasks."""
     edges = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u != v"), "components")
     tasks, before = None, None
-    for _ in range(most_rounds):
+    while True:
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if now == before or not now["n"]:
             break
@@ -232,13 +267,13 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
 def links(texts: DataFrame) -> DataFrame:
     """texts: (key, text), a row or more for each key. Verified links (a, b, similarity) between keys that join all classes."""
-    sketched = texts.mapInArrow(_sketched, "key long, sketches array<long>, lowest array<long>, n int").dropDuplicates(["key"])
-    sketched = stored(sketched, "neardup-sketches")
+    sketched = texts.mapInArrow(_sketched, "key binary, sketches array<long>, n int").dropDuplicates(["key"])
     members = sketched.select("key", "n", F.posexplode("sketches").alias("j", "v")).select(F.xxhash64("j", "v").alias("bucket"), "key", "n")
+    members = stored(members, "neardup-sketches")
     counts = members.groupBy("bucket").agg(F.count("*").alias("g")).where("g > 1")
     shared = stored(members.join(counts, "bucket"), "neardup-buckets")
-    popular = _popularity(shared, sketched)
-    shared = stored(shared.join(popular, shared["key"] == popular["node"], "left").select("bucket", "key", "n", "g", F.coalesce("s", F.lit(0)).alias("s")), "neardup-members")
+    popular = shared.groupBy(F.col("key").alias("node")).agg(F.sum("g").alias("s"))
+    shared = stored(shared.join(popular, shared["key"] == popular["node"]).select("bucket", "key", "n", "g", "s"), "neardup-members")
 
     # the texts of all nodes that share a bucket; the same join at every size
     nodes = shared.select(F.col("key").alias("node")).distinct().hint("merge")
@@ -247,7 +282,7 @@ def links(texts: DataFrame) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(held.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
         both = with_a.join(held.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-        return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long, similarity double"), "neardup-links")
+        return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a binary, b binary, similarity double"), "neardup-links")
 
     tried = stored(_stars(shared), "neardup-stars")
     found = verified(tried)
@@ -265,7 +300,7 @@ def links(texts: DataFrame) -> DataFrame:
 
 def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, class_id, class_key, class_size, n_links) of every row; class_id and class_key name the row to keep."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = stored(links(rows.select("key", "text")), "neardup-all-links")
     roots = components(found.select("a", "b"))
     ends = found.select(F.explode(F.array("a", "b")).alias("of")).groupBy("of").agg(F.count("*").alias("n_links"))
@@ -288,6 +323,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class, the one with the least id; all columns are kept."""
     kept = _classed(docs, id_col, text_col).select(F.col("class_id").alias("__kept_id"), F.col("class_key").alias("__kept_key")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    keyed = docs.withColumn("__key", text_key(F.col(text_col)))
     kept = keyed.join(kept, (F.col("__key") == F.col("__kept_key")) & keyed[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
     return kept.dropDuplicates([id_col, "__key"]).drop("__key")
