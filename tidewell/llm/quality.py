@@ -5,13 +5,14 @@ Features are n-gram indicators, hashed into 2**FEATURE_BITS slots: byte n-grams
 log((q + 1) / |q + 1|), where p and q count the labelled texts of either class that hold it. A linear hinge-loss
 model on these features is fitted by dual coordinate descent, and its margin is mapped to 0..1 by a logistic curve.
 
-The class counts cover all labelled training rows. The dual descent runs over at most SAMPLE_ROWS of them, chosen by the
-hash of their ids (a documented bound, as the number of support vectors is held on the driver); the curve is fitted to
-margins of further rows of that sample that the descent did not see.
+The class counts cover all labelled training rows. The dual descent runs in one task over at most SAMPLE_ROWS of them and
+about SAMPLE_BYTES of their text, chosen by the hash of their ids (documented bounds); the curve is fitted to margins of
+further rows of that sample that the descent did not see. Only the weights come to the driver.
 
 Defined results: a null or empty text has no features and scores by the bias alone; equal texts score alike; without
-labels, or with labels of one class only, every score is the share of good labels (0.5 without any); rows alike stay;
-an empty table gives an empty result; only id and text are read.
+labels, or with labels of one class only, every score is the share of good labels (0.5 without any); a label of a null
+id belongs to no text; of several labels of one id the greatest counts; rows alike stay; an empty table gives an empty
+result; only id and text are read, further columns are kept and may have any name but that of the score.
 """
 
 from __future__ import annotations
@@ -24,21 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, in_slices, mix64, span_hashes, stored, text_buffers, word_spans
+from .common import SPACE, U64, in_slices, mix64, span_hashes, stored, text_buffers, word_spans
 
-FEATURE_BITS, SAMPLE_ROWS, EPOCHS, COST = 17, 6_000, 8, 1.0
+FEATURE_BITS, SAMPLE_ROWS, SAMPLE_BYTES, EPOCHS, COST = 17, 6_000, 32 << 20, 8, 1.0
 SIZE = 1 << FEATURE_BITS
+#: Bytes of a text whose features are found at once.
+LONG = 1 << 20
 THRESHOLD = 0.7
 #: Labels that are broadcast at most (an id and a label each); beyond that labels and texts are shuffled.
 BROADCAST_LABELS = 2_000_000
 
 
-def features(batch_text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Feature slots of all texts of a batch, sorted and distinct within a text, and where each text's begin."""
-    data, offsets = text_buffers(batch_text)
-    n = len(offsets) - 1
-    lengths = np.diff(offsets)
-    doc = np.repeat(np.arange(n, dtype=np.int64), lengths)
+def _slots(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of texts of LONG bytes at most: text * SIZE + slot of all features, sorted and distinct."""
+    n, lengths = len(offsets) - 1, np.diff(offsets)
+    kind = np.int32 if n <= 1 << (31 - FEATURE_BITS) else np.int64
+    doc = np.repeat(np.arange(n, dtype=kind) * kind(SIZE), lengths)
     found = []
     gram = data.astype(np.uint32)
     for k in range(1, 5):
@@ -47,7 +49,7 @@ def features(batch_text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for j in range(1, k):  # no n-gram crosses the end of its text
             ends = offsets[1:] - j
             inside[ends[(ends >= 0) & (lengths >= j)]] = False
-        found.append(doc[inside] * SIZE + h[inside])
+        found.append((doc + h.astype(kind))[inside])
         if k < 4:
             following = np.zeros(len(data), np.uint32)
             following[: max(0, len(data) - k)] = data[k:]
@@ -55,23 +57,48 @@ def features(batch_text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = word_spans(data, offsets)
     if len(starts) > 1:
         h = span_hashes(data, starts, ends)
-        owner = np.repeat(np.arange(n, dtype=np.int64), np.diff(first))
+        owner = np.repeat(np.arange(n, dtype=kind) * kind(SIZE), np.diff(first))
         same = np.zeros(len(h), bool)
         same[1:] = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
         run = same.copy()
         for k in range(1, 4):
             slot = int(mix64(np.array([k + 7_000_000], U64))[0] >> U64(64 - FEATURE_BITS))
-            found.append(owner[run] * SIZE + slot)
+            found.append(owner[run] + kind(slot))
             run[1:] = run[1:] & run[:-1]
             run[:1] = False
-    # distinct per text: marks in a table of one text after another
-    flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-    marks = np.zeros(n * SIZE, bool) if n * SIZE <= 1 << 28 else None
-    if marks is not None:
+    flat = np.concatenate(found)
+    if n * SIZE <= 16 * len(flat):  # marks in a table of one text after another; else sorting takes less
+        marks = np.zeros(n * SIZE, bool)
         marks[flat] = True
-        flat = np.flatnonzero(marks)
-    else:
-        flat = np.unique(flat)
+        return np.flatnonzero(marks)
+    flat.sort()
+    return flat[np.diff(flat, prepend=kind(-1)) != 0]
+
+
+def _long_slots(data: np.ndarray) -> np.ndarray:
+    """The same of one longer text, by parts that overlap by four words and three bytes; LONG / 4 bytes of overlap at most."""
+    marks, low = np.zeros(SIZE, bool), 0
+    while low < len(data):
+        high = min(low + LONG, len(data))
+        marks[_slots(data[low:high], np.array([0, high - low]))] = True
+        if high == len(data):
+            break
+        behind = np.flatnonzero(SPACE[data[high - LONG // 4 : high - 3]][1:] < SPACE[data[high - LONG // 4 : high - 3]][:-1]) + 1  # where words begin
+        low = high - LONG // 4 + int(behind[-4]) if len(behind) >= 4 else high - LONG // 4
+    return np.flatnonzero(marks)
+
+
+def features(batch_text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Feature slots of all texts of a batch, sorted and distinct within a text, and where each text's begin."""
+    data, offsets = text_buffers(batch_text)
+    n, parts, low = len(offsets) - 1, [np.zeros(0, np.int64)], 0
+    for i in [*np.flatnonzero(np.diff(offsets) > LONG), n]:
+        if i > low:
+            parts.append(_slots(data[offsets[low] : offsets[i]], offsets[low : i + 1] - offsets[low]).astype(np.int64) + low * SIZE)
+        if i < n:
+            parts.append(_long_slots(data[offsets[i] : offsets[i + 1]]) + i * SIZE)
+        low = i + 1
+    flat = np.concatenate(parts)
     return flat % SIZE, np.searchsorted(flat, np.arange(n + 1) * SIZE)
 
 
@@ -145,37 +172,47 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         marks = F.broadcast(marks)
     rows = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(marks, F.col("__doc") == F.col("__id"))
     rows = stored(rows.select("__doc", "label", "text"), "quality-labelled")
-    counts = rows.select("label", "text").mapInArrow(_class_counts, "label int, slot int, n long").groupBy("label", "slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * SIZE + 2 rows
-    table, n = np.zeros((2, SIZE)), np.zeros(2)
-    for c in (0, 1):
-        mine = counts[counts["label"] == c]
-        n[c] = mine.loc[mine["slot"] < 0, "n"].sum()
-        mine = mine[mine["slot"] >= 0]
-        table[c, mine["slot"]] = mine["n"]
-    if not n.all():
-        share = float(n[1] / n.sum()) if n.sum() else 0.5
+    counts = rows.select("label", "text").mapInArrow(_class_counts, "label int, slot int, n long").groupBy("label", "slot").agg(F.sum("n").alias("n"))  # at most 2 * SIZE + 2 rows
+    counts = stored(counts, "quality-counts")
+    n = {r["label"]: r["n"] for r in counts.where("slot < 0").select("label", "n").collect()}
+    if not n.get(0) or not n.get(1):
+        share = n.get(1, 0) / sum(n.values()) if sum(n.values()) else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return {"weights": np.zeros(SIZE, np.float32), "bias": 0.0, "a": 1.0, "b": float(np.log(share / (1 - share)))}
-    p, q = table[1] + 1.0, table[0] + 1.0
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    ratio[table.sum(0) < 2] = 0.0
 
     order = F.xxhash64(F.lit(seed), "__doc")
-    share = min(1.0, 1.1 * sample_rows / n.sum())
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
+    share = min(1.0, 1.1 * sample_rows / sum(n.values()), SAMPLE_BYTES / max(1, size))
     picked = rows.where(F.pmod(order, F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("label", order.alias("order"), "text")
-    sample = picked.mapInArrow(_sampled_features, "label int, order long, slots binary").toPandas().sort_values("order").head(sample_rows)
-    texts = [np.frombuffer(x, np.int32) for x in sample["slots"]]
-    y = np.where(sample["label"] == 1, 1.0, -1.0)
-    held = np.arange(len(y)) % 5 == 4
-    scale = ratio / np.sqrt(np.mean([float((ratio[t] ** 2).sum()) for t in texts]) + 1e-12)
-    train = np.flatnonzero(~held)
-    balance = {c: len(train) / (2 * max(1, (y[train] == c).sum())) for c in (-1.0, 1.0)}
-    w, bias = dual_descent([texts[i] for i in train], y[train], scale, np.array([COST * balance[y[i]] for i in train]))
-    weights = w * scale
-    unseen = np.flatnonzero(held) if held.any() else train
-    margin = np.array([float(weights[texts[i]].sum()) + bias for i in unseen])
-    a, b = logistic_curve(margin, y[unseen] > 0)
-    return {"weights": weights.astype(np.float32), "bias": float(bias), "a": a, "b": b}
+    sample = stored(picked.mapInArrow(_sampled_features, "label int, order long, slots binary"), "quality-sample").withColumn("one", F.lit(0))
+    fitted = sample.groupBy("one").cogroup(counts.withColumn("one", F.lit(0)).groupBy("one")).applyInArrow(_fitted(sample_rows), "weights binary, bias double, a double, b double").first()
+    return {"weights": np.frombuffer(fitted["weights"], np.float32), "bias": fitted["bias"], "a": fitted["a"], "b": fitted["b"]}
+
+
+def _fitted(sample_rows: int):
+    def run(key: tuple, sample: pa.Table, counts: pa.Table) -> pa.Table:
+        """The model of the sampled rows (label, order, slots) and the counts (label, slot, n) of all rows."""
+        table = np.ones((2, SIZE))
+        label, slot = np.asarray(counts.column("label")), np.asarray(counts.column("slot"))
+        table[label[slot >= 0], slot[slot >= 0]] += np.asarray(counts.column("n"))[slot >= 0]
+        q, p = table
+        ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+        ratio[table.sum(0) < 4] = 0.0
+        sample = sample.sort_by([("order", "ascending"), ("label", "ascending"), ("slots", "ascending")]).slice(0, sample_rows)
+        texts = [np.frombuffer(x.as_py(), np.int32) for x in sample.column("slots")]
+        y = np.where(np.asarray(sample.column("label")) == 1, 1.0, -1.0)
+        held = np.arange(len(y)) % 5 == 4
+        scale = ratio / np.sqrt(np.mean([float((ratio[t] ** 2).sum()) for t in texts]) + 1e-12)
+        train = np.flatnonzero(~held)
+        balance = {c: len(train) / (2 * max(1, (y[train] == c).sum())) for c in (-1.0, 1.0)}
+        w, bias = dual_descent([texts[i] for i in train], y[train], scale, np.array([COST * balance[y[i]] for i in train]))
+        weights = w * scale
+        unseen = np.flatnonzero(held) if held.any() else train
+        margin = np.array([float(weights[texts[i]].sum()) + bias for i in unseen])
+        a, b = logistic_curve(margin, y[unseen] > 0)
+        return pa.table({"weights": [weights.astype(np.float32).tobytes()], "bias": [float(bias)], "a": [a], "b": [b]})
+
+    return run
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "score") -> DataFrame:
