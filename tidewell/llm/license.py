@@ -1,24 +1,30 @@
 """License scans with a positional index of rare words.
 
-The templates' words, but for the commonest English ones, form a positional index: word -> (template, position).
-A file's words of that index are looked up, all of them; each hit votes, by its inverse document frequency, for
-the place where its template would begin, so that intersecting postings by relative position is grouping equal
-places. A template counts when its votes reach MIN_SCORE of its weight and all its mandatory phrases stand where that
-place puts them. Phrases of the caller (``PHRASES``) count wherever their words stand consecutively.
+The words of the licence texts, but for those in many places of them, form a positional index: word -> (template,
+position). All of a file's words of that index are looked up; each hit votes for the place where its template would begin.
+Intersecting postings by relative position is then finding places, equal but for SLACK words that were put in or left
+out, whose votes reach MIN_SCORE of the template's weight; words weigh by their inverse document frequency, and each
+word of a template counts once. A template counts when all its mandatory phrases stand where that place puts them, within
+SLACK. Votes are counted within the row, so that no text is shuffled. Phrases of the caller (``PHRASES``) count wherever
+their words stand consecutively.
 
 Only the fixed templates and phrases, and the document frequencies of their words, are held by every task.
 Defined results: a null or empty text has no words, no labels and score 0; equal texts have equal results; repeated
-rows stay repeated; an empty table gives an empty result; further columns play no part.
+rows stay repeated; words of equal frequency are all looked up, so that ties play no part; an empty table gives an empty
+result; further columns play no part.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import let, stored
+from .license_texts import TEXTS
 
 #: Between words: ASCII but for digits and letters.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -30,20 +36,23 @@ PHRASES = (
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
-# Template text, label, mandatory phrase.
-TEMPLATES = (
-    ("this work is licensed under the gnu general public license version 3", "gpl-3", "gnu general public license version 3"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl", "terms of the gnu general public license"),
-    ("all rights reserved", "all-rights-reserved", "all rights reserved"),
-    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache-2", "apache license version 2"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit", "permission is hereby granted free of charge"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", "redistribution and use in source and binary forms"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl", "mozilla public license"),
-    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc", "with or without fee is hereby granted"),
-)
-# Words too common to be looked up.
-COMMON = frozenset("a all an and any are as be by can except for forms free in is it may not of or out over terms the this to use version with without you 0 2 3".split())
-MIN_SCORE = 0.5
+#: (text in lower-case words, label, mandatory phrases)
+TEMPLATES = tuple((" ".join(w for w in re.split(NOT_WORD, text.lower()) if w), label, phrases) for label, phrases, text in TEXTS)
+#: Of the words of a template those that stand in the fewest places of all of them are indexed: every word with MOST_PLACES
+#: at most, and at least LEAST_WORDS of its words.
+MOST_PLACES, LEAST_WORDS = 12, 4
+MIN_SCORE, SLACK = 0.5, 12
+
+
+def indexed_words(templates=TEMPLATES) -> list[tuple[str, int, int]]:
+    """(word, template, position) of the index."""
+    places = Counter(w for t, _, _ in templates for w in t.split())
+    found = []
+    for t, (text, _, _) in enumerate(templates):
+        words = text.split()
+        most = max(MOST_PLACES, sorted(places[w] for w in words)[min(LEAST_WORDS, len(words)) - 1])
+        found += [(w, t, i) for i, w in enumerate(words) if places[w] <= most]
+    return found
 
 
 def _ascii_lower(word: Column) -> Column:
@@ -51,8 +60,8 @@ def _ascii_lower(word: Column) -> Column:
 
 
 def _anchor(words: list[str]) -> int:
-    """Where the phrase's most unusual word stands: the longest that is looked up."""
-    return max((i for i, w in enumerate(words) if w not in COMMON), key=lambda i: (len(words[i]), -i))
+    """Where the longest word of a phrase stands: the one that is looked up."""
+    return max(range(len(words)), key=lambda i: (len(words[i]), -i))
 
 
 def _places(phrase: list[str]) -> Column:
@@ -67,58 +76,88 @@ def _places(phrase: list[str]) -> Column:
 
 
 def hits(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, text_col: str = "text") -> DataFrame:
-    """Adds n_words, hits (array of position and indexed word), and phrase_i / mandatory_i, arrays of the places
-    where the i-th phrase or mandatory phrase stands. One pass over the texts, no shuffle."""
-    listed = [p.split() for p, _ in phrases] + [m.split() for _, _, m in templates]
-    indexed = sorted({w for t, _, _ in templates for w in t.split() if w not in COMMON} | {w[_anchor(w)] for w in listed})
+    """Adds n_words, hits (array of position and indexed word), phrase_i, arrays of the places where the i-th phrase stands,
+    and mandatory, an array of those arrays for all mandatory phrases. One pass over the texts, no shuffle."""
+    keys = mandatory(templates)
+    listed = [p.split() for p, _ in phrases] + [m.split() for m in keys]
+    indexed = sorted({w for w, _, _ in indexed_words(templates)} | {w[_anchor(w)] for w in listed})
     words = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), NOT_WORD), "")
     df = docs.withColumn("words", words)
     found = F.transform("words", lambda w, i: F.when(F.lower(w).isin(indexed), F.struct(i.alias("p"), _ascii_lower(w).alias("w"))))
     df = df.withColumn("n_words", F.size("words").cast("long")).withColumn("hits", F.array_compact(found))
     df = df.withColumn("hits", F.filter("hits", lambda h: h.w.isin(indexed)))
-    for i, phrase in enumerate(listed):
-        name = f"phrase_{i}" if i < len(phrases) else f"mandatory_{i - len(phrases)}"
-        df = df.withColumn(name, _places(phrase))
-    return df.drop("words")
+    for i in range(len(phrases)):
+        df = df.withColumn(f"phrase_{i}", _places(listed[i]))
+    none = F.array().cast("array<array<int>>")
+    standing = F.array(*[_places(m) for m in listed[len(phrases) :]]) if keys else none
+    return df.withColumn("mandatory", F.when(F.size("hits") > 0, standing).otherwise(none)).drop("words")
+
+
+def mandatory(templates=TEMPLATES) -> list[str]:
+    """All mandatory phrases, each once."""
+    return sorted({m for _, _, phrases in templates for m in phrases})
+
+
+def _matches(index: list[tuple], weight: list[float], templates) -> Column:
+    """Array of (template, score) of the templates that the columns hits and mandatory hold."""
+    by_word: dict[str, list[Column]] = {}
+    for w, t, i, idf in index:
+        by_word.setdefault(w, []).append(F.struct(F.lit(t).alias("t"), F.lit(i).alias("at"), F.lit(idf).alias("idf")))
+    postings = F.create_map(*[x for w, found in by_word.items() for x in (F.lit(w), F.array(*found))])
+    votes = F.flatten(F.array_compact(F.transform("hits", lambda h: F.transform(F.try_element_at(postings, h.w), lambda e: F.struct(e.t.alias("t"), (h.p - e.at).alias("begins"), e.at.alias("at"), e.idf.alias("idf"))))))
+    need = F.array(*[F.lit(MIN_SCORE * w) for w in weight])
+    key_at = F.array(*[F.array(*[F.struct(F.lit(mandatory(templates).index(m)).alias("m"), F.lit(_offset(text, m)).alias("o")) for m in phrases]) for text, _, phrases in templates])
+
+    def run(s, v):
+        """Votes of one template that begin within SLACK words of the first of them make a run; places are noted once they suffice."""
+        goes_on = (s.t == v.t) & (v.begins - s.begins <= SLACK)
+        total = F.when(goes_on, s.total).otherwise(F.lit(0.0)) + v.idf
+        begins, enough = F.when(goes_on, s.begins).otherwise(v.begins), F.get(need, v.t) - 1e-9
+        new = (total >= enough) & (~goes_on | (s.total < enough))
+        found = F.when(new, F.concat(s.found, F.array(F.struct(v.t.alias("t"), begins.alias("begins"))))).otherwise(s.found)
+        return F.struct(v.t.alias("t"), begins.alias("begins"), total.alias("total"), found.alias("found"))
+
+    start = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("begins"), F.lit(0.0).alias("total"), F.array().cast("array<struct<t:int,begins:int>>").alias("found"))
+
+    def verified(all_votes):
+        runs = F.aggregate(all_votes, start, run, lambda s: s.found)
+
+        def score(r):
+            mine = F.filter(all_votes, lambda v: (v.t == r.t) & (v.begins >= r.begins) & (v.begins <= r.begins + SLACK))
+            once = F.array_distinct(F.transform(mine, lambda v: F.struct(v.at.alias("at"), v.idf.alias("idf"))))
+            total = F.aggregate(once, F.lit(0.0), lambda s, v: s + v.idf)
+            stands = F.forall(F.get(key_at, r.t), lambda k: F.exists(F.get("mandatory", k.m), lambda p: F.abs(p - k.o - r.begins) <= SLACK))
+            return F.struct(r.t.alias("t"), F.when(stands, F.least(F.lit(1.0), total * MIN_SCORE / F.get(need, r.t))).otherwise(F.lit(0.0)).alias("score"))
+
+        return F.filter(F.transform(runs, score), lambda m: m.score >= MIN_SCORE - 1e-9)
+
+    return let(F.array_sort(votes), verified)
 
 
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row of docs."""
-    found = hits(docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("__text")), phrases, templates, "__text")
+    found = hits(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), phrases, templates, "__text")
     found = stored(found.drop("__text"), "license-hits")
-    with_hits = found.where(F.size("hits") > 0)
 
     # document frequencies: a row for each indexed word at most
-    seen = with_hits.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h.w))).alias("w")).groupBy("w").count().collect()
-    total = found.count()
-    idf = {r["w"]: math.log((total + 1) / (r["count"] + 0.5)) for r in seen}
-
-    # votes: equal texts once; their results are joined back by key
-    index = [(w, t, i, idf[w]) for t, (text, _, _) in enumerate(templates) for i, w in enumerate(text.split()) if w in idf and w not in COMMON]
-    weight = {t: sum(idf.get(w, math.log((total + 1) / 0.5)) for w in text.split() if w not in COMMON) for t, (text, _, _) in enumerate(templates)}
-    distinct = with_hits.dropDuplicates(["key"])
-    picked = distinct.select("key", F.explode("hits").alias("hit")).select("key", "hit.*")
-    spark = docs.sparkSession
-    postings = spark.createDataFrame(index or [("", -1, 0, 0.0)], "w string, template int, at int, idf double")
-    votes = picked.join(F.broadcast(postings), "w").groupBy("key", "template", (F.col("p") - F.col("at")).alias("begins")).agg(F.sum("idf").alias("idf"))
-    most = F.create_map(*[x for t, v in weight.items() for x in (F.lit(t), F.lit(float(v)))])
-    votes = votes.withColumn("score", F.least(F.lit(1.0), F.col("idf") / most[F.col("template")])).where(F.col("score") >= MIN_SCORE)
-    places = F.map_from_arrays(F.array(*[F.lit(t) for t in range(len(templates))]), F.array(*[F.col(f"mandatory_{t}") for t in range(len(templates))]))
-    offset = F.create_map(*[F.lit(x) for t, (text, _, m) in enumerate(templates) for x in (t, _offset(text, m))])
-    label = F.create_map(*[F.lit(x) for t, (_, name, _) in enumerate(templates) for x in (t, name)])
-    checked = votes.join(distinct.select("key", places.alias("places")), "key")
-    checked = checked.where(F.array_contains(F.col("places")[F.col("template")], F.col("begins") + offset[F.col("template")]))
-    extra = checked.groupBy(F.col("key").alias("__k")).agg(F.collect_set(label[F.col("template")]).alias("more"), F.max("score").alias("score"))
-
-    out = found.join(extra, found["key"] == extra["__k"], "left")
+    seen = found.where(F.size("hits") > 0).select(F.explode(F.array_distinct(F.transform("hits", lambda h: h.w))).alias("w")).groupBy("w").count().collect()
+    total, df = found.count(), {r["w"]: r["count"] for r in seen}
+    index = [(w, t, i, math.log((total + 1) / (df.get(w, 0) + 0.5))) for w, t, i in indexed_words(templates)]
+    weight = [sum(idf for _, of, _, idf in index if of == t) for t in range(len(templates))]
+    index = [x for x in index if x[0] in df]
+
+    none = F.array().cast("array<struct<t:int,score:double>>")
+    more = F.when(F.size("hits") > 0, _matches(index, weight, templates)).otherwise(none) if index else none
+    out = found.withColumn("more", more)
+    label = F.array(*[F.lit(name) for _, name, _ in templates])
     starts = F.concat(*[F.col(f"phrase_{i}") for i in range(len(phrases))])
     base = F.array_compact(F.array(*[F.when(F.size(f"phrase_{i}") > 0, name) for i, (_, name) in enumerate(phrases)]))
-    labels = F.array_union(base, F.coalesce("more", F.array().cast("array<string>")))
+    labels = F.array_union(base, F.transform("more", lambda m: F.get(label, m.t)))
     return out.select(
         F.col("__id").alias(id_col), "n_words", F.size(starts).cast("long").alias("n_base"),
         F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"), F.array_join(F.array_sort(labels), ",").alias("labels"),
-        F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"),
+        F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("more", lambda m: m.score)), F.lit(0.0))).alias("score"),
     )
 
 
