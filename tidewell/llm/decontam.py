@@ -21,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, text_key
 from .license import NOT_WORD
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 24
-#: Item shingles that are broadcast at most (12 bytes each and overhead); beyond that both sides are shuffled.
+#: Pairs of an item and its shingle that are broadcast at most (20 bytes each and overhead); beyond that both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -83,24 +83,22 @@ def _starts(places: Column, need: Column, m: Column, last: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """(id, key, item, similarity, first_word, n_words): the best window of each document for each item that it holds.
 
-    key is a hash of the document's text; items with one text are represented by the least of their ids."""
+    key names the document's text (``common.text_key``); items with one text are represented by the least of their ids."""
     items = stored(items_of(benchmark, item_col, item_text), "decontam-items")
     lengths = sorted(r["k"] for r in items.select("k").distinct().collect())
     if not lengths:
         lengths = [SHINGLE]
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     hashed = rows.withColumn("hashes", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x))).drop("text")
 
     # starts of the windows with enough shingles of an item
     postings = items.select("item", "n", "k", F.explode(F.array_distinct("shingles")).alias("shingle"))
-    postings = postings.groupBy("k", "shingle").agg(F.collect_list(F.struct("item", "n")).alias("items"))
-    small = postings.count() <= BROADCAST_ROWS
+    small = (items.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= BROADCAST_ROWS
     starts = None
     for k in lengths:
         place = hashed.select("id", "key", F.size("hashes").alias("words"), F.posexplode(_shingles("hashes", k)).alias("p", "shingle"))
         own = postings.where(F.col("k") == k).drop("k")
         hit = place.join(F.broadcast(own) if small else own, "shingle")
-        hit = hit.select("id", "key", "words", "p", F.explode("items").alias("i")).select("id", "key", "words", "p", "i.*")
         hit = hit.groupBy("id", "key", "words", "item", "n").agg(F.array_sort(F.collect_set("p")).alias("ps"))
         hit = hit.withColumn("m", F.least("n", "words") - k + 1)
         hit = hit.withColumn("need", F.greatest(F.lit(1), F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("n") - k + 1) - 1e-9).cast("int")))
@@ -154,4 +152,4 @@ def every_item(found: DataFrame, benchmark: DataFrame, item_col: str = "item_id"
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those that hold a window like a benchmark item; all columns are kept."""
     bad = leaks(docs, benchmark, id_col, text_col, **options).select(F.col("key").alias("__leak")).distinct()
-    return docs.join(bad, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__leak"), "left_anti")
+    return docs.join(bad, text_key(F.col(text_col)) == F.col("__leak"), "left_anti")
