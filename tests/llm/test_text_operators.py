@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidewell.llm import decontam, license, lm, neardup, quality, substring
+from tidewell.llm import decontam, license, license_texts, lm, neardup, quality, substring
 from tidewell.llm.common import span_hashes, text_buffers, word_spans
 
 from .conftest import words
@@ -87,22 +87,118 @@ def test_base_scores_match_brute_force(docs, empty):
     assert lm.scores(empty).count() == 0
 
 
+def model_of(texts):
+    bits = lm.context_bits(sum(map(len, texts)))
+    n = len(texts)
+    table = pa.table({"text": texts, "train": [True] * n, "tune": [False] * n, "chunk": pa.array([0] * n, pa.int32())})
+    parts = lm._counts(bits)(table).to_pylist()
+    return lm.build([(p["part"], p["body"]) for p in parts if p["part"] is not None], bits)
+
+
+def coded(texts):
+    data, offsets = text_buffers(pa.array(texts))
+    lower = lm.LOWER[data]
+    return lm.stream(lower, offsets, word_spans(lower, offsets))
+
+
+def bit_by_bit(model, text):
+    """Nats of each byte of one coded text, by plain loops: contexts, codes, gates, weights that move after each block."""
+    data = " ".join(split(text)).translate(ASCII_LOWER).encode() + b"\0"
+    own, seen, costs, at = [0.0] * len(lm.ORDERS), [1e-2] * len(lm.ORDERS), [], 0
+    while at < len(data):
+        block = data[at : at + max(lm.BLOCK, at // lm.GROWTH)]
+        grads = [0.0] * len(lm.ORDERS)
+        for i in range(at, at + len(block)):
+            rows, h, inside = [], 0, True
+            for k in range(1, max(lm.ORDERS) + 1):
+                before = data[i - k] if i >= k and inside else 0
+                inside = inside and before != 0
+                h = (h * 0x01000193 + before + k) % 2**32
+                if k in lm.ORDERS:
+                    b = model["bits"][lm.ORDERS.index(k)]
+                    group = (data[i - 1] if i else 0) % lm.CLASSES
+                    rows.append((group << b - lm.CLASS_BITS) + ((h * 0x9E3779B1 % 2**32) >> 32 - b + lm.CLASS_BITS))
+            code, cost = group * 256 + data[i], 0.0
+            for e in range(model["first"][code], model["first"][code] + model["lengths"][code]):
+                node, bit = model["nodes"][e], model["taken"][e]
+                x = [int(t[r * 256 + node]) for t, r in zip(model["tables"], rows)]
+                gate = 0
+                for o in x[1:]:
+                    gate = gate * 4 + sum(abs(o) / lm.SCALE >= c for c in (1e-9, 2.7, 4.0))
+                z = sum((model["weights"][k][gate] + own[k]) * o / lm.SCALE for k, o in enumerate(x))
+                p = 1 / (1 + math.exp(-min(12, max(-12, z))))
+                cost -= math.log(p if bit else 1 - p)
+                for k, o in enumerate(x):
+                    grads[k] += ((1 - p) if bit else -p) * o / lm.SCALE
+            costs.append(cost)
+        for k, g in enumerate(grads):
+            seen[k] += g * g
+            own[k] += lm.RATE * g / math.sqrt(seen[k])
+        at += len(block)
+    return costs
+
+
+def test_byte_costs_match_a_coder_bit_by_bit():
+    rng = random.Random(2)
+    model = model_of([words(random.Random(i), 60, 50) for i in range(40)])
+    model["weights"] = model["weights"] + np.random.default_rng(0).normal(0, 0.1, model["weights"].shape).astype(np.float32)
+    texts = [words(rng, n, 60) for n in (1, 4, 30, 90)] + ["", "Été  \t w1x W2X", "one two"]
+    data, begin = coded(texts)
+    costs = lm.byte_costs(model, data, begin)
+    for i, t in enumerate(texts):
+        assert np.allclose(costs[begin[i] : begin[i + 1]], bit_by_bit(model, t), rtol=2e-3, atol=2e-3), t
+        alone = lm.byte_costs(model, *coded([t]))
+        assert np.allclose(alone, costs[begin[i] : begin[i + 1]], rtol=1e-4, atol=1e-5)
+
+
+def test_word_costs_match_plain_loops():
+    model = model_of([words(random.Random(1), 60, 50)])
+    rng = np.random.default_rng(1)
+    model["word_gates"] = np.array([0.5, 0.1, 0.3, 0.2])
+    first = np.array([0, 0, 3, 60, 61])
+    known = rng.choice([-np.inf, math.log(1e-5), math.log(1e-3)], 61, p=[0.3, 0.3, 0.4])
+    spelled = rng.uniform(1, 30, 61)
+    got = lm.word_costs(model, first, spelled, known, 1e-4)
+    for a, b in zip(first[:-1], first[1:]):
+        share, weight, i = [g * lm.WORD_WEIGHT for g in model["word_gates"]], [lm.WORD_WEIGHT] * 4, a
+        while i < b:
+            block, more = range(i, min(b, i + max(lm.WORD_BLOCK, (i - a) // 8))), []
+            for j in block:
+                g = 0 if j == a else 1 if known[j - 1] == -np.inf else 2 if known[j - 1] <= math.log(1e-4) else 3
+                part = share[g] / weight[g]
+                by_count, by_bytes = part * math.exp(known[j]), (1 - part) * math.exp(-spelled[j])
+                assert got[j] == pytest.approx(-math.log(by_count + by_bytes), rel=1e-9)
+                more.append((g, by_count / (by_count + by_bytes)))
+            for g, r in more:
+                share[g] += r
+                weight[g] += 1
+            i = block[-1] + 1
+
+
 def test_model_codes_every_bit_once():
-    """The probabilities of all continuations of a byte sum to one, and costs do not depend on the batch."""
-    texts = [words(random.Random(i), 60, 50) for i in range(40)]
-    table = pa.table({"text": texts, "train": [True] * 40, "chunk": pa.array([0] * 40, pa.int32())})
-    parts = lm._counts(table).to_pylist()
-    model = lm.build([(p["part"], p["body"]) for p in parts if p["part"] is not None])
-    lengths = model["lengths"]
-    assert abs(sum(2.0 ** -float(n) for n in lengths) - 1) < 1e-12
-    alone = [lm.costs(model, *text_buffers(pa.array([t])))[0][0] for t in texts[:5]]
-    together = lm.costs(model, *text_buffers(pa.array(texts[:5])))[0]
-    assert np.allclose(alone, together, rtol=1e-4)
-    first = [lm.costs(model, *text_buffers(pa.array([s])))[0][0] for s in ("w1x w2x w3x", "qqq zzz vvv")]
-    assert first[0] < first[1]
+    """The codes are complete, likely texts cost less, and a model of nothing costs a bit for each bit."""
+    model = model_of([words(random.Random(i), 60, 50) for i in range(40)])
+    lengths = model["lengths"].reshape(lm.CLASSES, 256)
+    assert np.allclose((2.0 ** -lengths.astype(float)).sum(1), 1)
+    total = lambda m, t: lm.byte_costs(m, *coded([t])).sum()
+    assert total(model, "w1x w2x w3x") < total(model, "qqq zzz vvv")
     empty = lm.build([])
-    bits = lm.costs(empty, *text_buffers(pa.array(["ab"])))[0][0] / math.log(2)
-    assert abs(bits - empty["lengths"][[97, 98, 0]].sum()) < 1e-6
+    assert total(empty, "ab") / math.log(2) == pytest.approx(empty["lengths"].reshape(lm.CLASSES, 256)[[0, 97 % 32, 98 % 32], [97, 98, 0]].sum(), rel=1e-5)
+
+
+def test_held_out_texts_score_above_the_base(spark):
+    """Texts of a language of its own: the model must tell more than the shares of words do."""
+    rng, rows = random.Random(6), []
+    vocabulary = ["".join(rng.choice(["ta", "ri", "mo", "le", "sun", "ka"]) for _ in range(rng.randrange(1, 5))) for _ in range(3000)]
+    after = {w: rng.sample(vocabulary, 4) for w in vocabulary}
+    for i in range(1500):
+        text = [rng.choice(vocabulary)]
+        for _ in range(rng.randrange(5, 120)):
+            text.append(rng.choice(after[text[-1]]))
+        rows.append((i, " ".join(text)))
+    got = lm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) and len(held) > 100
 
 
 # --- 5: quality ----------------------------------------------------------------------------------
@@ -335,16 +431,62 @@ def test_license_scan(spark, docs, empty):
         r = by[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None), i
         assert r.base_labels == ",".join(sorted({n for _, n in at})) and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
-    assert by[5].labels == "gpl-3" and by[6].labels == "all-rights-reserved" and by[9].labels == "mit" and by[10].labels == "" and 0 <= by[5].score <= 1
+    assert by[5].labels == "gpl-3" and by[6].labels == "all-rights-reserved" and "mit" in by[9].labels.split(",") and by[10].labels == "" and 0 <= by[5].score <= 1
     assert license.scan(empty).count() == 0 and license.scan(docs).count() == docs.count()
 
 
 def test_license_scan_of_all_templates_in_one_file(spark):
-    want = sorted({name for _, name, _ in license.TEMPLATES})
-    rows = [(0, "\n\n".join(t for t, _, _ in license.TEMPLATES)), (1, "nothing here")]
-    rows += [(10 + i, f"a {t} b") for i, (t, _, _) in enumerate(license.TEMPLATES) if i != 2]
+    texts = [t for _, _, t in license_texts.TEXTS]
+    want = sorted({name for name, _, _ in license_texts.TEXTS})
+    rows = [(0, "\n\n".join(texts)), (1, "nothing here")]
+    rows += [(10 + i, f"a {t} b") for i, t in enumerate(texts)]
     rows += [(100 + i, "all rights reserved") for i in range(20)]
+    rows += [(200 + i, f"/* {t.replace(',', ' *,').upper()} */ {t}") for i, t in enumerate(texts)]
+    edited = []
+    for i, t in enumerate(texts):  # words put in and left out, outside of the key phrases
+        if len(t.split()) > 100 and (w := t.split()):
+            edited.append(i)
+            rows.append((300 + i, " ".join([*w[:40], "really", "so", *w[40:62], *w[64:]])))
     by = {r.doc_id: r for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert by[0].labels.split(",") == want and by[0].score == 1.0 and by[1].labels == ""
-    alone = license.scan(spark.createDataFrame([(0, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files " + license.TEMPLATES[4][0] + " " + license.TEMPLATES[5][0])], "doc_id long, text string")).first()
-    assert alone.labels == "bsd,mit"
+    for i, (name, _, _) in enumerate(license_texts.TEXTS):
+        assert name in by[10 + i].labels.split(",") and by[10 + i].score == pytest.approx(1.0) and by[200 + i].labels == by[10 + i].labels
+    assert all(license_texts.TEXTS[i][0] in by[300 + i].labels.split(",") for i in edited) and len(edited) > 5
+
+
+def test_license_labels_match_brute_force(spark):
+    """Of texts that are cut and mixed at random."""
+    rng, rows = random.Random(7), [(0, None), (1, ""), (2, "permission " * 300)]
+    templates = license.TEMPLATES
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            w = rng.choice(templates)[0].split()
+            low, high = sorted((rng.randrange(len(w) + 1) if rng.random() < 0.7 else 0, rng.randrange(len(w) + 1) if rng.random() < 0.7 else len(w)))
+            parts += [words(rng, rng.randrange(6)), " ".join(w[low:high])]
+        rows.append((10 + i, " ".join(parts)))
+    got = {r.doc_id: r for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    index = license.indexed_words()
+    split_rows = {i: (t or "").split() for i, t in rows}
+    df = Counter(w for t in split_rows.values() for w in set(t))
+    idf = {w: math.log((len(rows) + 1) / (df[w] + 0.5)) for w, _, _ in index}
+    for i, w in split_rows.items():
+        found, best = set(), 0.0
+        for t, (text, name, phrases) in enumerate(templates):
+            votes = sorted((p - at, at) for p, x in enumerate(w) for y, of, at in index if of == t and x == y)
+            need = 0.5 * sum(idf[x] for x, of, _ in index if of == t)
+            keys = [(license._offset(text, m), [p for p in range(len(w)) if w[p : p + len(m.split())] == m.split()]) for m in phrases]
+            low, total, runs = None, 0.0, set()
+            for begins, at in votes:
+                if low is None or begins - low > license.SLACK:
+                    low, total = begins, 0.0
+                total += idf[text.split()[at]]
+                if total >= need - 1e-9:
+                    runs.add(low)
+            for low in runs:
+                score = sum(idf[text.split()[at]] for at in {at for b, at in votes if low <= b <= low + license.SLACK}) / need / 2
+                if score >= 0.5 - 1e-9 and all(any(abs(p - o - low) <= license.SLACK for p in at) for o, at in keys):
+                    found.add(name)
+                    best = max(best, min(1.0, score))
+        base = set(got[i].base_labels.split(",")) - {""}
+        assert set(got[i].labels.split(",")) - {""} == found | base and got[i].score == pytest.approx(1.0 if base else best), (i, w)

@@ -226,19 +226,21 @@ def _exact_rest(members: DataFrame, within: DataFrame, texts: DataFrame) -> Data
     ranked = each.join(across, "v").groupBy("key", "root", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("live"))
     wanted = F.ceil(F.lit(THRESHOLD) * F.col("n") - 1e-9).cast("int")
     ranked = ranked.withColumn("prefix", F.size("live") - wanted + 1).where("prefix > 0")
-    spread = ranked.select("key", "root", "n", F.size("live").alias("m"), F.posexplode(F.slice("live", 1, F.col("prefix"))).alias("at", "e"))
-    spread = stored(spread.select("key", "root", "n", (F.col("m") - F.col("at")).alias("left"), F.col("e.v").alias("v")), "neardup-prefixes")
+    spread = ranked.select("key", "root", "n", F.transform("live", lambda e: e.v).alias("live"), F.posexplode(F.slice("live", 1, F.col("prefix"))).alias("at", "e"))
+    ahead = F.slice("live", F.greatest(F.col("at") - 15, F.lit(1)), F.least("at", F.lit(16)))
+    spread = stored(spread.select("key", "root", "n", (F.size("live") - F.col("at")).alias("left"), F.col("e.v").alias("v"), ahead.alias("ahead")), "neardup-prefixes")
 
     # of each word's classes the largest is not compared with itself
     sizes = spread.groupBy("v", "root").agg(F.count("*").alias("c"))
     sizes = sizes.groupBy("v").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1").select("v", F.col("top.root").alias("top"))
     spread = stored(spread.join(sizes, "v"), "neardup-shared")
 
-    # at its first common word a pair has that one and what follows in both: enough for the similarity, or no pair
-    a = spread.where("root != top").select("v", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("left").alias("la"))
-    b = spread.select("v", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("left").alias("lb"))
+    # at its first common word a pair has that one and what follows in both: enough for the similarity, or no pair;
+    # at a later one it is left out where the words just ahead (16 at most) show that there was an earlier one
+    a = spread.where("root != top").select("v", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("ahead").alias("ha"))
+    b = spread.select("v", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("ahead").alias("hb"))
     room = F.least("la", "lb") >= F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("na") + F.col("nb")) - 1e-9
-    pairs = a.join(b, "v").where("ra != rb").where(_similar_length()).where(room)
+    pairs = a.join(b, "v").where("ra != rb").where(_similar_length()).where(room).where(~F.arrays_overlap("ha", "hb"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
