@@ -36,12 +36,21 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def rbf_gamma(centers: DataFrame, ident: str = "id", state: str = "state", eps: float = 1e-12) -> DataFrame:
-    """(gamma): 1 / median of the positive squared distances between centers. A model has few centers by definition."""
+def rbf_gamma(centers: DataFrame, ident: str = "id", state: str = "state", eps: float = 1e-12, most: int = 1000, none_positive: str = "one") -> DataFrame:
+    """(gamma): 1 / median of the positive squared distances between centers; of a single center 1 / variance of its
+    numbers. Of several centers at one place it is 1, or with none_positive="variance" 1 / variance too.
+
+    A model has few centers by definition; more than most of them are an error, so that the broadcast stays small."""
+    n = centers.count()
+    if n > most:
+        raise ValueError(f"{n} centers; at most {most} are held by each task")
     a = centers.select(F.col(ident).alias("a"), F.col(state).cast("array<double>").alias("sa"))
     b = centers.select(F.col(ident).alias("b"), F.col(state).cast("array<double>").alias("sb"))
     d = a.join(F.broadcast(b), F.col("a") != F.col("b")).select(squared_distance(F.col("sa"), F.col("sb")).alias("d2"))
-    return d.where("d2 > 0").agg((1.0 / F.greatest(F.percentile("d2", 0.5), F.lit(eps))).alias("gamma"))
+    d = d.where("d2 > 0").agg(F.percentile("d2", 0.5).alias("__median"))
+    spread = a.select(F.explode("sa").alias("v")).agg((F.var_pop("v") + eps).alias("__spread"))
+    other = F.lit(1.0) if n > 1 and none_positive == "one" else F.col("__spread")
+    return d.join(F.broadcast(spread)).select((1.0 / F.greatest(F.coalesce("__median", other), F.lit(eps))).alias("gamma"))
 
 
 def rbf_lift(df: DataFrame, centers: list[list[float]], gamma: float, state: str = "state", out: str = "lifted") -> DataFrame:
@@ -89,3 +98,20 @@ def pde_library(df: DataFrame, length: float, keys: list[str], state: str = "sta
     u, ux, uxx = F.col("z.u"), F.col("z.__ux"), F.col("z.__uxx")
     terms = (F.lit(1.0), u, u * u, ux, u * ux, u * u * ux, uxx, u * uxx)
     return z.select(*keys, "j", *[t.alias(f"f{i}") for i, t in enumerate(terms)])
+
+
+def spatial_subset(n: int, most: int) -> list[int]:
+    """Up to most of n places, evenly spread with both ends: round(i (n - 1) / (m - 1)), halves to the even one, each once."""
+    m = max(1, min(most, n))
+    if m >= n:
+        return list(range(n))
+    return sorted({round(i * (n - 1) / (m - 1)) for i in range(m)}) if m > 1 else [0]
+
+
+def subset_state(df: DataFrame, keys: list[str], most: int, state: str = "state") -> DataFrame:
+    """(keys, place, value): the evenly spread places of each row's field, whatever its size."""
+    n = F.size(state)
+    m = F.greatest(F.lit(1), F.least(F.lit(most), n))
+    place = F.when(m >= n, F.sequence(F.lit(0), n - 1)).when(m == 1, F.array(F.lit(0)))
+    spread = F.array_distinct(F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.bround(i * (n - 1) / F.greatest(m - 1, F.lit(1)), 0).cast("int")))
+    return df.where(n > 0).select(*keys, F.col(state).alias("__s"), F.explode(place.otherwise(spread)).alias("place")).select(*keys, "place", F.get("__s", "place").alias("value"))

@@ -35,6 +35,18 @@ def core_summary(df: DataFrame, keys: list[str], f1: str = "support_f1", error:
     )
 
 
+def sensitivity_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """Mean and median of each metric, and the number of records."""
+    each = [x for m in metrics for x in (F.avg(clean(m)).alias(f"mean_{m}"), median(m).alias(f"median_{m}"))]
+    return df.groupBy(*keys).agg(*each, F.count("*").alias("n"))
+
+
+def tuning_summary(df: DataFrame, keys: list[str], settings: list[str], error: str) -> DataFrame:
+    """Medians of tuning settings, which records of other methods lack, and of the error; groups of a null key are left out."""
+    known = df.dropna(subset=keys)
+    return known.groupBy(*keys).agg(*[median(s).alias(f"median_{s}") for s in settings], median(error).alias(f"median_{error}"), F.count(clean(error)).alias("n"))
+
+
 def extended_summary(df: DataFrame, keys: list[str], metric: str, exact: str, seed: str) -> DataFrame:
     """mean, median, min, max, exact count and rate, number of seeds."""
     m = clean(metric)
@@ -69,11 +81,13 @@ def complete_groups(df: DataFrame, keys: list[str], ok: Column, size: int) -> Da
 def paired(df: DataFrame, keys: list[str], method: str, baseline, metrics: list[str], one_to_one: bool = True) -> DataFrame:
     """Every other method's records beside the baseline's with the same keys: method, metrics, and metric_base for each.
 
-    With one_to_one, keys that occur twice on the baseline's side end the query with an error."""
-    base = df.where(F.col(method) == baseline).select(*keys, *[F.col(m).alias(f"{m}_base") for m in metrics])
+    With one_to_one, a key that occurs twice in the baseline or in one of the other methods ends the query with an error."""
     if one_to_one:
-        n = F.count("*").over(Window.partitionBy(*keys))
-        base = base.withColumn("__n", n).withColumn(keys[0], F.when(F.col("__n") > 1, F.raise_error(F.lit("a key occurs twice in the baseline"))).otherwise(F.col(keys[0]))).drop("__n")
+        w = Window.partitionBy(*keys)
+        df = df.withColumn("__twice", F.count(method).over(w) > F.size(F.collect_set(method).over(w)))
+        twice = F.raise_error(F.lit("a key occurs twice in one method")).cast(df.schema[keys[0]].dataType)
+        df = df.withColumn(keys[0], F.when(F.col("__twice"), twice).otherwise(F.col(keys[0]))).drop("__twice")
+    base = df.where(F.col(method) == baseline).select(*keys, *[F.col(m).alias(f"{m}_base") for m in metrics])
     return df.where(F.col(method) != baseline).select(*keys, method, *metrics).join(base, keys)
 
 
@@ -149,10 +163,18 @@ def bands(column: str, cuts: list[tuple[float, str]], otherwise: str) -> Column:
     return out.otherwise(otherwise)
 
 
-def ordered_by(df: DataFrame, column: str, values: list, out: str = "position") -> DataFrame:
-    """A row for each of the given values in their order, with nulls where df has none."""
-    order = df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(values)], f"{out} int, `{column}` {df.schema[column].dataType.simpleString()}")
-    return order.join(df, column, "left")
+def ordered_by(df: DataFrame, column: str, values: list, out: str = "position", append: bool = False) -> DataFrame:
+    """A row for each of the given values in their order, with nulls where df has none. With append, values outside the
+    list follow, in their own order."""
+    position = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column)).cast("int") - 1
+    order = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(v).cast(df.schema[column].dataType) for v in values])).alias(out, column))
+    found = order.join(df, column, "left")
+    if not append:
+        return found
+    others = df.where(F.coalesce(position, F.lit(-1)) < 0)
+    rank = F.dense_rank().over(Window.orderBy(column)) + len(values) - 1
+    names = others.select(column).distinct().withColumn(out, rank.cast("int"))
+    return found.unionByName(others.join(names, column))
 
 
 def labelled(df: DataFrame, column: str, labels: dict, out: str) -> DataFrame:

@@ -41,20 +41,21 @@ def pareto_front(df: DataFrame, keys: list[str], size: str = "support_size", cri
 
 
 def chord_elbow(front: DataFrame, keys: list[str], size: str = "support_size", criterion: str = "ebic") -> DataFrame:
-    """The front's point farthest above the chord from its first to its last size (the smaller size on ties), with the rule
-    that chose it: the only point, the least criterion if the gain is flat, or the elbow."""
+    """The front's point farthest from the chord between its ends (the smaller size on ties), with the rule that chose it:
+    single, elbow_ebic, or fallback_min_ebic, the least criterion, where there are fewer than three points, the gain is
+    flat, or no point lies off the chord."""
     w = Window.partitionBy(*keys)
     f = front.withColumn("__y", F.max(criterion).over(w) - F.col(criterion)).withColumn("__n", F.count("*").over(w))
-    f = f.withColumn("__x0", F.min(size).over(w)).withColumn("__x1", F.max(size).over(w)).withColumn("__top", F.max("__y").over(w))
+    f = f.withColumn("__x0", F.min(size).over(w)).withColumn("__x1", F.max(size).over(w)).withColumn("__span", F.greatest(F.max("__y").over(w) - F.min("__y").over(w), F.lit(1e-12)))
     f = f.withColumn("__y0", F.min_by("__y", size).over(w)).withColumn("__y1", F.max_by("__y", size).over(w))
     u = (F.col(size) - F.col("__x0")) / F.greatest(F.col("__x1") - F.col("__x0"), F.lit(1)).cast("double")
-    rise = (F.col("__y") - F.col("__y0") - (F.col("__y1") - F.col("__y0")) * u) / F.greatest(F.col("__top"), F.lit(1e-12))
-    f = f.withColumn("__d", F.round(rise, 9))
-    flat = (F.col("__n") <= 2) | (F.max("__d").over(w) <= 0)
+    off = F.abs((F.col("__y") - F.col("__y0") - (F.col("__y1") - F.col("__y0")) * u) / F.col("__span"))
+    f = f.withColumn("__d", F.round(off, 9))
+    level = F.max(F.abs(F.col("__y") - F.col("__y0"))).over(w) <= 1e-8 + 1e-5 * F.abs("__y0")
+    f = f.withColumn("__flat", (F.col("__n") <= 2) | level | (F.max("__d").over(w) <= 0))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.when(F.col("__flat"), F.col(criterion)).otherwise(-F.col("__d")), size))
-    f = f.withColumn("__flat", flat).withColumn("__r", rank)
-    rule = F.when(F.col("__n") == 1, "single").when(F.col("__flat"), "min_ebic").otherwise("elbow_ebic")
-    f = f.where("__r = 1").withColumn("selection_rule", rule)
+    rule = F.when(F.col("__n") == 1, "single").when(F.col("__flat"), "fallback_min_ebic").otherwise("elbow_ebic")
+    f = f.withColumn("__r", rank).where("__r = 1").withColumn("selection_rule", rule)
     return f.drop(*[c for c in f.columns if c.startswith("__")])
 
 
@@ -85,23 +86,19 @@ def select_models(candidates: DataFrame, keys: list[str], size: str = "support_s
     """One model for each group: the knee of its Pareto front, or by the chord, or the least criterion. The choice sees
     size and criterion only, no truth columns. A front has a row for each size, so a group stays small."""
     front = pareto_front(candidates, keys, size, criterion, tie)
-    fields = [*front.schema.fields]
+    fields = [T.StructField(f.name, f.dataType) for f in front.schema.fields]  # a NaN comes back as null
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(size, kind="stable").reset_index(drop=True)
         x, y = part[size].to_numpy(float), part[criterion].max() - part[criterion].to_numpy(float)
-        if len(part) == 1:
-            at, rule = 0, "single"
-        elif len(part) == 2 or np.ptp(y) == 0:
-            at, rule = int(part[criterion].to_numpy().argmin()), "min_ebic"
-        else:
-            knee = kneedle(x, y, sensitivity)
-            if knee is not None:
-                at, rule = int(np.flatnonzero(x == knee)[0]), "elbow_ebic"
-            else:
-                u = (x - x[0]) / (x[-1] - x[0])
-                rise = y - y[0] - (y[-1] - y[0]) * u
-                at, rule = (int(rise.argmax()), "elbow_ebic") if rise.max() > 0 else (int(part[criterion].to_numpy().argmin()), "fallback_min_ebic")
+        at, rule = int(part[criterion].to_numpy().argmin()), "single" if len(part) == 1 else "fallback_min_ebic"
+        knee = kneedle(x, y, sensitivity)
+        if knee is not None:
+            at, rule = int(np.flatnonzero(x == knee)[0]), "elbow_ebic"
+        elif len(part) > 2 and not np.allclose(y, y[0]):
+            off = np.round(np.abs(y - y[0] - (y[-1] - y[0]) * (x - x[0]) / (x[-1] - x[0])) / max(np.ptp(y), 1e-12), 9)
+            if off.max() > 0:
+                at, rule = int(off.argmax()), "elbow_ebic"
         return part.iloc[[at]].assign(selection_rule=rule)
 
     return front.groupBy(*keys).applyInPandas(choose, T.StructType([*fields, T.StructField("selection_rule", T.StringType())]))

@@ -5,6 +5,8 @@ All are windows or equi-joins by key; a series never leaves its key's partition
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,7 +88,7 @@ def dense_grid_exact(df: DataFrame, keys: list[str], q: int, t: str = "t") -> Da
     return ends.select(*keys, "__t0", "__t1", m.alias("__m"), F.explode(F.sequence(F.lit(0), m)).alias("i")).select(*keys, "i", (F.col("__t0") + (F.col("__t1") - F.col("__t0")) * F.col("i") / F.col("__m")).alias("t"))
 
 
-def _beside(queries: DataFrame, anchors: DataFrame, keys: list[str], t: str, x: str) -> DataFrame:
+def beside(queries: DataFrame, anchors: DataFrame, keys: list[str], t: str, x: str) -> DataFrame:
     """queries with the anchors before (or at) and after: t_prev, x_prev, t_next, x_next. One shuffle by key for both sides."""
     numbered = anchors.withColumn("__i", F.row_number().over(by_time(keys, t)) - 1)
     a = numbered.select(*keys, F.col(t).alias("t"), F.struct(F.col(t).alias("t"), F.col(x).alias("x"), F.col("__i").alias("i")).alias("__a"), F.lit(0).alias("__q"))
@@ -98,21 +100,25 @@ def _beside(queries: DataFrame, anchors: DataFrame, keys: list[str], t: str, x:
     return both.select(*keys, "t", F.col("__p.t").alias("t_prev"), F.col("__p.x").alias("x_prev"), F.col("__p.i").alias("i_prev"), F.col("__n.t").alias("t_next"), F.col("__n.x").alias("x_next"), F.col("__n.i").alias("i_next"))
 
 
-def asof_anchor(queries: DataFrame, anchors: DataFrame, keys: list[str], t: str = "t", x: str = "x") -> DataFrame:
-    """Each query time with the last anchor at or before it."""
-    return _beside(queries, anchors, keys, t, x).where("t_prev IS NOT NULL").select(*keys, "t", "t_prev", "x_prev", "i_prev")
+def asof_anchor(queries: DataFrame, anchors: DataFrame, keys: list[str], t: str = "t", x: str = "x", tolerance: float = 1e-10) -> DataFrame:
+    """Each query time with the last anchor at or before it. An anchor that is later by tolerance * max(1, |t|) at most, as
+    sums of steps are, counts as at it."""
+    b = beside(queries, anchors, keys, t, x)
+    late = F.col("t_next").isNotNull() & (F.col("t_next") - F.col("t") <= F.lit(tolerance) * F.greatest(F.lit(1.0), F.abs("t")))
+    took = [F.when(late, F.col(f"{c}_next")).otherwise(F.col(f"{c}_prev")).alias(f"{c}_prev") for c in ("t", "x", "i")]
+    return b.select(*keys, "t", *took).where("t_prev IS NOT NULL")
 
 
 def nearest_anchor(queries: DataFrame, anchors: DataFrame, keys: list[str], t: str = "t", x: str = "x") -> DataFrame:
     """Each query time with the nearest anchor, the earlier one on ties."""
-    b = _beside(queries, anchors, keys, t, x)
+    b = beside(queries, anchors, keys, t, x)
     use_prev = F.col("t_next").isNull() | (F.col("t") - F.col("t_prev") <= F.col("t_next") - F.col("t"))
     return b.select(*keys, "t", F.when(use_prev, F.col("t_prev")).otherwise(F.col("t_next")).alias("t_near"), F.when(use_prev, F.col("x_prev")).otherwise(F.col("x_next")).alias("x_near"), F.when(use_prev, F.col("i_prev")).otherwise(F.col("i_next")).alias("i_near"))
 
 
 def linear_interp(queries: DataFrame, anchors: DataFrame, keys: list[str], t: str = "t", x: str = "x") -> DataFrame:
     """Each query time with the value on the line between its anchors; beyond the ends the end's value."""
-    b = _beside(queries, anchors, keys, t, x)
+    b = beside(queries, anchors, keys, t, x)
     inside = F.col("x_prev") + (F.col("x_next") - F.col("x_prev")) * (F.col("t") - F.col("t_prev")) / (F.col("t_next") - F.col("t_prev"))
     value = F.when(F.col("t_prev").isNull(), F.col("x_next")).when(F.col("t_next").isNull() | (F.col("t_prev") == F.col("t_next")), F.col("x_prev")).otherwise(inside)
     return b.select(*keys, "t", value.alias("x"))
@@ -128,16 +134,20 @@ def interior_folds(df: DataFrame, keys: list[str], k: int, t: str = "t") -> Data
 
 
 def fold_interp_mse(df: DataFrame, keys: list[str], k: int, t: str = "t", x: str = "x", eps: float = 1e-12) -> DataFrame:
-    """(keys, fold, mse): held-out rows against linear interpolation of the others, over the variance of the others."""
+    """(keys, fold, mse): held-out rows against linear interpolation of the others, over the variance of the others.
+
+    The neighbours of a held-out row are in other folds, as there are two at least; so the guess is a window's, and the
+    others' variance is the sums of all less those of the fold. One shuffle by key."""
     f = interior_folds(df.select(*keys, F.col(t).alias("t"), F.col(x).alias("x")), keys, k)
-    each = f.select(*keys, F.col("fold").alias("__own"), "t", "x", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
-    each = each.join(f.where("fold >= 0").select(*keys, "fold").distinct(), [*keys, "fold"])
-    train = each.where("__own != fold")
-    held = each.where("__own = fold")
-    guess = linear_interp(held, train, [*keys, "fold"]).withColumnRenamed("x", "guess")
-    spread = train.groupBy(*keys, "fold").agg(F.var_pop("x").alias("v"))
-    joined = held.join(guess, [*keys, "fold", "t"]).join(spread, [*keys, "fold"])
-    return joined.groupBy(*keys, "fold").agg(F.avg((F.col("guess") - F.col("x")) ** 2 / F.greatest(F.col("v"), F.lit(eps))).alias("mse"))
+    w, whole = by_time(keys), Window.partitionBy(*keys)
+    f = f.withColumn("__m", F.avg("x").over(whole)).withColumn("__c", F.col("x") - F.col("__m"))
+    t0, t1, x0, x1 = F.lag("t").over(w), F.lead("t").over(w), F.lag("x").over(w), F.lead("x").over(w)
+    f = f.withColumn("__guess", F.when(t1 == t0, x0).otherwise(x0 + (x1 - x0) * (F.col("t") - t0) / (t1 - t0)))
+    g = f.groupBy(*keys, "fold").agg(F.count("*").alias("n"), F.sum("__c").alias("s"), F.sum(F.col("__c") ** 2).alias("q"), F.avg((F.col("__guess") - F.col("x")) ** 2).alias("e"))
+    for c in ("n", "s", "q"):
+        g = g.withColumn(f"__{c}", F.sum(c).over(whole) - F.col(c))
+    spread = F.col("__q") / F.col("__n") - (F.col("__s") / F.col("__n")) ** 2
+    return g.where("fold >= 0").select(*keys, "fold", (F.col("e") / F.greatest(spread, F.lit(eps))).alias("mse"))
 
 
 def delay_embedding(df: DataFrame, keys: list[str], delays: int, t: str = "t", x: str = "x") -> DataFrame:
@@ -169,10 +179,15 @@ def normalized_time(df: DataFrame, keys: list[str], t: str = "t", out: str = "ta
 
 
 def noise_sigma(df: DataFrame, keys: list[str], channel: str, x: str = "x", rel: float = 0.1, eps: float = 1e-12) -> DataFrame:
-    """(keys, channel, sigma): rel times each channel's sample deviation, or the greatest over the series if that is 0."""
-    each = df.groupBy(*keys, channel).agg(F.stddev_samp(x).alias("s"))
-    most = F.greatest(F.max("s").over(Window.partitionBy(*keys)), F.lit(eps))
-    return each.select(*keys, channel, (F.lit(rel) * F.when(F.coalesce("s", F.lit(0.0)) < eps, most).otherwise(F.col("s"))).alias("sigma"))
+    """(keys, channel, sigma): rel times each channel's sample deviation, or the population deviation of all values of the
+    series where that is 0 or a channel has one value only."""
+    w = Window.partitionBy(*keys)
+    each = df.groupBy(*keys, channel).agg(F.stddev_samp(x).alias("s"), F.count(x).alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v"))
+    n, mean = F.sum("n").over(w), F.sum(F.col("n") * F.col("m")).over(w) / F.sum("n").over(w)
+    each = each.withColumn("__n", n).withColumn("__m", mean)
+    within = F.sum(F.col("n") * (F.col("v") + (F.col("m") - F.col("__m")) ** 2)).over(w)
+    whole = F.greatest(F.sqrt(within / F.col("__n")), F.lit(eps))
+    return each.select(*keys, channel, (F.lit(rel) * F.when(F.coalesce("s", F.lit(0.0)) < eps, whole).otherwise(F.col("s"))).alias("sigma"))
 
 
 def noise_sigma_global(df: DataFrame, keys: list[str], x: str = "x", rel: float = 0.1, eps: float = 1e-12) -> DataFrame:
@@ -197,21 +212,42 @@ def energy_rank(df: DataFrame, keys: list[str], order: str, x: str = "x", energy
     return c.groupBy(*keys).agg(F.greatest(F.lit(1), F.least(F.lit(cap), F.sum((F.col("fraction") < energy).cast("int")) + 1)).cast("int").alias("rank"))
 
 
-def weak_windows(df: DataFrame, keys: list[str], halfwidth: float, stride: float, t: str = "t", x: str = "x", power: int = 4) -> DataFrame:
-    """(keys, center, integral, target, n): integrals of x * (1 - s**2)**power and of -x times its derivative over
-    overlapping windows, s the time from the center over halfwidth, by the trapezoid rule on the samples.
+def _moments(power: int, derivative: int):
+    """Antiderivatives of g and s g as polynomials of s, g the derivative of (1 - s**2)**power of that order (0 or 1)."""
+    test = {2 * i: math.comb(power, i) * (-1.0) ** i for i in range(power + 1)}
+    if derivative:
+        test = {d - 1: d * c for d, c in test.items() if d}
+    return {d + 1: c / (d + 1) for d, c in test.items()}, {d + 2: c / (d + 2) for d, c in test.items()}
 
-    A sample lies in at most 2 * halfwidth / stride windows, so the join is an explode, not a range join."""
-    ends = Window.partitionBy(*keys)
-    w = by_time(keys, t)
-    dt = (F.coalesce(F.lead(t).over(w), F.col(t)) - F.coalesce(F.lag(t).over(w), F.col(t))) / 2
-    df = df.withColumn("__dt", dt).withColumn("__t0", F.min(t).over(ends)).withColumn("__t1", F.max(t).over(ends))
-    first = F.greatest(F.lit(0), F.ceil((F.col(t) - F.col("__t0") - 2 * halfwidth) / stride - 1e-9).cast("int"))
-    last = F.least(F.floor((F.col(t) - F.col("__t0")) / stride + 1e-9), F.floor((F.col("__t1") - F.col("__t0") - 2 * halfwidth) / stride + 1e-9)).cast("int")
-    each = df.where(last >= first).select(*keys, F.col(t).alias("t"), F.col(x).alias("x"), "__dt", "__t0", F.explode(F.sequence(first, last)).alias("j"))
-    center = F.col("__t0") + halfwidth + F.col("j") * stride
-    each = each.withColumn("center", center).withColumn("s", (F.col("t") - F.col("center")) / halfwidth).where("abs(s) <= 1 + 1e-9")
-    inside = F.greatest(1 - F.col("s") ** 2, F.lit(0.0))
-    psi = inside**power
-    slope = -2 * power * F.col("s") * inside ** (power - 1) / halfwidth
-    return each.groupBy(*keys, "j", "center").agg(F.sum(F.col("x") * psi * F.col("__dt")).alias("integral"), F.sum(-F.col("x") * slope * F.col("__dt")).alias("target"), F.count("*").alias("n"))
+
+def polynomial(s: Column, terms: dict[int, float]) -> Column:
+    """The polynomial with these coefficients by degree, by Horner's rule."""
+    out = F.lit(0.0)
+    for d in range(max(terms), -1, -1):
+        out = out * s + F.lit(terms.get(d, 0.0))
+    return out
+
+
+def weak_windows(df: DataFrame, keys: list[str], halfwidth: float, stride: float, t: str = "t", x: str = "x", power: int = 4) -> DataFrame:
+    """(keys, j, center, integral, target, n): integrals of x * (1 - s**2)**power and of -x times its derivative over
+    overlapping windows that lie within the series, s the time from the center over halfwidth; n pieces in each.
+
+    The integrals are exact for the line through the samples: each piece between two samples, cut at the window's ends, has
+    closed moments. A piece meets a bounded number of windows, so the join is an explode, not a range join."""
+    ends, w = Window.partitionBy(*keys), by_time(keys, t)
+    df = df.select(*keys, F.col(t).alias("t"), F.col(x).alias("x"), F.lead(t).over(w).alias("__t"), F.lead(x).over(w).alias("__x"), F.min(t).over(ends).alias("__t0"), F.max(t).over(ends).alias("__t1"))
+    last = F.floor((F.col("__t1") - F.col("__t0") - 2 * halfwidth) / stride + 1e-9)
+    low = F.greatest(F.lit(0), F.ceil((F.col("t") - F.col("__t0") - 2 * halfwidth) / stride - 1e-9)).cast("int")
+    high = F.least(last, F.floor((F.col("__t") - F.col("__t0")) / stride + 1e-9)).cast("int")
+    df = df.where("__t > t").withColumn("__low", low).withColumn("__high", high).where("__high >= __low")
+    each = df.withColumn("j", F.explode(F.sequence("__low", "__high"))).withColumn("center", F.col("__t0") + halfwidth + F.col("j") * stride)
+    each = each.withColumn("s0", (F.col("t") - F.col("center")) / halfwidth).withColumn("s1", (F.col("__t") - F.col("center")) / halfwidth)
+    each = each.withColumn("lo", F.greatest(F.col("s0"), F.lit(-1.0))).withColumn("hi", F.least(F.col("s1"), F.lit(1.0))).where("hi > lo")
+
+    def piece(derivative: int) -> Column:
+        whole, first = _moments(power, derivative)
+        i0 = polynomial(F.col("hi"), whole) - polynomial(F.col("lo"), whole)
+        i1 = polynomial(F.col("hi"), first) - polynomial(F.col("lo"), first)
+        return (F.col("x") * (F.col("s1") * i0 - i1) + F.col("__x") * (i1 - F.col("s0") * i0)) / (F.col("s1") - F.col("s0"))
+
+    return each.groupBy(*keys, "j", "center").agg((F.sum(piece(0)) * halfwidth).alias("integral"), (-F.sum(piece(1))).alias("target"), F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import library as L
+from ..operators import records as X
 from ..operators import regression as G
 from ..operators import selection as M
 from .inputs import table
@@ -165,9 +166,9 @@ def pareto_front(spark, sf_dir):
 
 
 @query(f"""WITH {CANDIDATES}, {FRONT}, y AS (SELECT *, max(ebic) OVER w - ebic AS y, count(*) OVER w AS n2, min(support_size) OVER w AS x0, max(support_size) OVER w AS x1 FROM fr WINDOW w AS (PARTITION BY g)),
-z AS (SELECT *, max(y) OVER w AS top, arg_min(y, support_size) OVER w AS y0, arg_max(y, support_size) OVER w AS y1 FROM y WINDOW w AS (PARTITION BY g)),
-d AS (SELECT *, round((y - y0 - (y1 - y0) * (support_size - x0) / greatest(x1 - x0, 1)::DOUBLE) / greatest(top, 1e-12), 9) AS d FROM z), f AS (SELECT *, n2 <= 2 OR max(d) OVER (PARTITION BY g) <= 0 AS flat FROM d)
-SELECT g, support_size, candidate_id, CASE WHEN n2 = 1 THEN 'single' WHEN flat THEN 'min_ebic' ELSE 'elbow_ebic' END AS selection_rule FROM f QUALIFY row_number() OVER (PARTITION BY g ORDER BY CASE WHEN flat THEN ebic ELSE -d END, support_size) = 1""")
+z AS (SELECT *, greatest(max(y) OVER w - min(y) OVER w, 1e-12) AS span, arg_min(y, support_size) OVER w AS y0, arg_max(y, support_size) OVER w AS y1 FROM y WINDOW w AS (PARTITION BY g)),
+d AS (SELECT *, round(abs((y - y0 - (y1 - y0) * (support_size - x0) / greatest(x1 - x0, 1)::DOUBLE) / span), 9) AS d FROM z), f AS (SELECT *, n2 <= 2 OR max(d) OVER (PARTITION BY g) <= 0 AS flat FROM d)
+SELECT g, support_size, candidate_id, CASE WHEN n2 = 1 THEN 'single' WHEN flat THEN 'fallback_min_ebic' ELSE 'elbow_ebic' END AS selection_rule FROM f QUALIFY row_number() OVER (PARTITION BY g ORDER BY CASE WHEN flat THEN ebic ELSE -d END, support_size) = 1""")
 def elbow_chord(spark, sf_dir):
     f = M.pareto_front(_candidates(spark, sf_dir), ["g"])
     return M.chord_elbow(f, ["g"]).select("g", "support_size", "candidate_id", "selection_rule")
@@ -179,11 +180,40 @@ def pod_mean_variance(spark, sf_dir):
     return rounded(e.groupBy("i").agg(F.avg(F.col("v").cast("double")).alias("mean"), F.var_pop(F.col("v").cast("double")).alias("variance")))
 
 
-@query("""SELECT i::INT AS i, j::INT AS j, round(covar_pop(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE), 6) AS cov FROM embeddings, range(8) a(i), range(8) b(j) WHERE i <= j GROUP BY ALL""")
-def pod_covariance_block(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    c = [F.col("embedding")[i].cast("double") for i in range(8)]
-    pairs = [(i, j) for i in range(8) for j in range(i, 8)]
-    one = e.agg(*[F.covar_pop(c[i], c[j]).alias(f"c_{i}_{j}") for i, j in pairs])
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c_{i}_{j}").alias("cov")) for i, j in pairs])
-    return rounded(one.select(F.explode(cells).alias("e")).select("e.*"))
+@query(f"""WITH {CENTERS} SELECT round(1.0 / greatest(var_pop(v) + 1e-12, 1e-12), 5) AS gamma FROM (SELECT unnest(embedding::DOUBLE[]) AS v FROM ce WHERE vec_id = (SELECT min(vec_id) FROM ce))""")
+def lib_rbf_fit_single(spark, sf_dir):
+    """The width for a single center, the first by definition."""
+    return rounded(L.rbf_gamma(table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1), "vec_id", "embedding"), 5)
+
+
+@query(f"""WITH {COEFS} SELECT lang, source, round(coef, 6) AS coef, round(true_coef, 6) AS true_coef FROM co WHERE abs(coef) > 1e-12 OR abs(true_coef) > 1e-12""")
+def flt_active_coefficients(spark, sf_dir):
+    return rounded(X.active_coefficients(_coefs(spark, sf_dir)))
+
+
+@query(f"""WITH {COEFS} SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY source) - 1)::INT AS term, round(coef, 6) AS coef FROM co""")
+def coefficients_json_round_trip(spark, sf_dir):
+    """Coefficients of a model to a JSON list and back."""
+    packed = X.coefficients_to_json(_coefs(spark, sf_dir), ["lang"], order="source")
+    return rounded(X.coefficients_from_json(packed).select("lang", "term", "coef"))
+
+
+THRESHOLDS = (0.01, 0.1, 0.3, 1.0, 2.0)
+
+
+@query(f"""WITH {ITEMS}, s AS (SELECT l_returnflag, {_SUMS} FROM it GROUP BY 1), m AS (SELECT *, ab / sqrt(aa * bb) AS r, ay / sqrt(aa) AS ra, bdy / sqrt(bb) AS rb FROM s),
+f AS (SELECT *, ((1 + 1e-8) * ra - r * rb) / ((1 + 1e-8) * (1 + 1e-8) - r * r) / sqrt(aa) AS a, ((1 + 1e-8) * rb - r * ra) / ((1 + 1e-8) * (1 + 1e-8) - r * r) / sqrt(bb) AS b, ra / (1 + 1e-8) / sqrt(aa) AS oa, rb / (1 + 1e-8) / sqrt(bb) AS ob FROM m),
+h AS (SELECT *, list_position({list(THRESHOLDS)}, h) AS i FROM f, (SELECT unnest({list(THRESHOLDS)}::DOUBLE[]) AS h)),
+c AS (SELECT l_returnflag, h, i, CASE WHEN abs(a) >= h AND abs(b) >= h THEN a WHEN abs(a) >= h AND abs(oa) >= h THEN oa ELSE 0 END AS ca, CASE WHEN abs(a) >= h AND abs(b) >= h THEN b WHEN abs(b) >= h AND NOT abs(a) >= h AND abs(ob) >= h THEN ob ELSE 0 END AS cb FROM h),
+e AS (SELECT *, (abs(ca) > 1e-10)::INT AS p, (abs(cb) > 1e-10)::INT AS q, sqrt(pow(ca - 0.75, 2) + cb * cb) / 0.75 AS err FROM c), g AS (SELECT *, 2.0 * p / greatest(2.0 * p + q + (1 - p), 1e-12)::DOUBLE AS f1 FROM e)
+SELECT l_returnflag, h AS threshold, round(f1, 6) AS support_f1, round(err, 6) AS coef_error, round(f1 / (1 + err), 6) AS practical_score, p = 1 AND q = 0 AS exact_support
+FROM g QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY f1 / (1 + err) DESC, f1 DESC, err, i) = 1""")
+def fit_best_threshold(spark, sf_dir):
+    """Of the thresholded fits of price on quantity and discount the one nearest to a known law."""
+    path = None
+    for i, h in enumerate(THRESHOLDS):
+        one = G.stlsq_two(_items(spark, sf_dir), "q", "d", "y", h, ["l_returnflag"])
+        one = one.select("l_returnflag", F.lit(i).alias("threshold_index"), F.lit(h).alias("threshold"), F.posexplode(F.array("coef_a", "coef_b")).alias("term", "coef"))
+        path = one if path is None else path.unionByName(one)
+    truth = X.parameter_grid(spark, t=[0]).select(F.posexplode(F.array(F.lit(0.75), F.lit(0.0))).alias("term", "true_coef"))
+    return rounded(G.best_threshold(path, truth, ["l_returnflag"]))

@@ -129,8 +129,8 @@ def ts_standardize_train(spark, sf_dir):
     return r6(out.select("user_id", "event_id", "mean", "std", "z"), "mean", "std", "z")
 
 
-@query("""WITH a AS (SELECT user_id, event_type, stddev_samp(value) AS s FROM events GROUP BY ALL), b AS (SELECT *, greatest(max(s) OVER (PARTITION BY user_id), 1e-12) AS m FROM a)
-SELECT user_id, event_type, round(0.1 * CASE WHEN coalesce(s, 0) < 1e-12 THEN m ELSE s END, 6) AS sigma FROM b""")
+@query("""WITH a AS (SELECT user_id, event_type, stddev_samp(value) AS s FROM events GROUP BY ALL), b AS (SELECT user_id, greatest(stddev_pop(value), 1e-12) AS m FROM events GROUP BY 1)
+SELECT user_id, event_type, round(0.1 * CASE WHEN coalesce(s, 0) < 1e-12 THEN m ELSE s END, 6) AS sigma FROM a JOIN b USING (user_id)""")
 def ts_noise_sigma(spark, sf_dir):
     from .inputs import table
 
@@ -165,8 +165,43 @@ def ts_normalized_time(spark, sf_dir):
     return r6(S.normalized_time(events(spark, sf_dir), ["user_id"]).select("user_id", "event_id", "tau"), "tau")
 
 
-@query(f"""WITH {DAILY}, a AS (SELECT *, (coalesce(lead(t) OVER w, t) - coalesce(lag(t) OVER w, t)) / 2 AS dt, min(t) OVER (PARTITION BY event_type) AS t0, max(t) OVER (PARTITION BY event_type) AS t1 FROM dy WINDOW w AS (PARTITION BY event_type ORDER BY t)),
-j AS (SELECT *, unnest(range(0, greatest(0, floor((t1 - t0 - 8) / 2 + 1e-9)::BIGINT + 1))) AS j FROM a), s AS (SELECT *, (t - (t0 + 4 + j * 2)) / 4 AS s FROM j), i AS (SELECT *, greatest(1 - s * s, 0) AS u FROM s WHERE abs(s) <= 1 + 1e-9)
-SELECT event_type, j::INT AS j, round(t0 + 4 + j * 2, 6) AS center, round(sum(x * pow(u, 4) * dt), 6) AS integral, round(sum(x * 8 * s * pow(u, 3) / 4 * dt), 6) AS target, count(*) AS n FROM i GROUP BY event_type, j, t0""")
+#: Antiderivatives of (1 - s^2)^4, of s times it, of its derivative and of s times that.
+def _moments(s):
+    whole = f"({s} - 4 * pow({s}, 3) / 3 + 6 * pow({s}, 5) / 5 - 4 * pow({s}, 7) / 7 + pow({s}, 9) / 9)"
+    return whole, f"(pow({s}, 2) / 2 - pow({s}, 4) + pow({s}, 6) - pow({s}, 8) / 2 + pow({s}, 10) / 10)", f"pow(1 - {s} * {s}, 4)", f"({s} * pow(1 - {s} * {s}, 4) - {whole})"
+
+
+_PIECES = ", ".join(f"{b} - {a} AS {name}" for name, a, b in zip(("i0", "i1", "d0", "d1"), _moments("lo"), _moments("hi")))
+
+
+@query(f"""WITH {DAILY}, a AS (SELECT *, lead(t) OVER w AS t2, lead(x) OVER w AS x2, min(t) OVER (PARTITION BY event_type) AS t0, max(t) OVER (PARTITION BY event_type) AS t1 FROM dy WINDOW w AS (PARTITION BY event_type ORDER BY t)),
+j AS (SELECT *, unnest(range(0, greatest(0, floor((t1 - t0 - 8) / 2 + 1e-9)::BIGINT + 1))) AS j FROM a WHERE t2 > t), s AS (SELECT *, (t - (t0 + 4 + j * 2)) / 4 AS s, (t2 - (t0 + 4 + j * 2)) / 4 AS s2 FROM j),
+c AS (SELECT *, greatest(s, -1) AS lo, least(s2, 1) AS hi FROM s), p AS (SELECT *, {_PIECES} FROM c WHERE hi > lo)
+SELECT event_type, j::INT AS j, round(t0 + 4 + j * 2, 6) AS center, round(4 * sum((x * (s2 * i0 - i1) + x2 * (i1 - s * i0)) / (s2 - s)), 6) AS integral, round(-sum((x * (s2 * d0 - d1) + x2 * (d1 - s * d0)) / (s2 - s)), 6) AS target, count(*) AS n
+FROM p GROUP BY event_type, j, t0""")
 def ts_weak_windows(spark, sf_dir):
     return r6(S.weak_windows(daily(spark, sf_dir), ["event_type"], 4.0, 2.0), "center", "integral", "target")
+
+
+@query(f"""WITH {EVENTS}, w AS (SELECT user_id, event_id, lag(t) {W} a, lead(t) {W} b, lag(x) {W} xa, lead(x) {W} xb FROM ev)
+SELECT user_id, event_id, round((xb - xa) / (b - a), 6) AS d0, round((xb - xa) * 2 / (b - a), 6) AS d1 FROM w WHERE a IS NOT NULL AND b IS NOT NULL""")
+def ts_central_difference_arrays(spark, sf_dir):
+    s = events(spark, sf_dir).withColumn("state", F.array("x", 2 * F.col("x")))
+    d = S.central_difference_arrays(s, ["user_id"])
+    return r6(d.select("user_id", "event_id", F.col("derivative")[0].alias("d0"), F.col("derivative")[1].alias("d1")), "d0", "d1")
+
+
+@query(f"""WITH {EVENTS}, b AS (SELECT *, avg(x) FILTER (WHERE event_id % 3 != 1) OVER (PARTITION BY user_id) AS m FROM ev) SELECT user_id, event_id, round(CASE WHEN event_id % 3 != 1 THEN x ELSE m END, 6) AS x FROM b""")
+def ts_unstandardize(spark, sf_dir):
+    """Back from standardised values; held-out rows stand at the mean."""
+    z = S.standardize_train(events(spark, sf_dir), ["user_id"], F.col("event_id") % 3 != 1)
+    return r6(S.unstandardize(z.drop("x")).select("user_id", "event_id", "x"), "x")
+
+
+@query(f"""WITH {EVENTS} SELECT user_id, event_id, round(t, 6) AS t_prev FROM ev""")
+def ts_asof_tolerance(spark, sf_dir):
+    """Queries an ulp before their anchors count as at them."""
+    ev = events(spark, sf_dir)
+    q = ev.select("user_id", (F.col("t") * (1 - 1e-13)).alias("t"))
+    found = S.asof_anchor(q, ev.withColumn("v", F.col("event_id").cast("double")), ["user_id"], x="v")
+    return r6(found.select("user_id", F.col("x_prev").cast("long").alias("event_id"), "t_prev"), "t_prev")

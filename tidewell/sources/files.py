@@ -65,3 +65,12 @@ def to_markdown(df: DataFrame, limit: int = 200) -> str:
     rows = df.limit(limit).collect()
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(f"{v:.3f}" if isinstance(v, float) else "" if v is None else str(v) for v in r) + " |" for r in rows])
+
+
+def write_manifest(df: DataFrame, path: str, **more) -> None:
+    """The manifest of a result as one JSON text in a folder that Spark can reach."""
+    df.sparkSession.createDataFrame([(manifest(df, **more),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
