@@ -61,6 +61,24 @@ def test_mix_is_unbiased_and_spreads_hot_sources(spark):
         assert abs(r.taken - r.target) <= 20
 
 
+def test_every_document_keeps_its_expected_copies(spark):
+    """Mean copies over many sources of the same sizes: each near its chance, and each source near its target."""
+    sizes, sources, share = [1500, 900, 700, 400, 250, 100, 60, 45, 30, 20, 12, 7], 300, 0.37
+    rows = [(f"{s}-{i}", s * 100 + i, f"s{s}", a, 1) for s in range(sources) for i, a in enumerate(sizes)]
+    units = spark.createDataFrame(rows, "doc string, key long, source string, unit_size long, n long")
+    total = sum(sizes)
+    targets = spark.createDataFrame([(f"s{s}", total, share * total, len(sizes)) for s in range(sources)], "source string, source_size long, target double, units long")
+    got = mixing.copies(units, targets).collect()
+    mean, taken = defaultdict(float), defaultdict(int)
+    for r in got:
+        mean[r.unit_size] += r.copies / sources
+        taken[r.source] += r.unit_size * r.copies
+    assert len(got) == len(rows) and all(abs(m - share) < 0.12 for m in mean.values()), mean
+    assert abs(sum(taken.values()) / sources - share * total) < 20
+    off = sorted(abs(t - share * total) for t in taken.values())
+    assert off[len(off) // 2] <= 100  # small ones, but where the chances of the smaller documents leave no more room
+
+
 def check_shards(out, n, shards):
     slots, size = defaultdict(set), defaultdict(int)
     for r in out:
@@ -77,6 +95,8 @@ def test_shards_are_gapless_and_groups_stay(docs, empty):
         where[r.text or ""].add(r.shard)
     assert all(len(w) == 1 for w in where.values())
     assert sharding.shard(docs, 4).columns == [*docs.columns, "slot", "shard"]
+    named = sharding.shard(docs.withColumnsRenamed({"key": "slot", "size": "shard"}), 4)
+    assert named.columns == ["doc_id", "text", "source", "docs_slot", "docs_shard", "slot", "shard"] and named.where("docs_slot = 'clash'").count() == docs.count()
     assert sharding.shard(empty, 4).count() == 0
 
 

@@ -1,10 +1,15 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
-Every document gets a fractional number of copies, target / size of its source. The whole part is taken
+Every document is due a fractional number of copies, target / size of its source. The whole part is taken
 as it is; the fractions are rounded in pairs: mass (fraction times size) moves at random from one
 document to the other, with the expected value of both kept, until one of them is integral. What is left
-over from a block of documents meets the leftovers of other blocks in a tree, up to one per source,
-so that a source's taken words differ from its target by less than one document.
+over from a block of documents meets the leftovers of other blocks in a tree, up to one per source.
+
+Documents are rounded from the large to the small, in TIERS of size. A coin decides the last one of a tier; what it adds or
+takes is spread over the copies that all smaller documents of the source are due, so that the words it takes differ from its
+target by one of its smallest documents. A coin's expected value is 0, so that every document keeps its expected copies.
+Where the smaller documents together have too few words for that, less is spread, as much as keeps their copies within 0
+and max_repeat whichever way the coin falls, and the source stays off by the rest.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a source of its own,
 the last one; rows alike in id, source and text are one unit and share its decision; an empty table gives
@@ -23,6 +28,8 @@ from .common import let, stored, uniform
 #: Runs of anything but ASCII white space.
 GAP = r"[\x20\x09-\x0D]+"
 FAN_IN = 64
+#: Least sizes of the tiers, as parts of the mean size of a source's documents; the last tier has the rest.
+TIERS = (4.0, 2.0, 1.0, 0.5, 0.25, 0.0625)
 
 
 def word_count(text: Column) -> Column:
@@ -114,37 +121,51 @@ def _tree(live: DataFrame, most: int, seed: int, name: str) -> tuple[DataFrame,
     return done, live.drop("block").withColumn("extra", (uniform(F.lit(seed + 2), "id") < F.col("x")).cast("int"))
 
 
-def copies(units: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
+def copies(units: DataFrame, targets: DataFrame, seed: int = 17, max_repeat: float = 3.0) -> DataFrame:
     """units: (doc string, key long, source, unit_size long, n long); targets: (source, source_size, target, units).
     Returns units with source_size, target and copies int. Blocks hold about FAN_IN units each, by hash, whatever
     a source's share of all units; level by level FAN_IN blocks meet, until a source has one.
 
-    The units above half their source's mean size come first. What the coin for the last of them adds or takes is
-    spread over the chances of the smaller units (its expected value is 0), which are then rounded in the same way.
+    The tiers come one after the other, each with the copies that the coins of those before have left it. The tables of
+    a row for each source and tier are joined as Spark sees fit by their size.
     """
-    t = targets.select(F.col("source").alias("__source"), "source_size", "target", F.ceil(F.col("units") / FAN_IN).cast("long").alias("blocks"), (0.5 * F.col("source_size") / F.col("units")).alias("__middle"))
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    placed = units.join(t, units.source.eqNullSafe(t["__source"])).drop("__source").withColumn("__ratio", ratio)
-    placed = placed.withColumn("__base", F.floor("__ratio").cast("int")).withColumn("__x", F.col("__ratio") - F.col("__base"))
-    live = placed.where((F.col("__x") > 1e-12) & (F.col("__x") < 1 - 1e-12) & (F.col("unit_size") > 0)).select(
-        "source", F.struct("doc", "key").alias("id"), F.col("unit_size").cast("double").alias("a"), F.col("__x").alias("x"),
-        F.pmod(F.xxhash64(F.lit(seed), "doc", "key"), "blocks").alias("block"), (F.col("unit_size") > F.col("__middle")).alias("large"),
-    )
+    t = targets.select(F.col("source").alias("__source"), "source_size", "target", (F.col("source_size") / F.col("units")).alias("__mean"))
+    placed = units.join(t, units.source.eqNullSafe(t["__source"])).drop("__source")
+    tier = F.lit(len(TIERS))
+    for i in reversed(range(len(TIERS))):
+        tier = F.when(F.col("unit_size") > TIERS[i] * F.col("__mean"), i).otherwise(tier)
+    placed = placed.withColumn("__tier", tier).drop("__mean")
+    live = placed.where("unit_size > 0").select("source", F.struct("doc", "key").alias("id"), F.col("unit_size").cast("double").alias("a"), F.xxhash64(F.lit(seed), "doc", "key").alias("hash"), "__tier", (F.col("target") / F.col("source_size")).alias("ratio"))
     live = stored(live, "mix-live")
-    most = t.agg(F.max("blocks")).first()[0] or 1
-    done, last = _tree(live.where("large").drop("large"), most, seed, "large")
-    last = stored(last, "mix-last")
-    off = last.select(F.col("source").alias("__source"), (F.col("a") * (F.col("extra") - F.col("x"))).alias("__off"))
-    mass = live.where("NOT large").groupBy(F.col("source").alias("__of")).agg(F.sum("a").alias("__mass"))
-    shift = mass.join(off, F.col("__of").eqNullSafe(F.col("__source"))).select("__of", (F.col("__off") / F.col("__mass")).alias("__shift"))
-    small = live.where("NOT large").join(shift, F.col("source").eqNullSafe(F.col("__of")), "left")
-    moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("x") - F.coalesce("__shift", F.lit(0.0))))
-    small_done, small_last = _tree(small.select("source", "id", "a", moved.alias("x"), "block"), most, seed + 5, "small")
-    for more in (last, small_done, small_last):
-        done = done.unionByName(more.select("id", "extra"))
+    of = live.groupBy(F.col("source").alias("__of"), F.col("__tier").alias("__at")).agg(F.sum("a").alias("__mass"), F.max("ratio").alias("__due"), F.ceil(F.count("*") / FAN_IN).alias("__blocks"))
+    below = F.sum("__mass").over(Window.partitionBy("__of").orderBy("__at").rowsBetween(1, Window.unboundedFollowing))
+    of = stored(of.withColumn("__below", F.coalesce(below, F.lit(0.0))), "mix-tiers")
+    done, due, shift = None, None, None  # shift: by how much the coins so far lower what smaller documents are due, by source
+    for i, most in of.groupBy("__at").agg(F.max("__blocks")).orderBy("__at").collect():
+        mine = of.where(F.col("__at") == i)
+        if shift is not None:
+            mine = mine.join(shift, F.col("__of").eqNullSafe(F.col("__from")), "left").withColumn("__due", F.greatest(F.lit(0.0), F.col("__due") - F.coalesce("__shift", F.lit(0.0)))).drop("__from", "__shift")
+        mine = stored(mine, "mix-due")
+        own = live.where(F.col("__tier") == i).drop("ratio").join(mine, F.col("source").eqNullSafe(F.col("__of")))
+        own = own.withColumn("x", F.col("__due") - F.floor("__due")).where((F.col("x") > 1e-12) & (F.col("x") < 1 - 1e-12))
+        resolved, last = _tree(own.select("source", "id", "a", "x", F.pmod("hash", "__blocks").alias("block")), most, seed + 5 * i, f"tier{i}-")
+        last = stored(last, "mix-last")
+        for more in (resolved, last.select("id", "extra")):
+            done = more if done is None else done.unionByName(more)
+        due = mine if due is None else due.unionByName(mine)
+        coin = last.select(F.col("source").alias("__from"), "a", "x", "extra").join(mine.where("__below > 0"), F.col("__from").eqNullSafe(F.col("__of")))
+        took, left = F.col("a") * (1 - F.col("x")) / F.col("__below"), F.col("a") * F.col("x") / F.col("__below")
+        part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col("__due"), took), F.try_divide(F.lit(float(max_repeat)) - F.col("__due"), left)))
+        coin = coin.select("__from", (part * F.when(F.col("extra") == 1, took).otherwise(-left)).alias("__shift"))
+        shift = stored(coin if shift is None else shift.unionByName(coin).groupBy("__from").agg(F.sum("__shift").alias("__shift")), "mix-shift")
+    if done is None:
+        return placed.withColumn("copies", F.lit(0)).drop("__tier")
     done = done.select(F.col("id.doc").alias("__doc"), F.col("id.key").alias("__key"), "extra")
-    out = placed.join(done, placed.doc.eqNullSafe(done["__doc"]) & (placed.key == done["__key"]), "left")
-    return out.withColumn("copies", F.col("__base") + F.coalesce("extra", F.when(F.col("__x") >= 1 - 1e-12, 1).otherwise(0))).drop("__doc", "__key", "extra", "__ratio", "__base", "__x", "__middle", "blocks")
+    out = placed.join(due.select("__of", "__at", "__due"), placed.source.eqNullSafe(F.col("__of")) & (F.col("__tier") == F.col("__at")), "left")
+    out = out.join(done, placed.doc.eqNullSafe(done["__doc"]) & (placed.key == done["__key"]), "left")
+    whole = F.floor(F.col("__due") + 1e-12).cast("int")
+    taken = F.when(F.col("unit_size") > 0, whole + F.coalesce("extra", F.lit(0))).otherwise(F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("int"))
+    return out.withColumn("copies", taken).drop("__doc", "__key", "extra", "__of", "__at", "__due", "__tier")
 
 
 def plan(docs: DataFrame, weights: tuple = (1, 2, 3), max_repeat: float = 3.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -154,7 +175,7 @@ def plan(docs: DataFrame, weights: tuple = (1, 2, 3), max_repeat: float = 3.0, s
     units = stored(rows.groupBy("doc", "key", "source").agg(F.max("size").alias("size"), F.count("*").alias("n")).withColumn("unit_size", F.col("size") * F.col("n")), "mix-units")
     sizes = units.groupBy("source").agg(F.sum("unit_size").alias("source_size"), F.count("*").alias("units"))
     targets = stored(source_targets(sizes, weights, max_repeat), "mix-targets")
-    return copies(units, targets, seed)
+    return copies(units, targets, seed, max_repeat)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
