@@ -4,7 +4,8 @@ Pages are written as WARC/1.1 records, each a gzip member of its own, packed int
 equal payloads of MIN_REVISIT bytes or more the one with the largest id is a response and the others are revisit records that refer
 to it. Reading an archive back gives a run: its captures in the order of URL key, time and id. The runs are merged into
 the global index: the captures are range-partitioned by that order, and in each range a loser tree merges the pieces of
-all runs, so that the ranges one after another are the sorted capture histories.
+all runs, so that the ranges one after another are the sorted capture histories. A range has about RANGE_ROWS captures,
+whatever the input, and no payloads.
 
 Archives are rows (name, bytes) of a table in the shared folder, which any task can read again if an executor is lost.
 Pages with equal payloads are never gathered: their largest id is a grouped aggregate that is joined back.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import in_slices, stored
 
 MIN_REVISIT, ARCHIVE_BYTES, PIECE = 1000, 8 << 20, 1 << 14
+#: Captures in a range of the index, which a task merges.
+RANGE_ROWS = 100_000
 _EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 
@@ -186,18 +189,29 @@ _KINDS = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.stri
 
 def merged_index(captures: DataFrame) -> DataFrame:
     """All runs merged: captures in the order of URL key, time and id, range by range."""
-    parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-captures.count() // RANGE_ROWS))
     ranged = captures.repartitionByRange(parts, "url_key", "captured", "page_id", "archive", "at").sortWithinPartitions("archive", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[str, list] = {}
-        for batch in batches:  # a range of the index: no payloads
-            for row in zip(*(batch.column(c).to_pylist() for c in _NAMES)):
-                pieces.setdefault(row[7], []).append((row[0], row[1], -1 if row[2] is None else row[2], row[7], row[8], row))
-        out = [item[5] for item in LoserTree(list(pieces.values()))]
-        for i in range(0, len(out), 10_000):
-            cols = [pa.array(c, k) for c, k in zip(zip(*out[i : i + 10_000]), _KINDS)]
-            yield pa.RecordBatch.from_arrays(cols, _NAMES)
+        whole = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
+        if whole is None:
+            return
+        whole = whole.combine_chunks()
+        key, captured, page, archive, at = (whole.column(c).to_pylist() for c in ("url_key", "captured", "page_id", "archive", "at"))
+        cuts = [0, *(i for i in range(1, len(archive)) if archive[i] != archive[i - 1]), len(archive)]
+
+        def piece(a: int, b: int) -> Iterator[tuple]:
+            for i in range(a, b):
+                yield key[i], captured[i], -1 if page[i] is None else page[i], archive[i], at[i], i
+
+        order: list[int] = []
+        for item in LoserTree([piece(a, b) for a, b in zip(cuts[:-1], cuts[1:])]):
+            order.append(item[5])
+            if len(order) == 10_000:
+                yield from whole.take(pa.array(order)).to_batches()
+                order = []
+        if order:
+            yield from whole.take(pa.array(order)).to_batches()
 
     return ranged.select(*_NAMES).mapInArrow(run, INDEX)
 
