@@ -9,7 +9,7 @@ can be carved. Whatever is inside an accepted file belongs to it, unless it ends
 
 Defined results: a null text is an empty payload, padded with zeros to 64 bytes; a null value has type null and nothing
 found; a value that no validator accepts keeps its declared type; equal values give equal results; an empty table
-gives an empty result; further columns are kept by ``sniff``.
+gives an empty result; further columns are kept by ``sniff``, which replaces columns named media_type or media_found.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ MAGIC = (
     (b"%PDF-", "application/pdf"),
     (b"\x1f\x8b\x08", "application/gzip"),
     (b"OggS", "audio/ogg"),
+    (b"PK\x03\x04", "application/zip"),
+    (b"ftyp", "video/mp4"),
 )
 ALIGN, RATE = 64, 8000
 
@@ -115,6 +117,8 @@ def _gif(b: bytes, at: int):
 def _jpeg(b: bytes, at: int):
     p = at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
+        while p + 4 < len(b) and b[p + 1] == 0xFF:  # fill bytes
+            p += 1
         mark = b[p + 1]
         if mark == 0xD9:
             return "image/jpeg", p + 2 - at
@@ -137,11 +141,48 @@ def _bmp(b: bytes, at: int):
 
 
 def _pdf(b: bytes, at: int):
-    end = b.find(b"%%EOF", at)
+    """Up to the last end mark before another header: a file with updates has several. Searches are between headers, so that
+    many headers cost no more than one."""
+    stop = b.find(b"%PDF-", at + 5)
+    stop = len(b) if stop < 0 else stop
+    end = b.rfind(b"%%EOF", at, stop)
     return ("application/pdf", end + 5 - at) if end > 0 and b.find(b"startxref", at, end) > 0 else None
 
 
+def _zip(b: bytes, at: int):
+    """Local entries, each with its lengths, then the central directory and its end, which must point back to it."""
+    p, entries = at, 0
+    while b[p : p + 4] == b"PK\x03\x04" and p + 30 <= len(b):
+        flags, n, name, extra = struct.unpack_from("<H", b, p + 6)[0], struct.unpack_from("<I", b, p + 18)[0], *struct.unpack_from("<HH", b, p + 26)
+        if flags & 8:
+            return None  # lengths follow the data: not carved
+        p, entries = p + 30 + name + extra + n, entries + 1
+    start = p
+    while b[p : p + 4] == b"PK\x01\x02" and p + 46 <= len(b):
+        p += 46 + sum(struct.unpack_from("<HHH", b, p + 28))
+    if b[p : p + 4] != b"PK\x05\x06" or p + 22 > len(b):
+        return None
+    count, size, offset, note = struct.unpack_from("<HIIH", b, p + 10)
+    ok = count == entries and size == p - start and offset == start - at and p + 22 + note <= len(b)
+    return ("application/zip", p + 22 + note - at) if ok else None
+
+
+def _mp4(b: bytes, at: int):
+    """Boxes from the one that holds the brand on; there must be a movie and its data."""
+    start = at - 4
+    p, seen = start, set()
+    while 0 <= p and p + 8 <= len(b):
+        n, name = struct.unpack_from(">I4s", b, p)
+        if n < 8 or p + n > len(b) or not all(32 <= c < 127 for c in name):
+            break
+        seen.add(name)
+        p += n
+    return ("video/mp4", p - start, start) if {b"moov", b"mdat"} <= seen else None
+
+
 def _gzip(b: bytes, at: int):
+    if len(b) - at < 18 or b[at + 3] & 0xE0:
+        return None
     part = zlib.decompressobj(31)
     try:
         rest = memoryview(b)[at:]
@@ -167,7 +208,7 @@ def _ogg(b: bytes, at: int):
     return None
 
 
-VALIDATORS = {"riff": _riff, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "application/pdf": _pdf, "application/gzip": _gzip, "audio/ogg": _ogg}
+VALIDATORS = {"riff": _riff, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "application/pdf": _pdf, "application/gzip": _gzip, "audio/ogg": _ogg, "application/zip": _zip, "video/mp4": _mp4}
 
 
 def find_media(value: bytes) -> list[tuple[str, int, int]]:
@@ -179,9 +220,10 @@ def find_media(value: bytes) -> list[tuple[str, int, int]]:
         if at < taken:
             continue
         hit = VALIDATORS[kind](value, at)
-        if hit:
-            found.append((hit[0], at, hit[1]))
-            taken = at + 12
+        if hit:  # a brand stands behind its box's length
+            kind, length, at = hit if len(hit) == 3 else (*hit, at)
+            found.append((kind, at, length))
+            taken = at + (length if kind == "application/zip" else 12)  # a zip's entries are its own
     return found
 
 
@@ -235,6 +277,7 @@ def sniff(df: DataFrame, media_col: str = "media", declared_col: str = "declared
             lists = pa.array([None if f is None else [dict(zip(("type", "offset", "length"), x)) for x in f] for f in found], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(types, pa.string()), lists], [*batch.schema.names, "media_type", "media_found"])
 
+    df = df.drop("media_type", "media_found")
     extra = T.StructType().add("media_type", "string").add("media_found", T._parse_datatype_string(FOUND))
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *extra.fields]))
 
