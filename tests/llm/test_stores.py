@@ -1,7 +1,10 @@
 import gzip
 import hashlib
+import io
 import random
 import struct
+import time
+import zipfile
 import zlib
 from collections import defaultdict
 
@@ -35,7 +38,16 @@ BMP = b"BM" + struct.pack("<IIIIiiHHIIiiII", 58, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0
 PDF = b"%PDF-1.4\nx\nstartxref\n0\n%%EOF"
 JPEG = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04cd12\xff\x00\x34\xff\xd9"
 OGG = b"OggS\0\x04" + b"\0" * 20 + b"\x01\x03abc"
-FILES = {"image/png": png(), "image/gif": GIF, "image/bmp": BMP, "application/pdf": PDF, "image/jpeg": JPEG, "audio/ogg": OGG, "application/gzip": gzip.compress(b"hello"), "audio/wav": media.to_wav(b"12345")}
+def zipped():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.txt", "some text " * 20)
+        z.writestr("b", b"")
+    return out.getvalue()
+
+
+MP4 = b"\0\0\0\x10ftypisom\0\0\0\1" + b"\0\0\0\x0cmoovabcd" + b"\0\0\0\x0amdatxy"
+FILES = {"application/zip": zipped(), "video/mp4": MP4, "image/png": png(), "image/gif": GIF, "image/bmp": BMP, "application/pdf": PDF, "image/jpeg": JPEG, "audio/ogg": OGG, "application/gzip": gzip.compress(b"hello"), "audio/wav": media.to_wav(b"12345")}
 
 
 @pytest.mark.parametrize("kind", sorted(FILES))
@@ -46,6 +58,25 @@ def test_signatures(kind):
     assert not any(k == kind for k, _, _ in media.find_media(f[: len(f) - 3]))
 
 
+def test_updated_pdf_and_fill_bytes():
+    twice = PDF + b"\nmore\nstartxref\n9\n%%EOF"
+    assert media.find_media(twice) == [("application/pdf", 0, len(twice))]
+    assert media.find_media(JPEG.replace(b"\xff\xda", b"\xff\xff\xff\xda"))[0][0] == "image/jpeg"
+
+
+def test_many_signatures_take_linear_time():
+    for part in (b"%PDF-", b"BM", b"PK\x03\x04", b"ftyp", b"OggS", b"RIFF", b"GIF89a"):
+        began = time.process_time()
+        media.find_media(part * (3_000_000 // len(part)) + b"%%EOF")
+        assert time.process_time() - began < 20, part
+
+
+def test_sniff_replaces_its_own_names(spark):
+    df = spark.createDataFrame([(1, "a/b", bytearray(FILES["image/png"]), "old", 3)], "doc_id long, declared string, media binary, media_type string, media_found int")
+    out = media.sniff(df)
+    assert out.columns == ["doc_id", "declared", "media", "media_type", "media_found"] and out.first().media_type == "image/png"
+
+
 def test_sniff_corrects_and_carves(spark):
     inside = media.to_wav(b"abcd" + FILES["image/png"])
     rows = [(1, "image/gif", bytearray(FILES["image/png"])), (2, "text/plain", bytearray(b"BM RIFF plain")), (3, "x/y", None), (4, "audio/wav", bytearray(inside)), (5, "a/b", bytearray(b""))]
@@ -74,6 +105,20 @@ def test_captures(spark):
     assert warc.capture_index(df.limit(0)).count() == 0
 
 
+def test_long_pages_and_many_runs(spark, monkeypatch):
+    """Archives of a few records and several ranges: the index is one sorted history, and a page of megabytes comes back whole."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 50)
+    pages = [(i, f"http://h{i % 7}.example/{i % 11}", "y" * (i % 900)) for i in range(300)] + [(1000, "http://h1.example/", "long " * 600_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    out = warc.capture_index(df)
+    assert out.rdd.getNumPartitions() == 7
+    got = out.collect()
+    keys = [(r.url_key, r.captured, r.page_id) for r in got]
+    assert keys == sorted(keys) and len({r.archive for r in got}) > 20
+    assert {r.page_id: r.payload_bytes for r in got} == {i: len(h) for i, _, h in pages}
+
+
 def test_loser_tree_merges():
     rng = random.Random(0)
     for k in (0, 1, 2, 3, 7, 16):

@@ -56,8 +56,9 @@ def test_repeats_match_brute_force(docs, empty):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(map(tuple, substring.digests(docs).collect()), key=str) == removed(rows)
     assert substring.digests(empty).count() == 0
-    out = substring.remove_repeats(docs)
-    assert out.columns == docs.columns and out.count() == docs.count()
+    out = substring.remove_repeats(docs.withColumnsRenamed({"key": "chunk", "size": "word"}))
+    assert out.columns == ["doc_id", "text", "source", "chunk", "word"] and out.where("chunk = 'clash'").count() == docs.count()
+    assert sorted(len(split(r.text)) for r in out.collect()) == sorted(n - gone for _, n, gone, _ in removed(rows))
 
 
 def test_repeats_in_periodic_and_bounded_texts(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are stored inside are deleted at the end: for whoever has written the result elsewhere by then."""
+    _SCRATCH.append(f"{shared_dir(spark)}/tidewell/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors. With keep
+    the table outlives ``scratch``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/tidewell" if keep or not _SCRATCH else _SCRATCH[-1]
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

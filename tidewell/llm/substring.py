@@ -150,7 +150,7 @@ def _symbols(table: pa.Table) -> pa.Table:
     found = [recompress(h, first) for _, _, _, _, _, first, h in _slices(table)]
     names = np.concatenate([s[(left >= 0) & (right - left <= WINDOW)] for s, left, right in found] or [np.zeros(0, U64)])
     names, n = _counted(names)
-    return pa.table({"symbol": names.view(np.int64), "chunk": np.full(len(names), table.column("chunk")[0].as_py(), np.int32), "n": n.astype(np.int32)})
+    return pa.table({"symbol": names.view(np.int64), "chunk": np.full(len(names), table.column("__chunk")[0].as_py(), np.int32), "n": n.astype(np.int32)})
 
 
 def _windows(key: tuple, table: pa.Table, shared: pa.Table) -> pa.Table:
@@ -173,14 +173,25 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
+def _both_among(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs (x, y) are among the sorted distinct pairs (a, b); a value of a stands with two of b at most, in effect."""
+    at = np.searchsorted(a, x)
+    hit = np.zeros(len(x), bool)
+    for step in (0, 1):
+        k = np.minimum(at + step, len(a) - 1)
+        hit |= (a[k] == x) & (b[k] == y)
+    return hit
+
+
 def _kept(table: pa.Table, repeated: pa.Table):
     """For each row of a chunk: (row, data, word starts, word ends, covered flags)."""
     a = repeated.column("h1").to_numpy() if repeated.num_rows else np.zeros(0, np.int64)
     b = repeated.column("h2").to_numpy() if repeated.num_rows else np.zeros(0, np.int32)
-    pairs = np.sort(mix64(a.view(U64) + mix64(b.astype(U64)))) if len(a) else np.zeros(0, U64)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
     for lo, hi, data, starts, ends, first, h in _slices(table):
         covered = np.zeros(len(h) + 1, np.int64)
-        if len(pairs) and len(h) >= WINDOW:
+        if len(a) and len(h) >= WINDOW:
             valid = np.zeros(len(h) + 1, np.int64)
             for x, y in zip(first[:-1], first[1:]):
                 if y - x >= WINDOW:
@@ -188,7 +199,7 @@ def _kept(table: pa.Table, repeated: pa.Table):
                     valid[y - WINDOW + 1] -= 1
             at = np.flatnonzero(np.cumsum(valid)[: len(h)] > 0)
             w1, w2 = window_hashes(h, at)
-            at = at[_among(mix64(w1.view(U64) + mix64(w2.astype(U64))), pairs)]
+            at = at[_both_among(w1, w2, a, b)]
             np.add.at(covered, at, 1)
             np.add.at(covered, at + WINDOW, -1)
         covered = np.cumsum(covered)[: len(h)] > 0
@@ -208,7 +219,7 @@ def _digests(key: tuple, table: pa.Table, repeated: pa.Table) -> pa.Table:
         out["n_words"].append(len(starts))
         out["n_removed"].append(int(covered.sum()))
         out["kept_sha256"].append(hashlib.sha256(_joined(data, starts, ends, covered)).hexdigest())
-    return table.drop_columns(["text", "chunk"]).append_column("n_words", pa.array(out["n_words"], pa.int64())).append_column("n_removed", pa.array(out["n_removed"], pa.int64())).append_column("kept_sha256", pa.array(out["kept_sha256"], pa.string()))
+    return table.drop_columns(["text", "__chunk"]).append_column("n_words", pa.array(out["n_words"], pa.int64())).append_column("n_removed", pa.array(out["n_removed"], pa.int64())).append_column("kept_sha256", pa.array(out["kept_sha256"], pa.string()))
 
 
 def _texts(key: tuple, table: pa.Table, repeated: pa.Table) -> pa.Table:
@@ -217,21 +228,21 @@ def _texts(key: tuple, table: pa.Table, repeated: pa.Table) -> pa.Table:
         if covered.any():
             texts[row] = _joined(data, starts, ends, covered).decode("utf-8", "replace")
     at = table.schema.get_field_index("text")
-    return table.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["chunk"])
+    return table.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["__chunk"])
 
 
 def _repeats(docs: DataFrame, finish, schema: T.StructType) -> DataFrame:
     """docs: (text and further columns). Applies finish(key, chunk's rows, its repeated windows). All three passes take the same
     columns, so that Spark deals the texts to chunks once and reuses that exchange."""
     chunks = chunk_count(docs, target_bytes=CHUNK_BYTES)
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
-    symbols = dealt.groupBy("chunk").applyInArrow(_symbols, "symbol long, chunk int, n int")
+    dealt = docs.withColumn("__chunk", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(chunks)).cast("int")).repartition(chunks, "__chunk")
+    symbols = dealt.groupBy("__chunk").applyInArrow(_symbols, "symbol long, chunk int, n int")
     total = F.sum("n").over(Window.partitionBy("symbol"))  # a row for each chunk at most
     shared = symbols.withColumn("total", total).where("total > 1").select("chunk", "symbol")
-    windows = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_windows, "h1 long, h2 int, chunk int, n int")
+    windows = dealt.groupBy("__chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_windows, "h1 long, h2 int, chunk int, n int")
     total = F.sum("n").over(Window.partitionBy("h1", "h2"))
     repeated = windows.withColumn("total", total).where("total > 1").select("chunk", "h1", "h2")
-    return dealt.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(finish, schema)
+    return dealt.groupBy("__chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(finish, schema)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,5 +254,5 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with the words of repeated windows taken out of ``text`` (the others joined by one space); texts without any
-    keep their exact form. Needs a string column ``text``; a column named ``chunk`` is not allowed."""
+    keep their exact form. Needs a string column ``text``; other columns may have any name but ``__chunk``."""
     return _repeats(docs, _texts, docs.schema)
