@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. What a stage returns is written as
 Parquet in the shared folder and read again as the next one's docs.
+
+Defined results: empty tables give empty results; without labels or a benchmark the first and third stage keep all rows; a
+null or empty text is scored like any other, is a class with all others of its kind, leaks nothing, and is mixed as often as
+the whole part of its source's ratio; rows alike become one in the second stage; a null source is one of its own.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import decontam, mixing, neardup, quality, sharding
-from tidewell.llm.common import stored
+from tidewell.llm.common import scratch, stored
 
 #: Documents that score below this go. Lower than the classifier's own threshold, to keep clean documents.
 ACCEPT = 0.5
@@ -56,5 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, from the table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        with scratch(spark):  # a stage's own tables go once its result is written
+            docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"), keep=True)
     return docs
