@@ -39,6 +39,8 @@ from .common import U64, in_slices, mix64, span_hashes, stored, text_buffers, te
 SHINGLE, THRESHOLD, SKETCHES = 5, 0.8, 20
 SHORT, SHORT_SHINGLE = 80, 3
 SMALL_BUCKET, LEADERS, PASSES = 16, 4, 2
+#: Longs of a node's marks, a bit for each of its words by hash.
+MARKS = 32
 #: Rows of a round's table in one task.
 ROUND_ROWS = 200_000
 _ORDERS = mix64(np.arange(1, SKETCHES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -208,8 +210,20 @@ def _labelled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         data, offsets = text_buffers(batch.column("text"))
         starts, ends, first = word_spans(data, offsets)
         h = span_hashes(data, starts, ends)
-        found = [labelled_shingles(h[a:b], 1).view(np.int64) for a, b in zip(first[:-1], first[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("root"), _lists(found)], ["key", "root", "words"])
+        found = [labelled_shingles(h[a:b], 1) for a, b in zip(first[:-1], first[1:])]
+        marks = [_marks(x) for x in found]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("root"), _lists([x.view(np.int64) for x in found]), _lists(marks)], ["key", "root", "words", "marks"])
+
+
+def _marks(words: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * MARKS, np.uint8)
+    bits[mix64(words) % U64(64 * MARKS)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def _lacks(a: str, b: str) -> Column:
+    """Number of marks of a that b lacks: as many words of a at least are not in b."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, n: s + n)
 
 
 def _exact_rest(members: DataFrame, within: DataFrame, texts: DataFrame) -> DataFrame:
@@ -218,17 +232,18 @@ def _exact_rest(members: DataFrame, within: DataFrame, texts: DataFrame) -> Data
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
     nodes = rooted.join(mixed, "bucket", "left_semi").select(F.col("key").alias("node"), "root").distinct()
     held = texts.join(nodes, texts["key"] == nodes["node"]).select("key", "root", "text")
-    held = stored(held.mapInArrow(_labelled_words, "key binary, root binary, words array<long>"), "neardup-words")
+    held = stored(held.mapInArrow(_labelled_words, "key binary, root binary, words array<long>, marks array<long>"), "neardup-words")
 
     # words that several classes hold, the rarest first: what two classes have in common is among these
     each = held.select("key", "root", F.size("words").alias("n"), F.explode("words").alias("v"))
     across = each.groupBy("v").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("v", "c")
     ranked = each.join(across, "v").groupBy("key", "root", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("live"))
+    ranked = ranked.join(held.select("key", "marks"), "key")
     wanted = F.ceil(F.lit(THRESHOLD) * F.col("n") - 1e-9).cast("int")
     ranked = ranked.withColumn("prefix", F.size("live") - wanted + 1).where("prefix > 0")
-    spread = ranked.select("key", "root", "n", F.transform("live", lambda e: e.v).alias("live"), F.posexplode(F.slice("live", 1, F.col("prefix"))).alias("at", "e"))
+    spread = ranked.select("key", "root", "n", "marks", F.transform("live", lambda e: e.v).alias("live"), F.posexplode(F.slice("live", 1, F.col("prefix"))).alias("at", "e"))
     ahead = F.slice("live", F.greatest(F.col("at") - 15, F.lit(1)), F.least("at", F.lit(16)))
-    spread = stored(spread.select("key", "root", "n", (F.size("live") - F.col("at")).alias("left"), F.col("e.v").alias("v"), ahead.alias("ahead")), "neardup-prefixes")
+    spread = stored(spread.select("key", "root", "n", "marks", (F.size("live") - F.col("at")).alias("left"), F.col("e.v").alias("v"), ahead.alias("ahead")), "neardup-prefixes")
 
     # of each word's classes the largest is not compared with itself
     sizes = spread.groupBy("v", "root").agg(F.count("*").alias("c"))
@@ -237,10 +252,12 @@ def _exact_rest(members: DataFrame, within: DataFrame, texts: DataFrame) -> Data
 
     # at its first common word a pair has that one and what follows in both: enough for the similarity, or no pair;
     # at a later one it is left out where the words just ahead (16 at most) show that there was an earlier one
-    a = spread.where("root != top").select("v", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("ahead").alias("ha"))
-    b = spread.select("v", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("ahead").alias("hb"))
+    a = spread.where("root != top").select("v", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("ahead").alias("ha"), F.col("marks").alias("ma"))
+    b = spread.select("v", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("ahead").alias("hb"), F.col("marks").alias("mb"))
     room = F.least("la", "lb") >= F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("na") + F.col("nb")) - 1e-9
     pairs = a.join(b, "v").where("ra != rb").where(_similar_length()).where(room).where(~F.arrays_overlap("ha", "hb"))
+    need = F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("na") + F.col("nb")) - 1e-9
+    pairs = pairs.where((F.col("na") - _lacks("ma", "mb") >= need) & (F.col("nb") - _lacks("mb", "ma") >= need))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
