@@ -97,6 +97,8 @@ def test_shards_are_gapless_and_groups_stay(docs, empty):
     assert sharding.shard(docs, 4).columns == [*docs.columns, "slot", "shard"]
     named = sharding.shard(docs.withColumnsRenamed({"key": "slot", "size": "shard"}), 4)
     assert named.columns == ["doc_id", "text", "source", "docs_slot", "docs_shard", "slot", "shard"] and named.where("docs_slot = 'clash'").count() == docs.count()
+    both = sharding.shard(docs.withColumnsRenamed({"key": "slot", "size": "docs_slot"}), 4)
+    assert both.columns == ["doc_id", "text", "source", "docs_docs_slot", "docs_slot", "slot", "shard"] and both.where("docs_docs_slot = 'clash'").count() == docs.count()
     assert sharding.shard(empty, 4).count() == 0
 
 

@@ -105,6 +105,14 @@ def test_captures(spark):
     assert warc.capture_index(df.limit(0)).count() == 0
 
 
+def test_captures_without_an_id(spark):
+    """Of equal pages one without an id refers to the largest id; if none has one, all are responses."""
+    big, other = "<p>" + "x" * 1000, "é" * 600
+    df = spark.createDataFrame([(None, "http://a/", big), (4, "http://b/", big), (3, "http://c/", big), (None, "http://d/", big), (None, None, other), (None, "http://e/", other)], "page_id long, url string, html string")
+    got = sorted((r.payload_bytes, r.page_id or 0, r.record_type, r.refers_to or 0) for r in warc.capture_index(df).collect())
+    assert got == [(1003, 0, "revisit", 4), (1003, 0, "revisit", 4), (1003, 3, "revisit", 4), (1003, 4, "response", 0), (1200, 0, "response", 0), (1200, 0, "response", 0)]
+
+
 def test_long_pages_and_many_runs(spark, monkeypatch):
     """Archives of a few records and several ranges: the index is one sorted history, and a page of megabytes comes back whole."""
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)

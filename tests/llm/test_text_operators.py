@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.llm import decontam, license, license_texts, lm, neardup, quality, substring
 from tidewell.llm.common import span_hashes, text_buffers, word_spans
@@ -267,6 +268,9 @@ def test_leaks_match_brute_force(spark, docs):
     assert decontam.leaks(df, bench.limit(0)).count() == 0 and decontam.leaks(df.limit(0), bench).count() == 0
     kept = decontam.decontaminate(docs, bench)
     assert kept.columns == docs.columns and kept.count() == docs.count()
+    named = df.withColumn("__leak", F.lit(1)).withColumn("decontam_leak", F.lit("clash")).withColumn("key", F.lit(2))
+    kept = decontam.decontaminate(named, bench)
+    assert kept.columns == named.columns and kept.where("decontam_leak = 'clash'").count() == len(rows) - len({d for d, _ in want})
 
 
 def test_moved_passages_and_equal_items_match_brute_force(spark):
@@ -341,6 +345,8 @@ def test_classes_match_brute_force(docs, empty):
     assert {r.doc_id: r.class_id for r in got} == want
     out = neardup.deduplicate(docs)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted(set(want.values()))
+    named = neardup.deduplicate(docs.withColumnsRenamed({"key": "__key", "size": "neardup_key"}))
+    assert named.columns == ["doc_id", "text", "source", "__key", "neardup_key"] and named.where("__key = 'clash'").count() == len(set(want.values()))
     assert neardup.classes(empty).count() == 0 and neardup.deduplicate(empty).count() == 0
 
 

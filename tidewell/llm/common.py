@@ -58,6 +58,14 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 # --- columns -----------------------------------------------------------------------------
 
 
+def free_name(df: DataFrame, name: str, prefix: str = "_") -> str:
+    """name, with as many prefixes as it takes for no column of df to have it (letter case plays no part)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = prefix + name
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.transform(F.array(value), body).getItem(0)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_key
+from .common import free_name, stored, text_key
 from .license import NOT_WORD
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 24
@@ -151,5 +151,6 @@ def every_item(found: DataFrame, benchmark: DataFrame, item_col: str = "item_id"
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those that hold a window like a benchmark item; all columns are kept."""
-    bad = leaks(docs, benchmark, id_col, text_col, **options).select(F.col("key").alias("__leak")).distinct()
-    return docs.join(bad, text_key(F.col(text_col)) == F.col("__leak"), "left_anti")
+    leak = free_name(docs, "decontam_leak")
+    bad = leaks(docs, benchmark, id_col, text_col, **options).select(F.col("key").alias(leak)).distinct()
+    return docs.join(bad, text_key(F.col(text_col)) == F.col(leak), "left_anti")

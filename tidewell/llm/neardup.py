@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, in_slices, mix64, span_hashes, stored, text_buffers, text_key, word_spans
+from .common import U64, free_name, in_slices, mix64, span_hashes, stored, text_buffers, text_key, word_spans
 
 SHINGLE, THRESHOLD, SKETCHES = 5, 0.8, 20
 SHORT, SHORT_SHINGLE = 80, 3
@@ -341,7 +341,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class, the one with the least id; all columns are kept."""
-    kept = _classed(docs, id_col, text_col).select(F.col("class_id").alias("__kept_id"), F.col("class_key").alias("__kept_key")).distinct()
-    keyed = docs.withColumn("__key", text_key(F.col(text_col)))
-    kept = keyed.join(kept, (F.col("__key") == F.col("__kept_key")) & keyed[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
-    return kept.dropDuplicates([id_col, "__key"]).drop("__key")
+    key, kept_id, kept_key = (free_name(docs, c) for c in ("neardup_key", "neardup_kept_id", "neardup_kept_key"))
+    kept = _classed(docs, id_col, text_col).select(F.col("class_id").alias(kept_id), F.col("class_key").alias(kept_key)).distinct()
+    keyed = docs.withColumn(key, text_key(F.col(text_col)))
+    kept = keyed.join(kept, (F.col(key) == F.col(kept_key)) & keyed[id_col].eqNullSafe(F.col(kept_id)), "left_semi")
+    return kept.dropDuplicates([id_col, key]).drop(key)

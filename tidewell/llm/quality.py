@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, U64, in_slices, mix64, span_hashes, stored, text_buffers, word_spans
+from .common import SPACE, U64, free_name, in_slices, mix64, span_hashes, stored, text_buffers, word_spans
 
 FEATURE_BITS, SAMPLE_ROWS, SAMPLE_BYTES, EPOCHS, COST = 17, 6_000, 32 << 20, 8, 1.0
 SIZE = 1 << FEATURE_BITS
@@ -236,4 +236,5 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "
 def classify(docs: DataFrame, labels: DataFrame, train: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs that the model accepts (score at or above threshold), with their own columns."""
     model = fit(docs if train is None else train, labels)
-    return score(docs, model, out_col="__quality_score").where(F.col("__quality_score") >= threshold).drop("__quality_score")
+    out = free_name(docs, "quality_score")
+    return score(docs, model, out_col=out).where(F.col(out) >= threshold).drop(out)

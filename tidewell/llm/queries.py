@@ -97,8 +97,8 @@ SQL = {
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
         g AS (SELECT html, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY html)
-        SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-        CASE WHEN first != page_id THEN first END AS refers_to FROM p LEFT JOIN g USING (html)""",
+        SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN first IS NOT DISTINCT FROM page_id OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to FROM p LEFT JOIN g USING (html)""",
 }
 
 

@@ -9,7 +9,7 @@ heavy keys, pieces) are broadcast; the bound is shards * MAX_RANGES_PER_SHARD ti
 
 Defined results: a null text is an empty one (size 8, crc 0); rows alike get different slots of one
 shard; a null id counts as one of its own; an empty table gives an empty result; further columns are kept by ``shard``;
-those named slot or shard become docs_slot and docs_shard; names that start with ``__shard_`` are its own.
+those named slot or shard get the prefix docs_, once more while that name is taken; names that start with ``__shard_`` are its own.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, uniform
+from .common import free_name, stored, uniform
 
 RANGES_PER_SHARD, MAX_RANGES_PER_SHARD, RANGE_BYTES = 64, 4096, 64 << 20
 SAMPLES_PER_RANGE = 20
@@ -48,7 +48,8 @@ def _placed(rows: DataFrame, cells: DataFrame, heavy: DataFrame) -> DataFrame:
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", seed: int = 29) -> DataFrame:
     """docs with shard int (0 to shards - 1) and slot long (gapless from 0 within a shard)."""
-    docs = docs.withColumnsRenamed({c: f"docs_{c}" for c in ("slot", "shard") if c in docs.columns and f"docs_{c}" not in docs.columns})
+    for c in ("slot", "shard"):
+        docs = docs.withColumnRenamed(c, free_name(docs, c, "docs_"))
     text, ident = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col)
     slim = docs.select(F.xxhash64(text).alias("__shard_key"), ident.cast("string").alias("__shard_id"), record_size(F.col(text_col)).alias("__shard_size"))
     full = docs.withColumn("__shard_key", F.xxhash64(text)).withColumn("__shard_id", ident.cast("string"))

@@ -11,7 +11,8 @@ Archives are rows (name, bytes) of a table in the shared folder, which any task
 Pages with equal payloads are never gathered: their largest id is a grouped aggregate that is joined back.
 
 Defined results: a null html is an empty payload; a null url has the key ''; rows alike in id and payload are the same
-capture, all of one type; an empty table gives an empty result; further columns play no part.
+capture, all of one type; a null id is less than any other, so such a page refers to an equal one that has an id,
+and is a response if none has; an empty table gives an empty result; further columns play no part.
 """
 
 from __future__ import annotations
@@ -145,8 +146,8 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     keyed = rows.withColumn("sha1", F.sha1(F.encode("html", "utf-8"))).withColumn("bytes", F.octet_length("html"))
     slim = stored(keyed.select("page_id", "sha1", "bytes").where(F.col("bytes") >= MIN_REVISIT), "warc-digests")
     copies = slim.groupBy(F.col("sha1").alias("of")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    revisits = slim.join(copies, slim["sha1"] == copies["of"]).where("page_id != first").select(F.col("page_id").alias("rid"), F.col("sha1").alias("rsha"), F.col("first").alias("refers_to")).distinct()
-    marked = keyed.join(stored(revisits, "warc-revisits"), (F.col("page_id") == F.col("rid")) & (F.col("sha1") == F.col("rsha")), "left").select("page_id", "url", "html", "sha1", "refers_to")
+    revisits = slim.join(copies, slim["sha1"] == copies["of"]).where("first IS NOT NULL AND NOT page_id <=> first").select(F.col("page_id").alias("rid"), F.col("sha1").alias("rsha"), F.col("first").alias("refers_to")).distinct()
+    marked = keyed.join(stored(revisits, "warc-revisits"), F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("sha1") == F.col("rsha")), "left").select("page_id", "url", "html", "sha1", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "html", ARCHIVE_BYTES):
