@@ -101,6 +101,34 @@ def test_weak_windows_are_exact_for_lines_between_samples(spark):
         assert abs(r.integral - np.trapezoid(f * psi, fine)) < 1e-6 and abs(r.target + np.trapezoid(f * slope, fine)) < 1e-6
 
 
+def test_weak_fields_match_fine_integrals(spark):
+    """Windows in time and periodic space, one of them wrapping round, against sums over a fine grid of the bilinear interpolant."""
+    rng, n, length = np.random.default_rng(5), 9, 3.0
+    t = np.array([0, 0.4, 1.0, 1.3, 2.1, 2.6, 3.0])
+    u = rng.normal(size=(len(t), n))
+    df = spark.createDataFrame([("k", float(a), [float(v) for v in row]) for a, row in zip(t, u)] + [("k", 1.1, [1.0]), ("k", 1.2, None)], "k string, t double, field array<double>")
+    centers, h, g = [0.2, 1.6], 1.1, 1.2
+    got = series.weak_fields(df, ["k"], length, h, 0.5, centers, g).orderBy("j", "space").collect()
+    assert [(r.center, r.space) for r in got] == [(pytest.approx(1.1), 0), (pytest.approx(1.1), 1), (pytest.approx(1.6), 0), (pytest.approx(1.6), 1)]
+    p = np.polynomial.Polynomial([1.0, 0.0, -1.0]) ** 4
+
+    def weights(grid, nodes, c, half, d):  # of each node's hat, by a fine sum
+        fine = np.linspace(c - half, c + half, 40_001)
+        test = (p.deriv(d) if d else p)((fine - c) / half) / half**d
+        return np.array([np.trapezoid(np.interp(fine, grid, e) * test, fine) for e in nodes])
+
+    wide = np.concatenate([np.arange(-n, 2 * n + 1) * length / n])
+    hats = [np.tile(np.eye(n)[j], 4)[: len(wide)] for j in range(n)]
+    for r in got:
+        wt = [weights(t, np.eye(len(t)), r.center, h, d) for d in (0, 1)]
+        wx = [weights(wide, hats, centers[r.space], g, d) for d in (0, 1, 2)]
+        norm = (256 / 315) ** 2 * h * g
+        want = [1.0, wt[0] @ u @ wx[0] / norm, wt[0] @ u**2 @ wx[0] / norm, -wt[0] @ u @ wx[1] / norm, -wt[0] @ u**2 @ wx[1] / norm / 2, -wt[0] @ u**3 @ wx[1] / norm / 3, wt[0] @ u @ wx[2] / norm, wt[0] @ u**2 @ wx[2] / norm]
+        assert np.allclose([r[f"f{i}"] for i in range(8)], want, atol=1e-5) and abs(r.target + wt[1] @ u @ wx[0] / norm) < 1e-5
+    with pytest.raises(ValueError):
+        series.periodic_weights(8, 2.0, [0.0], 1.5)
+
+
 def test_propagation_of_an_exact_map(spark):
     """Strategies agree with the map's own powers, for growth, decay, alternation and drift; gaps that are odd fit no pairs."""
     for a, b in ((0.8, 0.5), (1.1, -0.2), (1.0, 0.3), (-0.7, 0.4)):

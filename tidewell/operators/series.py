@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -230,12 +232,19 @@ def polynomial(s: Column, terms: dict[int, float]) -> Column:
 
 def weak_windows(df: DataFrame, keys: list[str], halfwidth: float, stride: float, t: str = "t", x: str = "x", power: int = 4) -> DataFrame:
     """(keys, j, center, integral, target, n): integrals of x * (1 - s**2)**power and of -x times its derivative over
-    overlapping windows that lie within the series, s the time from the center over halfwidth; n pieces in each.
+    overlapping windows that lie within the series, s the time from the center over halfwidth; n pieces in each."""
+    return weak_window_columns(df, keys, halfwidth, stride, {x: "integral"}, {x: "target"}, t, power)
+
+
+def weak_window_columns(df: DataFrame, keys: list[str], halfwidth: float, stride: float, integrals: dict[str, str], targets: dict[str, str], t: str = "t", power: int = 4) -> DataFrame:
+    """(keys, j, center, ..., n) with the windows' integrals of several columns (column: name of its integral) and targets.
 
     The integrals are exact for the line through the samples: each piece between two samples, cut at the window's ends, has
     closed moments. A piece meets a bounded number of windows, so the join is an explode, not a range join."""
-    ends, w = Window.partitionBy(*keys), by_time(keys, t)
-    df = df.select(*keys, F.col(t).alias("t"), F.col(x).alias("x"), F.lead(t).over(w).alias("__t"), F.lead(x).over(w).alias("__x"), F.min(t).over(ends).alias("__t0"), F.max(t).over(ends).alias("__t1"))
+    ends, w, values = Window.partitionBy(*keys), by_time(keys, t), list(dict.fromkeys([*integrals, *targets]))
+    now, then = {c: f"__x{i}" for i, c in enumerate(values)}, {c: f"__y{i}" for i, c in enumerate(values)}
+    both = [F.col(c).alias(now[c]) for c in values] + [F.lead(c).over(w).alias(then[c]) for c in values]
+    df = df.select(*keys, F.col(t).alias("t"), *both, F.lead(t).over(w).alias("__t"), F.min(t).over(ends).alias("__t0"), F.max(t).over(ends).alias("__t1"))
     last = F.floor((F.col("__t1") - F.col("__t0") - 2 * halfwidth) / stride + 1e-9)
     low = F.greatest(F.lit(0), F.ceil((F.col("t") - F.col("__t0") - 2 * halfwidth) / stride - 1e-9)).cast("int")
     high = F.least(last, F.floor((F.col("__t") - F.col("__t0")) / stride + 1e-9)).cast("int")
@@ -244,10 +253,73 @@ def weak_windows(df: DataFrame, keys: list[str], halfwidth: float, stride: float
     each = each.withColumn("s0", (F.col("t") - F.col("center")) / halfwidth).withColumn("s1", (F.col("__t") - F.col("center")) / halfwidth)
     each = each.withColumn("lo", F.greatest(F.col("s0"), F.lit(-1.0))).withColumn("hi", F.least(F.col("s1"), F.lit(1.0))).where("hi > lo")
 
-    def piece(derivative: int) -> Column:
-        whole, first = _moments(power, derivative)
-        i0 = polynomial(F.col("hi"), whole) - polynomial(F.col("lo"), whole)
-        i1 = polynomial(F.col("hi"), first) - polynomial(F.col("lo"), first)
-        return (F.col("x") * (F.col("s1") * i0 - i1) + F.col("__x") * (i1 - F.col("s0") * i0)) / (F.col("s1") - F.col("s0"))
-
-    return each.groupBy(*keys, "j", "center").agg((F.sum(piece(0)) * halfwidth).alias("integral"), (-F.sum(piece(1))).alias("target"), F.count("*").alias("n"))
+    for derivative in (0, 1):
+        for name, terms in zip(("whole", "first"), _moments(power, derivative)):
+            each = each.withColumn(f"__{name}{derivative}", polynomial(F.col("hi"), terms) - polynomial(F.col("lo"), terms))
+
+    def piece(c: str, derivative: int) -> Column:
+        i0, i1 = F.col(f"__whole{derivative}"), F.col(f"__first{derivative}")
+        return (F.col(now[c]) * (F.col("s1") * i0 - i1) + F.col(then[c]) * (i1 - F.col("s0") * i0)) / (F.col("s1") - F.col("s0"))
+
+    sums = [(F.sum(piece(c, 0)) * halfwidth).alias(name) for c, name in integrals.items()] + [(-F.sum(piece(c, 1))).alias(name) for c, name in targets.items()]
+    return each.groupBy(*keys, "j", "center").agg(*sums, F.count("*").alias("n"))
+
+
+def periodic_weights(n: int, length: float, centers: list[float], halfwidth: float, derivative: int = 0, power: int = 4) -> np.ndarray:
+    """[centers, n]: what the samples of a periodic field at i * length / n weigh in the integrals, over windows of that half width that may wrap
+    round, of the line through them times a derivative of (1 - s**2)**power."""
+    if not 0 < halfwidth < length / 2:
+        raise ValueError("a window must be narrower than the period")
+    test = np.polynomial.Polynomial([1.0, 0.0, -1.0]) ** power
+    test = test.deriv(derivative) if derivative else test
+    whole, first = test.integ(), (test * np.polynomial.Polynomial([0.0, 1.0])).integ()
+    cells, step = np.arange(-n, 2 * n), length / n
+    out = np.zeros((len(centers), n))
+    for row, c in zip(out, centers):
+        s0, s1 = (cells * step - c) / halfwidth, ((cells + 1) * step - c) / halfwidth
+        lo, hi = np.clip(s0, -1, 1), np.clip(s1, -1, 1)
+        i0, i1 = whole(hi) - whole(lo), first(hi) - first(lo)
+        np.add.at(row, cells % n, (s1 * i0 - i1) / (s1 - s0))
+        np.add.at(row, (cells + 1) % n, (i1 - s0 * i0) / (s1 - s0))
+    return out * halfwidth ** (1 - derivative)
+
+
+WEAK_TERMS = ("1", "u", "u*u", "u_x", "u*u_x", "u*u*u_x", "u_xx", "(u*u)_xx")
+
+
+def weak_fields(df: DataFrame, keys: list[str], length: float, halfwidth: float, stride: float, centers: list[float], space_halfwidth: float, field: str = "field", t: str = "t", power: int = 4) -> DataFrame:
+    """(keys, j, center, space, f0 .. f7, target, n): the integrals of the eight terms of WEAK_TERMS and of -u_t against products of
+    test functions in time (as ``weak_windows``) and in periodic space, over the norm of the test. No data are differentiated:
+    derivatives go to the test function, and u*u_x, u*u*u_x are those of u*u/2, u*u*u/3.
+
+    The window functions are products, so that each field is first contracted in space, a matrix product for each batch with weights of
+    len(centers) x field size numbers, and then in time, piece by piece. Fields of another size than the series' first, null ones and such with nulls or NaN
+    are left out."""
+    rows = df.select(*keys, F.col(t).alias("t"), F.col(field).cast("array<double>").alias("u"))
+    good = F.forall("u", lambda v: v.isNotNull() & ~F.isnan(v))
+    rows = rows.where(F.coalesce(good, F.lit(False)) & (F.size("u") > 1)).withColumn("__n", F.min_by(F.size("u"), "t").over(Window.partitionBy(*keys))).where(F.size("u") == F.col("__n"))
+
+    def run(parts):
+        weights: dict[int, list[np.ndarray]] = {}
+        for part in parts:
+            out = [np.zeros((0, 8))]
+            index, space = [], []
+            for n, some in part.groupby("__n", sort=False):
+                if n not in weights:
+                    weights[n] = [periodic_weights(int(n), length, centers, space_halfwidth, d, power).T for d in (0, 1, 2)]
+                w0, w1, w2 = weights[n]
+                u = np.stack(some["u"].to_list())
+                terms = (np.ones_like(u) @ w0, u @ w0, u * u @ w0, -(u @ w1), -(u * u @ w1) / 2, -(u**3 @ w1) / 3, u @ w2, u * u @ w2)
+                out.append(np.stack(terms, 2).reshape(-1, 8))
+                index += list(np.repeat(some.index, len(centers)))
+                space += list(range(len(centers))) * len(some)
+            flat = part.loc[index, [*keys, "t"]].reset_index(drop=True)
+            flat.insert(len(keys), "space", np.array(space, np.int32))
+            yield pd.concat([flat, pd.DataFrame(np.concatenate(out), columns=[f"a{i}" for i in range(8)])], axis=1)
+
+    kinds = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    flat = rows.mapInPandas(run, f"{kinds}space int, t {rows.schema['t'].dataType.simpleString()}, " + ", ".join(f"a{i} double" for i in range(8)))
+    out = weak_window_columns(flat, [*keys, "space"], halfwidth, stride, {f"a{i}": f"f{i}" for i in range(8)}, {"a1": "target"}, "t", power)
+    whole = sum(c * 2 for d, c in _moments(power, 0)[0].items())  # of the test function over -1 to 1: its antiderivative is odd
+    norm = F.lit(whole * whole * halfwidth * space_halfwidth)
+    return out.select(*keys, "j", "center", "space", *[(F.col(f"f{i}") / norm).alias(f"f{i}") for i in range(8)], (F.col("target") / norm).alias("target"), "n")

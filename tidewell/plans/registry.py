@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import field_queries, gap_queries, propagation_queries, record_queries, regression_queries, series_queries
+from . import evolution_queries, field_queries, gap_queries, propagation_queries, record_queries, regression_queries, series_queries
 
-_MODULES = (series_queries, propagation_queries, record_queries, gap_queries, regression_queries, field_queries)
+_MODULES = (series_queries, propagation_queries, evolution_queries, record_queries, gap_queries, regression_queries, field_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
