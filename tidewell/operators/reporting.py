@@ -8,11 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def clean(x: str | Column) -> Column:
-    """x with NaN as null."""
-    c = F.col(x) if isinstance(x, str) else x
-    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+from .quantiles import clean, quantiles, with_quantiles
 
 
 def finite(*columns: str) -> Column:
@@ -24,49 +20,49 @@ def finite(*columns: str) -> Column:
     return ok
 
 
-def median(x: str) -> Column:
-    return F.percentile(clean(x), 0.5)
-
-
 def core_summary(df: DataFrame, keys: list[str], f1: str = "support_f1", error: str = "coef_error", score: str = "practical_score") -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.avg(clean(f1)).alias("mean_f1"), F.stddev_samp(clean(f1)).alias("std_f1"), median(error).alias("median_error"),
-        F.avg(clean(error)).alias("mean_error"), F.avg(clean(score)).alias("mean_score"), F.count("*").alias("n"),
-    )
+    each = [
+        F.avg(clean(f1)).alias("mean_f1"), F.stddev_samp(clean(f1)).alias("std_f1"), F.avg(clean(error)).alias("mean_error"), F.avg(clean(score)).alias("mean_score"),
+        F.count("*").alias("n"),
+    ]
+    return with_quantiles(df, keys, each, {"median_error": error})
 
 
 def sensitivity_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Mean and median of each metric, and the number of records."""
-    each = [x for m in metrics for x in (F.avg(clean(m)).alias(f"mean_{m}"), median(m).alias(f"median_{m}"))]
-    return df.groupBy(*keys).agg(*each, F.count("*").alias("n"))
+    each = [F.avg(clean(m)).alias(f"mean_{m}") for m in metrics]
+    return with_quantiles(df, keys, [*each, F.count("*").alias("n")], {f"median_{m}": m for m in metrics})
 
 
 def tuning_summary(df: DataFrame, keys: list[str], settings: list[str], error: str) -> DataFrame:
     """Medians of tuning settings, which records of other methods lack, and of the error; groups of a null key are left out."""
     known = df.dropna(subset=keys)
-    return known.groupBy(*keys).agg(*[median(s).alias(f"median_{s}") for s in settings], median(error).alias(f"median_{error}"), F.count(clean(error)).alias("n"))
+    return with_quantiles(known, keys, [F.count(clean(error)).alias("n")], {f"median_{c}": c for c in (*settings, error)})
 
 
 def extended_summary(df: DataFrame, keys: list[str], metric: str, exact: str, seed: str) -> DataFrame:
     """mean, median, min, max, exact count and rate, number of seeds."""
     m = clean(metric)
-    return df.groupBy(*keys).agg(
-        F.avg(m).alias("mean"), F.percentile(m, 0.5).alias("median"), F.min(m).alias("lowest"), F.max(m).alias("highest"),
-        F.sum(F.col(exact).cast("int")).alias("exact_count"), F.avg(F.col(exact).cast("double")).alias("exact_rate"), F.countDistinct(seed).alias("n_seeds"), F.count("*").alias("n"),
-    )
+    each = [
+        F.avg(m).alias("mean"), F.min(m).alias("lowest"), F.max(m).alias("highest"), F.sum(F.col(exact).cast("int")).alias("exact_count"),
+        F.avg(F.col(exact).cast("double")).alias("exact_rate"), F.countDistinct(seed).alias("n_seeds"), F.count("*").alias("n"),
+    ]
+    return with_quantiles(df, keys, each, {"median": metric})
 
 
 def pivot_median(df: DataFrame, rows: list[str], column: str, values: list, metric: str) -> DataFrame:
     """Median of metric: a row for each value of rows, a column for each of the given values."""
-    return df.groupBy(*rows).pivot(column, values).agg(median(metric))
+    return quantiles(df, [*rows, column], {"__median": metric}).groupBy(*rows).pivot(column, values).agg(F.first("__median"))
 
 
 def grouping_sets(df: DataFrame, sets: list[list[str]], metric: str) -> DataFrame:
     """Several groupings of one scan, one below the other; keys outside a grouping are null."""
     keys = list(dict.fromkeys(k for s in sets for k in s))
     m = clean(metric)
-    cols = [[F.col(k) for k in s] for s in sets]
-    return df.groupingSets(cols, *[F.col(k) for k in keys]).agg(F.avg(m).alias("mean"), F.stddev_samp(m).alias("sd"), F.count(m).alias("n"), F.percentile(m, 0.5).alias("median"), F.max(m).alias("highest"))
+    own = [F.struct(F.lit(i).alias("__set"), *[(F.col(k) if k in s else F.lit(None).cast(df.schema[k].dataType)).alias(k) for k in keys]) for i, s in enumerate(sets)]
+    wide = df.select(m.alias("__m"), F.explode(F.array(*own)).alias("s")).select("__m", "s.*")
+    each = [F.avg("__m").alias("mean"), F.stddev_samp("__m").alias("sd"), F.count("__m").alias("n"), F.max("__m").alias("highest")]
+    return with_quantiles(wide, ["__set", *keys], each, {"median": "__m"}).drop("__set")
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,15 +74,20 @@ def complete_groups(df: DataFrame, keys: list[str], ok: Column, size: int) -> Da
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.bool_and(ok).alias("all_ok")).where((F.col("n") == size) & F.col("all_ok")).select(*keys, "n")
 
 
+def _one_to_one(df: DataFrame, keys: list[str], method: str) -> DataFrame:
+    """df, that ends the query with an error if a key occurs twice in one method."""
+    w = Window.partitionBy(*keys)
+    df = df.withColumn("__twice", F.count(method).over(w) > F.size(F.collect_set(method).over(w)))
+    twice = F.raise_error(F.lit("a key occurs twice in one method")).cast(df.schema[keys[0]].dataType)
+    return df.withColumn(keys[0], F.when(F.col("__twice"), twice).otherwise(F.col(keys[0]))).drop("__twice")
+
+
 def paired(df: DataFrame, keys: list[str], method: str, baseline, metrics: list[str], one_to_one: bool = True) -> DataFrame:
     """Every other method's records beside the baseline's with the same keys: method, metrics, and metric_base for each.
 
     With one_to_one, a key that occurs twice in the baseline or in one of the other methods ends the query with an error."""
     if one_to_one:
-        w = Window.partitionBy(*keys)
-        df = df.withColumn("__twice", F.count(method).over(w) > F.size(F.collect_set(method).over(w)))
-        twice = F.raise_error(F.lit("a key occurs twice in one method")).cast(df.schema[keys[0]].dataType)
-        df = df.withColumn(keys[0], F.when(F.col("__twice"), twice).otherwise(F.col(keys[0]))).drop("__twice")
+        df = _one_to_one(df, keys, method)
     base = df.where(F.col(method) == baseline).select(*keys, *[F.col(m).alias(f"{m}_base") for m in metrics])
     return df.where(F.col(method) != baseline).select(*keys, method, *metrics).join(base, keys)
 
@@ -101,20 +102,19 @@ def win_rates(pairs: DataFrame, groups: list[str], error: str = "coef_error", sc
 def paired_deltas(pairs: DataFrame, groups: list[str], seed: str, metric: str, tie: float = 1e-12) -> DataFrame:
     """Mean and median difference, wins and ties, and the standard error of the seeds' means with how many of those win."""
     d = pairs.withColumn("__d", clean(metric) - clean(f"{metric}_base"))
-    whole = d.groupBy(*groups).agg(F.count("__d").alias("n"), F.avg("__d").alias("mean_delta"), F.percentile("__d", 0.5).alias("median_delta"), F.sum((F.col("__d") > tie).cast("int")).alias("wins"), F.sum((F.abs("__d") <= tie).cast("int")).alias("ties"))
+    each = [F.count("__d").alias("n"), F.avg("__d").alias("mean_delta"), F.sum((F.col("__d") > tie).cast("int")).alias("wins"), F.sum((F.abs("__d") <= tie).cast("int")).alias("ties")]
+    whole = with_quantiles(d, groups, each, {"median_delta": "__d"})
     seeds = d.groupBy(*groups, seed).agg(F.avg("__d").alias("__m"))
     sem = seeds.groupBy(*groups).agg((F.stddev_samp("__m") / F.sqrt(F.count("__m"))).alias("seed_se"), F.sum((F.col("__m") > tie).cast("int")).alias("seed_mean_wins"))
     return whole.join(sem, groups)
 
 
 def record_comparisons(df: DataFrame, keys: list[str], method: str, comparators: list, metrics: list[str]) -> DataFrame:
-    """For each comparator: the other methods' records beside it, one below the other."""
-    out = None
-    for c in comparators:
-        p = paired(df, keys, method, c, metrics).withColumn("comparator", F.lit(c))
-        p = p.select(*keys, method, "comparator", *[(F.col(m) - F.col(f"{m}_base")).alias(f"{m}_delta") for m in metrics])
-        out = p if out is None else out.unionByName(p)
-    return out
+    """For each comparator: the other methods' records beside it. One scan and one join for all of them."""
+    checked = _one_to_one(df, keys, method)
+    base = checked.where(F.col(method).isin(comparators)).select(*keys, F.col(method).alias("comparator"), *[F.col(m).alias(f"{m}_base") for m in metrics])
+    p = checked.select(*keys, method, *metrics).join(base, keys).where(F.col(method) != F.col("comparator"))
+    return p.select(*keys, method, "comparator", *[(F.col(m) - F.col(f"{m}_base")).alias(f"{m}_delta") for m in metrics])
 
 
 def seed_sem(df: DataFrame, groups: list[str], seed: str, metric: str) -> DataFrame:

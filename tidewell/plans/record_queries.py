@@ -126,7 +126,7 @@ def rpt_bands(spark, sf_dir):
 
 @query(f"""WITH {RECORDS} SELECT method, round(quantile_cont(coef_error, 0.95), 6) AS p95 FROM rec GROUP BY 1""")
 def rpt_percentile95(spark, sf_dir):
-    return rounded(records(spark, sf_dir).groupBy("method").agg(F.percentile(R.clean("coef_error"), 0.95).alias("p95")))
+    return rounded(R.quantiles(records(spark, sf_dir), ["method"], {"p95": "coef_error"}, 0.95))
 
 
 @query(f"""WITH {RECORDS} SELECT system, method, sum(CASE WHEN noise <= 0 OR noise >= 0.1 THEN 1 ELSE 0 END)::BIGINT AS edge_hits, min(noise) AS lowest, max(noise) AS highest FROM rec GROUP BY ALL""")
