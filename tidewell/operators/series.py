@@ -1,6 +1,9 @@
 """Operators on series: a table with key columns, a time ``t`` and a value ``x`` (names are parameters).
 
-All are windows or equi-joins by key; a series never leaves its key's partition and is never collected.
+Most are windows by key. A series may be longer than a task should hold: those that look at neighbours, at anchors or at
+what came before (differences, gaps, segments, running sums, ``beside`` and all that rests on it) cut series of more than CHUNK_ROWS rows
+into stretches of time (``in_chunks``), work on each alone, and carry over from stretch to stretch what the next needs: the last row, the last
+anchor, a sum. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -17,27 +20,80 @@ def by_time(keys: list[str], t: str = "t"):
     return Window.partitionBy(*keys).orderBy(t)
 
 
+# --- long series -----------------------------------------------------------------------------------
+
+#: Rows of a series that a task takes at once, and the equal cells of time that a longer one is counted in.
+CHUNK_ROWS, CELLS = 1_000_000, 1 << 16
+
+
+def in_chunks(df: DataFrame, keys: list[str], t: str = "t", rows: int | None = None) -> DataFrame:
+    """Adds __k, the keys as one value, and __chunk, the stretch of its series that a row is in: 0 for series of up to rows rows; longer ones
+    are counted by CELLS cells of time, and a stretch ends with the cell in which its rows are full. Rows of one time are in one
+    stretch. Counts and ends do not depend on the order of rows, so a task that runs again gives the same."""
+    rows = CHUNK_ROWS if rows is None else rows
+    d = df.withColumn("__k", F.struct(*keys))
+    time = F.col(t).cast("double")
+    long = d.groupBy("__k").agg(F.count(t).alias("__c"), F.min(time).alias("__t0"), F.max(time).alias("__t1")).where(f"__c > {rows} AND __t1 > __t0").drop("__c")
+    cell = F.least(F.lit(CELLS - 1), F.floor((time - F.col("__t0")) / (F.col("__t1") - F.col("__t0")) * CELLS)).cast("int")
+    counts = d.join(long, "__k").groupBy("__k", "__t0", "__t1", cell.alias("cell")).agg(F.count("*").alias("c"))
+    before = Window.partitionBy("__k").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # CELLS rows at most
+    counts = counts.withColumn("chunk", F.floor(F.coalesce(F.sum("c").over(before), F.lit(0)) / rows))
+    starts = counts.groupBy("__k", "__t0", "__t1", "chunk").agg(F.min("cell").alias("cell"))
+    starts = starts.groupBy("__k", "__t0", "__t1").agg(F.array_sort(F.collect_list("cell")).alias("__starts"))
+    placed = d.join(starts, "__k", "left").withColumn("__cell", F.coalesce(cell, F.lit(0)))
+    chunk = F.when(F.col("__starts").isNull(), 0).otherwise(F.size(F.filter("__starts", lambda s: s <= F.col("__cell"))))
+    return placed.withColumn("__chunk", chunk).drop("__t0", "__t1", "__starts", "__cell")
+
+
+def with_neighbours(df: DataFrame, keys: list[str], columns: list[str], t: str = "t", rows: int | None = None) -> DataFrame:
+    """Adds __before and __after: the given columns of the rows next to each row of its series, as structs; null at its ends."""
+    d, here, w = in_chunks(df, keys, t, rows), F.struct(*columns), Window.partitionBy("__k", "__chunk").orderBy(t)
+    d = d.withColumn("__before", F.lag(here).over(w)).withColumn("__after", F.lead(here).over(w)).withColumn("__place", F.row_number().over(w))
+    last = F.first(F.when(F.col("__after").isNull(), here), ignorenulls=True)
+    edges = d.where("__chunk > 0 OR __after IS NULL").where("__place = 1 OR __after IS NULL").groupBy("__k", "__chunk").agg(F.first(F.when(F.col("__place") == 1, here), ignorenulls=True).alias("first"), last.alias("last"))
+    whole = Window.partitionBy("__k").orderBy("__chunk")  # a row for each stretch
+    edges = edges.withColumn("__last", F.lag("last").over(whole)).withColumn("__first", F.lead("first").over(whole)).where("__last IS NOT NULL OR __first IS NOT NULL").select("__k", "__chunk", "__last", "__first")
+    d = d.join(edges, ["__k", "__chunk"], "left")
+    return d.withColumn("__before", F.coalesce("__before", "__last")).withColumn("__after", F.coalesce("__after", "__first")).drop("__last", "__first", "__place", "__k", "__chunk")
+
+
+def running_sum(df: DataFrame, keys: list[str], value: Column, out: str, t: str = "t", rows: int | None = None, total: str | None = None) -> DataFrame:
+    """Adds the sum of value over its series' rows up to each row, in the order of t; with total also the whole sum."""
+    d, chunk = in_chunks(df, keys, t, rows).withColumn("__v", value), Window.partitionBy("__k", "__chunk")
+    sums = d.groupBy("__k", "__chunk").agg(F.sum("__v").alias("__s"))
+    whole = Window.partitionBy("__k")  # a row for each stretch
+    carried = sums.withColumn("__carry", F.sum("__s").over(whole.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))).withColumn("__total", F.sum("__s").over(whole)).drop("__s")
+    d = d.join(carried, ["__k", "__chunk"])
+    own = F.sum("__v").over(chunk.orderBy(t).rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn(out, F.when(F.col("__carry").isNull(), own).otherwise(F.coalesce(own, F.lit(0).cast(df.select(value).schema[0].dataType)) + F.col("__carry")))
+    if total is not None:
+        d = d.withColumn(total, F.col("__total"))
+    return d.drop("__k", "__chunk", "__v", "__carry", "__total")
+
+
+# --- differences and grids ---------------------------------------------------------------------------
+
+
 def central_difference(df: DataFrame, keys: list[str], t: str = "t", x: str = "x", out: str = "dxdt") -> DataFrame:
     """Interior rows with (x[i+1] - x[i-1]) / (t[i+1] - t[i-1])."""
-    w = by_time(keys, t)
-    df = df.withColumn("__dt", F.lead(t).over(w) - F.lag(t).over(w))
-    return df.withColumn(out, (F.lead(x).over(w) - F.lag(x).over(w)) / F.col("__dt")).where(F.col("__dt").isNotNull()).drop("__dt")
+    d = with_neighbours(df, keys, list(dict.fromkeys([t, x])), t).where("__before IS NOT NULL AND __after IS NOT NULL")
+    slope = (F.col("__after")[x] - F.col("__before")[x]) / (F.col("__after")[t] - F.col("__before")[t])
+    return d.withColumn(out, slope).drop("__before", "__after")
 
 
 def central_difference_arrays(df: DataFrame, keys: list[str], t: str = "t", state: str = "state", out: str = "derivative") -> DataFrame:
     """The same for array-valued states, one row per time."""
-    w = by_time(keys, t)
-    df = df.withColumn("__a", F.lag(state).over(w)).withColumn("__b", F.lead(state).over(w)).withColumn("__dt", F.lead(t).over(w) - F.lag(t).over(w))
-    return df.where(F.col("__dt").isNotNull()).withColumn(out, F.transform(F.arrays_zip("__a", "__b"), lambda p: (p["__b"] - p["__a"]) / F.col("__dt"))).drop("__a", "__b", "__dt")
+    d = with_neighbours(df, keys, [t, state], t).where("__before IS NOT NULL AND __after IS NOT NULL")
+    span = F.col("__after")[t] - F.col("__before")[t]
+    return d.withColumn(out, F.zip_with(F.col("__before")[state], F.col("__after")[state], lambda a, b: (b - a) / span)).drop("__before", "__after")
 
 
 def nodal_derivative(df: DataFrame, keys: list[str], t: str = "t", x: str = "x", out: str = "dxdt") -> DataFrame:
     """Mean of the slopes on both sides; at the ends the one slope there is."""
-    w = by_time(keys, t)
-    back = (F.col(x) - F.lag(x).over(w)) / (F.col(t) - F.lag(t).over(w))
-    ahead = (F.lead(x).over(w) - F.col(x)) / (F.lead(t).over(w) - F.col(t))
-    df = df.withColumn("__b", back).withColumn("__a", ahead)
-    return df.withColumn(out, F.when(F.col("__b").isNull(), F.col("__a")).when(F.col("__a").isNull(), F.col("__b")).otherwise((F.col("__a") + F.col("__b")) / 2)).drop("__a", "__b")
+    d = with_neighbours(df, keys, list(dict.fromkeys([t, x])), t)
+    back = (F.col(x) - F.col("__before")[x]) / (F.col(t) - F.col("__before")[t])
+    ahead = (F.col("__after")[x] - F.col(x)) / (F.col("__after")[t] - F.col(t))
+    return d.withColumn(out, F.when(back.isNull(), ahead).when(ahead.isNull(), back).otherwise((ahead + back) / 2)).drop("__before", "__after")
 
 
 def subsample(df: DataFrame, keys: list[str], factor: int, t: str = "t", keep_last: bool = True, horizon: float | None = None) -> DataFrame:
@@ -57,7 +113,7 @@ def subsample(df: DataFrame, keys: list[str], factor: int, t: str = "t", keep_la
 
 def gaps(df: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
     """Adds gap, the time since the row before."""
-    return df.withColumn("gap", F.col(t) - F.lag(t).over(by_time(keys, t)))
+    return with_neighbours(df, keys, [t], t).withColumn("gap", F.col(t) - F.col("__before")[t]).drop("__before", "__after")
 
 
 def nominal_pairs(df: DataFrame, keys: list[str], t: str = "t", rtol: float = 1e-7, atol: float = 1e-12) -> DataFrame:
@@ -90,16 +146,25 @@ def dense_grid_exact(df: DataFrame, keys: list[str], q: int, t: str = "t") -> Da
     return ends.select(*keys, "__t0", "__t1", m.alias("__m"), F.explode(F.sequence(F.lit(0), m)).alias("i")).select(*keys, "i", (F.col("__t0") + (F.col("__t1") - F.col("__t0")) * F.col("i") / F.col("__m")).alias("t"))
 
 
-def beside(queries: DataFrame, anchors: DataFrame, keys: list[str], t: str, x: str) -> DataFrame:
-    """queries with the anchors before (or at) and after: t_prev, x_prev, t_next, x_next. One shuffle by key for both sides."""
-    numbered = anchors.withColumn("__i", F.row_number().over(by_time(keys, t)) - 1)
-    a = numbered.select(*keys, F.col(t).alias("t"), F.struct(F.col(t).alias("t"), F.col(x).alias("x"), F.col("__i").alias("i")).alias("__a"), F.lit(0).alias("__q"))
+def beside(queries: DataFrame, anchors: DataFrame, keys: list[str], t: str, x: str, rows: int | None = None) -> DataFrame:
+    """queries with the anchors before (or at) and after: t_prev, x_prev, i_prev (its number from 0), t_next, x_next, i_next. Queries and
+    anchors of a stretch of time are put in order together; the last and first anchors of other stretches are carried over."""
+    a = anchors.select(*keys, F.col(t).alias("t"), F.struct(F.col(t).alias("t"), F.col(x).alias("x")).alias("__a"), F.lit(0).alias("__q"))
     q = queries.select(*keys, F.col(t).alias("t"), F.lit(None).cast(a.schema["__a"].dataType).alias("__a"), F.lit(1).alias("__q"))
-    both = a.unionByName(q)
-    prev = Window.partitionBy(*keys).orderBy("t", "__q").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(F.col("t").desc(), F.col("__q").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("__p", F.last("__a", ignorenulls=True).over(prev)).withColumn("__n", F.last("__a", ignorenulls=True).over(after)).where("__q = 1")
-    return both.select(*keys, "t", F.col("__p.t").alias("t_prev"), F.col("__p.x").alias("x_prev"), F.col("__p.i").alias("i_prev"), F.col("__n.t").alias("t_next"), F.col("__n.x").alias("x_next"), F.col("__n.i").alias("i_next"))
+    both, chunk = in_chunks(a.unionByName(q), keys, "t", rows), Window.partitionBy("__k", "__chunk")
+    prev = chunk.orderBy("t", "__q").rowsBetween(Window.unboundedPreceding, 0)
+    after = chunk.orderBy(F.col("t").desc(), F.col("__q").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__p", F.last("__a", ignorenulls=True).over(prev)).withColumn("__i", F.count("__a").over(prev)).withColumn("__n", F.last("__a", ignorenulls=True).over(after))
+    least = both.where("__q = 0").groupBy("__k", "__chunk").agg(F.min_by("__a", "t").alias("first"), F.max_by("__a", "t").alias("last"), F.count("*").alias("c"))
+    stretches = both.select("__k", "__chunk").distinct().join(least, ["__k", "__chunk"], "left")
+    order = Window.partitionBy("__k").orderBy("__chunk")  # a row for each stretch
+    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    carried = stretches.select("__k", "__chunk", F.last("last", ignorenulls=True).over(earlier).alias("__last"), F.first("first", ignorenulls=True).over(later).alias("__first"), F.sum("c").over(earlier).alias("__c"))
+    carried = carried.where("__last IS NOT NULL OR __first IS NOT NULL")
+    both = both.where("__q = 1").join(carried, ["__k", "__chunk"], "left").withColumn("__i", F.col("__i") + F.coalesce("__c", F.lit(0)))
+    both = both.withColumn("__p", F.coalesce("__p", "__last")).withColumn("__n", F.coalesce("__n", "__first"))
+    place = F.when(F.col("__p").isNotNull(), F.col("__i") - 1).cast("int").alias("i_prev"), F.when(F.col("__n").isNotNull(), F.col("__i")).cast("int").alias("i_next")
+    return both.select(*keys, "t", F.col("__p.t").alias("t_prev"), F.col("__p.x").alias("x_prev"), place[0], F.col("__n.t").alias("t_next"), F.col("__n.x").alias("x_next"), place[1])
 
 
 def asof_anchor(queries: DataFrame, anchors: DataFrame, keys: list[str], t: str = "t", x: str = "x", tolerance: float = 1e-10) -> DataFrame:
@@ -199,13 +264,13 @@ def noise_sigma_global(df: DataFrame, keys: list[str], x: str = "x", rel: float
 
 def segment_id(df: DataFrame, keys: list[str], anchor: Column, t: str = "t", out: str = "segment") -> DataFrame:
     """Adds the number of anchors so far."""
-    return df.withColumn(out, F.sum(anchor.cast("int")).over(by_time(keys, t).rowsBetween(Window.unboundedPreceding, 0)))
+    return running_sum(df, keys, anchor.cast("long"), out, t)
 
 
 def cumulative_energy(df: DataFrame, keys: list[str], order: str, x: str = "x", out: str = "fraction") -> DataFrame:
     """Adds the share of the sum of squares up to each row."""
-    run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(F.col(x) ** 2).over(run) / F.greatest(F.sum(F.col(x) ** 2).over(Window.partitionBy(*keys)), F.lit(1e-300)))
+    d = running_sum(df, keys, F.col(x).cast("double") ** 2, "__run", order, total="__whole")
+    return d.withColumn(out, F.col("__run") / F.greatest(F.col("__whole"), F.lit(1e-300))).drop("__run", "__whole")
 
 
 def energy_rank(df: DataFrame, keys: list[str], order: str, x: str = "x", energy: float = 0.99, cap: int = 10) -> DataFrame:
