@@ -1,5 +1,6 @@
 """Operators against plain loops, analytic results and metamorphic rules."""
 
+import hashlib
 import math
 import random
 
@@ -87,6 +88,22 @@ def test_noise_falls_back_to_all_values(spark):
     assert got == pytest.approx({"flat": whole, "one": whole, "wave": 0.1 * math.sqrt(2)})
 
 
+def test_draws_are_normal_and_named(spark):
+    df = spark.range(40_000).select((F.col("id") % 2).alias("k"), (F.col("id") % 4).alias("c"), F.col("id").alias("i"), F.sin(F.col("id") / 7.0).alias("x")).repartition(3)
+    draws = df.select("i", series.normal_draw(F.lit(7), "k", "i").alias("a"), series.normal_draw(F.lit(8), "k", "i").alias("b")).orderBy("i").toPandas()
+    for v in (draws["a"], draws["b"]):
+        assert abs(v.mean()) < 0.02 and abs(v.std() - 1) < 0.02 and abs((v**3).mean()) < 0.05 and abs((v**4).mean() - 3) < 0.15
+    assert abs(np.corrcoef(draws["a"], draws["b"])[0, 1]) < 0.02 and abs(np.corrcoef(draws["a"][1:], draws["a"][:-1])[0, 1]) < 0.02
+    noisy = lambda d: d.orderBy("i").select("i", F.round("noisy", 9).alias("noisy")).collect()
+    one = series.add_noise(df, ["k"], "i", F.lit(3), 0.1, "c")
+    assert noisy(one) == noisy(series.add_noise(df.repartition(11), ["k"], "i", F.lit(3), 0.1, "c")) != noisy(series.add_noise(df, ["k"], "i", F.lit(4), 0.1, "c"))
+    spread = one.groupBy("c").agg((F.stddev(F.col("noisy") - F.col("x")) / F.stddev("x")).alias("r")).collect()
+    assert all(abs(r.r - 0.1) < 0.005 for r in spread)
+    assert [r.noisy for r in noisy(series.add_noise(df, ["k"], "i", F.lit(3), 0.0))] == [round(r.x, 9) for r in df.orderBy("i").collect()]
+    null = spark.createDataFrame([(None, 1, 2.0), (None, 2, 4.0)], "k string, i int, x double")
+    assert series.add_noise(null, ["k"], "i", F.lit(1), 0.5).where("noisy IS NOT NULL").count() == 2
+
+
 def test_weak_windows_are_exact_for_lines_between_samples(spark):
     t = np.array([-2, -1.6, -0.8, -0.45, 0.2, 0.7, 1.3, 2.0])
     x = np.cos(2 * t)
@@ -172,8 +189,45 @@ def test_chord_and_knee(spark):
     assert choose([(1, 9.0), (2, 6.0), (3, 3.0)])[0] == (3, "fallback_min_ebic")
     assert choose([(1, 100.0), (2, 10.0), (3, 9.0), (4, 8.0)])[0] == (2, "elbow_ebic")
     assert choose([(1, 100.0), (2, 99.0), (3, 98.0), (4, 10.0)])[0] == (3, "elbow_ebic")  # below the chord counts too
-    x = np.arange(1, 11.0)
-    assert selection.kneedle(x, 1 - np.exp(-x)) in (2.0, 3.0) and selection.kneedle(x[:2], x[:2]) is None
+
+
+def kneedle(x, y, sensitivity):
+    """The published algorithm as a loop over a sorted curve."""
+    if len(x) < 3 or np.ptp(x) == 0 or np.ptp(y) == 0:
+        return None
+    d = (y - y.min()) / np.ptp(y) - (x - x.min()) / np.ptp(x)
+    peaks = [i for i in range(1, len(d) - 1) if d[i] >= d[i - 1] and d[i] >= d[i + 1]]
+    for i, end in zip(peaks, [*peaks[1:], len(d)]):
+        if any(d[j] < d[i] - sensitivity / (len(x) - 1) for j in range(i + 1, end)):
+            return x[i]
+    return None
+
+
+@pytest.mark.parametrize("sensitivity", [1.0, 0.3, 4.0])
+def test_knees_match_the_loop(spark, sensitivity):
+    rng = random.Random(8)
+    fronts = {g: [(s, round(rng.choice([100 / s, 100 - s * s, 50.0]) + rng.random() * rng.choice([0, 1, 20]), 3)) for s in sorted(rng.sample(range(1, 15), rng.randrange(1, 12)))] for g in range(60)}
+    df = spark.createDataFrame([(g, s, e, s) for g, f in fronts.items() for s, e in f], "g int, support_size int, ebic double, candidate_id int")
+    got = {r.g: r for r in selection.select_models(df, ["g"], sensitivity=sensitivity).collect()}
+    plain = {r.g: r for r in selection.chord_elbow(selection.pareto_front(df, ["g"]), ["g"]).collect()}
+    found = 0
+    for g, f in fronts.items():
+        x, y = np.array([s for s, _ in f], float), np.array([e for _, e in f])
+        knee = kneedle(x, y.max() - y, sensitivity)
+        found += knee is not None
+        assert (got[g].support_size, got[g].selection_rule) == ((knee, "elbow_ebic") if knee is not None else (plain[g].support_size, plain[g].selection_rule)), f
+    assert len(got) == 60 and found > 0
+
+
+def test_failed_fits_are_rows(spark):
+    df = spark.createDataFrame([("flat", 0.0, 0.0, 1.0), ("nan", float("nan"), 1.0, 1.0), ("good", 1.0, 0.0, 2.0), ("good", 0.0, 1.0, 3.0)], "k string, a double, b double, y double")
+    path = regression.stlsq_path(regression.gram(df, ["a", "b"], ["y"], ["k"]), ["a", "b"], ["y"], [0.1, 9.0], ["k"], alpha=0.0)
+    rows = path.collect()
+    assert len(rows) == 3 * 2 * 2 and {(r.k, r.status == "ok") for r in rows} == {("flat", False), ("nan", False), ("good", True)}
+    assert all((r.coef is None) == (r.rss is None) == (r.status != "ok") for r in rows)
+    lost = regression.failures(path, ["k"]).collect()
+    assert sorted((r.k, r.threshold_index) for r in lost) == [("flat", 0), ("flat", 1), ("nan", 0), ("nan", 1)] and all(r.status.startswith("fail: ") for r in lost)
+    assert {r.k for r in selection.candidate_path(path, ["k"]).collect()} == {"good"}
 
 
 def test_selection_does_not_see_the_truth(spark):
@@ -201,6 +255,7 @@ def test_ordered_methods(spark):
     df = spark.createDataFrame([("b", 1), ("z", 2), ("a", 3)], "m string, v int")
     assert [tuple(r) for r in reporting.ordered_by(df, "m", ["z", "q"]).orderBy("position").collect()] == [("z", 0, 2), ("q", 1, None)]
     assert [tuple(r) for r in reporting.ordered_by(df, "m", ["z", "q"], append=True).orderBy("position").collect()] == [("z", 0, 2), ("q", 1, None), ("a", 2, 3), ("b", 3, 1)]
+    assert [tuple(r) for r in reporting.ordered_by(df, "m", ["z", "q"], append=True, met="v").orderBy("position").collect()] == [("z", 0, 2), ("q", 1, None), ("b", 2, 1), ("a", 3, 3)]
 
 
 def test_reports_do_not_depend_on_partitions(spark):
@@ -228,6 +283,32 @@ def test_files(spark, tmp_path):
     assert files.read_manifest(spark, str(tmp_path / "m"))["study"] == "x"
 
 
+def test_bad_cells_batches_and_digests(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    spark.createDataFrame([("a", "1", "x"), ("b", "", "0.5"), ("c", "2.7e", "nan"), ("d", "zz", "")], "system string, seed string, noise string").coalesce(1).write.option("header", True).csv(path)
+    back = files.read_csv(spark, path, bad="bad")
+    assert {r.system: (r.seed, r.bad) for r in back.collect()} == {"a": (1, ["noise=x"]), "b": (None, []), "c": (None, ["seed=2.7e"]), "d": (None, ["seed=zz"])}
+    assert {tuple(r) for r in files.bad_cells(back, "bad").collect()} == {("noise", 1, "x"), ("seed", 2, "2.7e")}
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "system string, seed int")
+    for batch, rows in (("one", df), ("two", df), ("one", df), ("one", df.limit(1))):  # a batch that is written again
+        files.append_batch(rows, str(tmp_path / "b"), batch)
+    assert sorted(r.batch for r in spark.read.parquet(str(tmp_path / "b")).collect()) == ["one", "two", "two"]
+    top = tmp_path / "files"
+    (top / "deep").mkdir(parents=True)
+    content = {"one.txt": b"abc", "deep/two.bin": bytes(range(256)), "three.txt": b"3"}
+    for name, data in content.items():
+        (top / name).write_bytes(data)
+    before = files.file_digests(spark, str(top)).cache()
+    assert {r.path.split("/files/")[1]: (r.bytes, r.sha256) for r in before.collect()} == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in content.items()}
+    assert files.changed_files(before, files.file_digests(spark, str(top))).count() == 0
+    (top / "one.txt").write_bytes(b"abd")
+    (top / "three.txt").unlink()
+    (top / "four.txt").write_bytes(b"4")
+    change = {r.path.split("/files/")[1]: r.change for r in files.changed_files(before, files.file_digests(spark, str(top))).collect()}
+    assert change == {"one.txt": "changed", "three.txt": "missing", "four.txt": "new"}
+    assert files.file_digests(spark, str(top), "*.bin").count() == 1
+
+
 def test_failed_tasks_are_done_again_once(spark):
     tasks = records.parameter_grid(spark, system=["a", "b"], seed=[1, 2])
     done = spark.createDataFrame([("a", 1)], "system string, seed int")

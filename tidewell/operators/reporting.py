@@ -163,17 +163,18 @@ def bands(column: str, cuts: list[tuple[float, str]], otherwise: str) -> Column:
     return out.otherwise(otherwise)
 
 
-def ordered_by(df: DataFrame, column: str, values: list, out: str = "position", append: bool = False) -> DataFrame:
+def ordered_by(df: DataFrame, column: str, values: list, out: str = "position", append: bool = False, met: str | None = None) -> DataFrame:
     """A row for each of the given values in their order, with nulls where df has none. With append, values outside the
-    list follow, in their own order."""
+    list follow, by the least of the column met (the order in which they were first met), or in their own order."""
     position = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column)).cast("int") - 1
     order = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(v).cast(df.schema[column].dataType) for v in values])).alias(out, column))
     found = order.join(df, column, "left")
     if not append:
         return found
     others = df.where(F.coalesce(position, F.lit(-1)) < 0)
-    rank = F.dense_rank().over(Window.orderBy(column)) + len(values) - 1
-    names = others.select(column).distinct().withColumn(out, rank.cast("int"))
+    names = others.groupBy(column).agg(F.min(met or column).alias("__met"))  # a row for each value
+    rank = F.dense_rank().over(Window.orderBy("__met", column)) + len(values) - 1
+    names = names.withColumn(out, rank.cast("int")).select(column, out)
     return found.unionByName(others.join(names, column))
 
 

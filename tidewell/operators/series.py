@@ -262,6 +262,32 @@ def noise_sigma_global(df: DataFrame, keys: list[str], x: str = "x", rel: float
     return df.groupBy(*keys).agg((F.lit(rel) * F.greatest(F.stddev_pop(x), F.lit(eps))).alias("sigma"))
 
 
+def normal_draw(*counter) -> Column:
+    """A standard normal number that depends on the given values alone: two uniform ones from the halves of their MD5, turned by
+    Box and Muller. Rows with other values are independent, whatever task they are in."""
+    name = F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in (F.col(c) if isinstance(c, str) else c for c in counter)]))
+
+    def part(start: int) -> Column:  # 52 bits, never 0
+        return (F.conv(F.substring(name, start, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+    return F.sqrt(-2 * F.log(part(1))) * F.cos(2 * math.pi * part(14))
+
+
+def add_noise(df: DataFrame, keys: list[str], row: str, seed: Column, rel: float, channel: str | None = None, x: str = "x", out: str = "noisy") -> DataFrame:
+    """Adds x with a draw of its channel's deviation (``noise_sigma``), or of the whole series' without a channel (``noise_sigma_global``). The
+    draw is named by seed, keys, channel and row, which tells the rows of a channel apart, so that a record with one seed has one noise; x itself
+    where rel is not above 0."""
+    if rel <= 0:
+        return df.withColumn(out, F.col(x).cast("double"))
+    on = [*keys, channel] if channel else list(keys)
+    sigma = noise_sigma(df, keys, channel, x, rel) if channel else noise_sigma_global(df, keys, x, rel)
+    named = sigma.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(on)], F.col("sigma").alias("__sigma"))
+    same = F.lit(True)
+    for i, k in enumerate(on):
+        same = same & F.col(k).eqNullSafe(F.col(f"__{i}"))
+    return df.join(named, same).withColumn(out, F.col(x) + F.col("__sigma") * normal_draw(seed, *on, row)).drop(*[f"__{i}" for i in range(len(on))], "__sigma")
+
+
 def segment_id(df: DataFrame, keys: list[str], anchor: Column, t: str = "t", out: str = "segment") -> DataFrame:
     """Adds the number of anchors so far."""
     return running_sum(df, keys, anchor.cast("long"), out, t)

@@ -210,10 +210,70 @@ SELECT l_returnflag, h AS threshold, round(f1, 6) AS support_f1, round(err, 6) A
 FROM g QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY f1 / (1 + err) DESC, f1 DESC, err, i) = 1""")
 def fit_best_threshold(spark, sf_dir):
     """Of the thresholded fits of price on quantity and discount the one nearest to a known law."""
-    path = None
-    for i, h in enumerate(THRESHOLDS):
-        one = G.stlsq_two(_items(spark, sf_dir), "q", "d", "y", h, ["l_returnflag"])
-        one = one.select("l_returnflag", F.lit(i).alias("threshold_index"), F.lit(h).alias("threshold"), F.posexplode(F.array("coef_a", "coef_b")).alias("term", "coef"))
-        path = one if path is None else path.unionByName(one)
+    fits = G.stlsq_two(_items(spark, sf_dir), "q", "d", "y", list(THRESHOLDS), ["l_returnflag"])
+    path = fits.select("l_returnflag", "threshold_index", "threshold", F.posexplode(F.array("coef_a", "coef_b")).alias("term", "coef"))
     truth = X.parameter_grid(spark, t=[0]).select(F.posexplode(F.array(F.lit(0.75), F.lit(0.0))).alias("term", "true_coef"))
     return rounded(G.best_threshold(path, truth, ["l_returnflag"]))
+
+
+# --- models of three terms, which SQL can follow through all passes --------------------------------------
+
+THREE = (0.0, 0.05, 0.3, 0.6, 0.9)
+
+
+def _minor(on: list[int]) -> str:
+    """Solutions of the scaled normal equations with these of the three columns, by Cramer's rule, as SQL for x0, x1, x2."""
+    m = lambda i, j: f"(m{min(i, j)}{max(i, j)}{' + 1e-8' if i == j else ''})"
+    det = {1: lambda a: a[0][0], 2: lambda a: f"({a[0][0]} * {a[1][1]} - {a[0][1]} * {a[1][0]})"}
+    det[3] = lambda a: "(" + " + ".join(f"{a[0][c]} * ({a[1][(c + 1) % 3]} * {a[2][(c + 2) % 3]} - {a[1][(c + 2) % 3]} * {a[2][(c + 1) % 3]})" for c in range(3)) + ")"
+    whole = [[m(i, j) for j in on] for i in on]
+    found = {k: f"{det[len(on)]([[f'r{i}' if j == k else m(i, j) for j in on] for i in on])} / {det[len(on)](whole)} / n{k}" for k in on}
+    return ", ".join(f"{found.get(k, '0.0')} AS x{k}" for k in range(3))
+
+
+_COLS = "qdv"
+_ABC = ", ".join([f"sum({a} * {b}) AS a{i}{j}" for i, a in enumerate(_COLS) for j, b in enumerate(_COLS) if i <= j] + [f"sum({a} * y) AS b{i}" for i, a in enumerate(_COLS)])
+_SCALED = ", ".join([f"a{i}{j} / sqrt(a{i}{i} * a{j}{j}) AS m{i}{j}" for i in range(3) for j in range(i, 3)] + [f"b{i} / sqrt(a{i}{i}) AS r{i}, sqrt(a{i}{i}) AS n{i}" for i in range(3)])
+_SUBSETS = " UNION ALL ".join(f"SELECT l_returnflag, {mask} AS mask, {_minor([i for i in range(3) if mask >> i & 1])} FROM sc" for mask in range(1, 8)) + " UNION ALL SELECT l_returnflag, 0, 0.0, 0.0, 0.0 FROM sc"
+_NEXT = " + ".join(f"(CASE WHEN p.mask & {1 << i} > 0 AND abs(x{i}) >= h THEN {1 << i} ELSE 0 END)" for i in range(3))
+#: A pass drops a term or is the last, so that the fourth leaves what all twelve leave.
+_PASSES = ", ".join(f"p{k} AS (SELECT p.l_returnflag, h, i, {_NEXT} AS mask FROM p{k - 1} p JOIN sb USING (l_returnflag, mask))" for k in range(1, 5))
+PATH3 = f"""{ITEMS}, gs AS (SELECT l_returnflag, count(*) AS n, sum(y * y) AS yy, {_ABC} FROM it GROUP BY 1), sc AS (SELECT l_returnflag, {_SCALED} FROM gs), sb AS ({_SUBSETS}),
+p0 AS (SELECT l_returnflag, h, i, 7 AS mask FROM gs, (SELECT unnest({list(THREE)}::DOUBLE[]) AS h, unnest(range(0, {len(THREE)})) AS i)), {_PASSES},
+pa AS (SELECT l_returnflag, i, h, mask, n, x0, x1, x2, greatest(0, yy - 2 * (x0 * b0 + x1 * b1 + x2 * b2) + x0 * x0 * a00 + x1 * x1 * a11 + x2 * x2 * a22 + 2 * (x0 * x1 * a01 + x0 * x2 * a02 + x1 * x2 * a12)) AS rss
+ FROM p4 JOIN sb USING (l_returnflag, mask) JOIN gs USING (l_returnflag))"""
+
+
+def _path3(spark, sf_dir):
+    g = G.gram(_items(spark, sf_dir), list(_COLS), ["y"], ["l_returnflag"])
+    return G.stlsq_path(g, list(_COLS), ["y"], list(THREE), ["l_returnflag"])
+
+
+@query(f"""WITH {PATH3} SELECT l_returnflag, i::INT AS threshold_index, h AS threshold, 'y' AS equation, unnest([0, 1, 2]) AS term, unnest(['q', 'd', 'v']) AS feature, round(unnest([x0, x1, x2]), 6) AS coef, round(rss, 4) AS rss, n, 'ok' AS status FROM pa""")
+def stlsq_path_three(spark, sf_dir):
+    p = _path3(spark, sf_dir)
+    return p.withColumn("coef", F.round("coef", 6)).withColumn("rss", F.round("rss", 4))
+
+
+CANDIDATES3 = f"""{PATH3}, su AS (SELECT *, (abs(x0) > 1e-10)::INT + (abs(x1) > 1e-10)::INT + (abs(x2) > 1e-10)::INT AS k, concat_ws(';', CASE WHEN abs(x0) > 1e-10 THEN '0' END, CASE WHEN abs(x1) > 1e-10 THEN '1' END, CASE WHEN abs(x2) > 1e-10 THEN '2' END) AS terms FROM pa),
+dd AS (SELECT *, min(rss) OVER (PARTITION BY l_returnflag, terms ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM su),
+cp AS (SELECT *, n * ln(greatest(rss, 1e-12) / n) + k * ln(n) AS bic, CASE k WHEN 1 THEN ln(3) WHEN 2 THEN ln(3) ELSE 0 END AS lc FROM dd WHERE best IS NULL OR rss < best - 1e-12)"""
+
+
+@query(f"WITH {CANDIDATES3} SELECT l_returnflag, i::INT AS threshold_index, k AS support_size, terms AS active_terms, round(rss, 4) AS rss, round(bic, 4) AS bic, round(bic + 2 * lc, 4) AS ebic FROM cp")
+def candidate_path_three(spark, sf_dir):
+    c = M.information_criteria(M.candidate_path(_path3(spark, sf_dir), ["l_returnflag"]), 3)
+    return rounded(c.select("l_returnflag", "threshold_index", F.col("support_size").cast("int").alias("support_size"), "active_terms", "rss", "bic", "ebic"), 4)
+
+
+@query(f"""WITH {CANDIDATES}, {FRONT}, kn AS (SELECT *, max(ebic) OVER w - ebic AS y, count(*) OVER w AS m, min(support_size) OVER w AS x0, max(support_size) OVER w AS x1 FROM fr WINDOW w AS (PARTITION BY g)),
+kd AS (SELECT *, CASE WHEN m >= 3 AND x1 > x0 AND max(y) OVER (PARTITION BY g) > min(y) OVER (PARTITION BY g) THEN (y - min(y) OVER (PARTITION BY g)) / (max(y) OVER (PARTITION BY g) - min(y) OVER (PARTITION BY g)) - (support_size - x0)::DOUBLE / (x1 - x0) END AS d FROM kn),
+kp AS (SELECT *, coalesce(d >= lag(d) OVER w AND d >= lead(d) OVER w, false) AS peak FROM kd WINDOW w AS (PARTITION BY g ORDER BY support_size)), kq AS (SELECT *, sum(peak::INT) OVER (PARTITION BY g ORDER BY support_size) AS after FROM kp),
+kf AS (SELECT *, peak AND coalesce(min(CASE WHEN NOT peak THEN d END) OVER (PARTITION BY g, after) < d - 1.0 / (m - 1), false) AS falls FROM kq), kk AS (SELECT *, min(CASE WHEN falls THEN support_size END) OVER (PARTITION BY g) AS knee FROM kf),
+ch AS (SELECT *, arg_min(y, support_size) OVER w AS y0, arg_max(y, support_size) OVER w AS y1, greatest(max(y) OVER w - min(y) OVER w, 1e-12) AS span FROM kk WINDOW w AS (PARTITION BY g)),
+cd AS (SELECT *, round(abs((y - y0 - (y1 - y0) * (support_size - x0) / greatest(x1 - x0, 1)::DOUBLE) / span), 9) AS off FROM ch), cf AS (SELECT *, m <= 2 OR max(off) OVER (PARTITION BY g) <= 0 AS flat FROM cd),
+se AS (SELECT *, CASE WHEN knee IS NOT NULL OR NOT flat THEN 'elbow_ebic' WHEN m = 1 THEN 'single' ELSE 'fallback_min_ebic' END AS selection_rule FROM cf QUALIFY CASE WHEN knee IS NOT NULL THEN support_size = knee ELSE row_number() OVER (PARTITION BY g ORDER BY CASE WHEN flat THEN ebic ELSE -off END, support_size) = 1 END)
+SELECT g, support_size, candidate_id, round(ebic, 4) AS ebic, round(delta, 4) AS delta_from_best, selection_rule FROM se""")
+def select_models_knee(spark, sf_dir):
+    s = M.select_models(_candidates(spark, sf_dir), ["g"])
+    return rounded(s.select("g", "support_size", "candidate_id", "ebic", "delta_from_best", "selection_rule"), 4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import series as S
-from .inputs import DAILY, EVENTS, daily, events
+from .inputs import DAILY, EVENTS, daily, events, table
 
 QUERIES, SQL = {}, {}
 
@@ -205,3 +205,22 @@ def ts_asof_tolerance(spark, sf_dir):
     q = ev.select("user_id", (F.col("t") * (1 - 1e-13)).alias("t"))
     found = S.asof_anchor(q, ev.withColumn("v", F.col("event_id").cast("double")), ["user_id"], x="v")
     return r6(found.select("user_id", F.col("x_prev").cast("long").alias("event_id"), "t_prev"), "t_prev")
+
+
+_DRAW = "sqrt(-2 * ln((('0x' || substr(h, 1, 13))::BIGINT + 0.5) / 4503599627370496)) * cos(2 * pi() * ((('0x' || substr(h, 14, 13))::BIGINT + 0.5) / 4503599627370496))"
+
+
+@query(f"""WITH c AS (SELECT user_id, event_type, stddev_samp(value) AS s, count(*) AS n FROM events GROUP BY ALL), w AS (SELECT user_id, greatest(stddev_pop(value), 1e-12) AS p FROM events GROUP BY 1),
+sg AS (SELECT user_id, event_type, 0.1 * CASE WHEN coalesce(s, 0) < 1e-12 THEN p ELSE s END AS sigma FROM c JOIN w USING (user_id)), h AS (SELECT *, md5(concat_ws('|', '7', user_id, event_type, event_id)) AS h FROM events)
+SELECT user_id, event_id, round(value + sigma * {_DRAW}, 6) AS noisy FROM h JOIN sg USING (user_id, event_type)""")
+def ts_add_noise(spark, sf_dir):
+    """Each event's value with a draw of a tenth of its type's deviation for that user, the same on every run."""
+    noisy = S.add_noise(table(spark, sf_dir, "events"), ["user_id"], "event_id", F.lit(7), 0.1, "event_type", "value")
+    return r6(noisy.select("user_id", "event_id", "noisy"), "noisy")
+
+
+@query(f"""WITH sg AS (SELECT user_id, 0.1 * greatest(stddev_pop(value), 1e-12) AS sigma FROM events GROUP BY 1), h AS (SELECT *, md5(concat_ws('|', '7', user_id, event_id)) AS h FROM events)
+SELECT user_id, event_id, round(value + sigma * {_DRAW}, 6) AS noisy FROM h JOIN sg USING (user_id)""")
+def ts_add_noise_global(spark, sf_dir):
+    noisy = S.add_noise(table(spark, sf_dir, "events"), ["user_id"], "event_id", F.lit(7), 0.1, None, "value")
+    return r6(noisy.select("user_id", "event_id", "noisy"), "noisy")
