@@ -219,6 +219,36 @@ def test_knees_match_the_loop(spark, sensitivity):
     assert len(got) == 60 and found > 0
 
 
+def test_oracle_fits_match_loops(spark):
+    """The best threshold of eight-term fits and both residuals, group by group; a group without a fit keeps its row."""
+    rng, names, steps = np.random.default_rng(6), [f"f{i}" for i in range(8)], [0.0, 0.1, 0.5, 1.5]
+    law = {"f1": -1.0, "f6": 0.7}
+    rows = {k: rng.normal(size=(80, 8)) * [1, 2, 0.5, 1, 1, 3, 1, 0.1] for k in ("a", "b")}
+    ys = {k: a @ np.array([0, -1, 0, 0, 0, 0, 0.7, 0]) + (0.3 if k == "b" else 0.01) * rng.normal(size=80) for k, a in rows.items()}
+    table = [(k, *map(float, r), float(y)) for k in rows for r, y in zip(rows[k], ys[k])] + [("lost", *[float("nan")] * 8, 1.0)]
+    df = spark.createDataFrame(table, "k string, " + ", ".join(f"{n} double" for n in names) + ", y double").repartition(3)
+    got = {r.k: r for r in regression.oracle_fit(df, names, "y", law, steps, ["k"]).collect()}
+    assert set(got) == {"a", "b", "lost"} and got["lost"].status.startswith("fail: ") and got["lost"].threshold is None and got["lost"].truth_residual is None
+    truth = np.array([law.get(n, 0.0) for n in names])
+    for k, a in rows.items():
+        y, best = ys[k], None
+        norms = np.linalg.norm(a, axis=0)
+        for h in steps:
+            on, x = np.ones(8, bool), np.zeros(8)
+            for _ in range(13):
+                x = np.zeros(8)
+                s = a[:, on] / norms[on]
+                x[on] = np.linalg.solve(s.T @ s + 1e-8 * np.eye(on.sum()), s.T @ y) / norms[on]
+                on = on & (np.abs(x) >= h)
+            hit, want = np.abs(x) > 1e-10, np.abs(truth) > 1e-10
+            f1, err = 2 * (hit & want).sum() / (hit.sum() + want.sum()), np.linalg.norm(x - truth) / np.linalg.norm(truth)
+            if best is None or (f1 / (1 + err), f1, -err) > best[0]:
+                best = (f1 / (1 + err), f1, -err), h, np.linalg.norm(y - a @ x) / np.linalg.norm(y)
+        r = got[k]
+        assert r.status == "ok" and r.n == 80 and r.threshold == best[1] and np.allclose([r.practical_score, r.support_f1, -r.coef_error], best[0], atol=1e-6)
+        assert abs(r.fit_residual - best[2]) < 1e-6 and abs(r.truth_residual - np.linalg.norm(y - a @ truth) / np.linalg.norm(y)) < 1e-6
+
+
 def test_failed_fits_are_rows(spark):
     df = spark.createDataFrame([("flat", 0.0, 0.0, 1.0), ("nan", float("nan"), 1.0, 1.0), ("good", 1.0, 0.0, 2.0), ("good", 0.0, 1.0, 3.0)], "k string, a double, b double, y double")
     path = regression.stlsq_path(regression.gram(df, ["a", "b"], ["y"], ["k"]), ["a", "b"], ["y"], [0.1, 9.0], ["k"], alpha=0.0)

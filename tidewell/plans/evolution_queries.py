@@ -7,7 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import evolution as E
+from ..operators import library as L
 from ..operators import modes as M
+from ..operators import regression as G
 from ..operators import series as S
 from .inputs import table
 
@@ -181,6 +183,44 @@ def weak_space_time(spark, sf_dir):
     return out.select("label", "j", "space", *[F.round(c, 6).alias(c) for c in (*[f"f{i}" for i in range(8)], "target")])
 
 
+def _weak(spark, sf_dir):
+    return S.weak_fields(fields(spark, sf_dir), ["label"], 2 * math.pi, 6.0, 5.0, SPACE, 0.7)
+
+
+#: A law that nothing here follows; the fits are held against it.
+LAW = {"f1": -0.05, "f6": 0.02}
+STEPS = (0.0, 0.01, 0.04, 0.2)
+_ROWS = f"""wr AS (SELECT label, 6 * {_TIME.format(k=1, d=0)} / {_NORM} AS a, 6 * {_TIME.format(k=6, d=0)} / {_NORM} AS b, -{_TIME.format(k=1, d=1)} / {_NORM} AS y FROM tm GROUP BY label, j, c)"""
+
+
+@query(f"""WITH {WEAK}, {_ROWS}, s AS (SELECT label, count(*) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS sy, sum(y * y) AS yy FROM wr GROUP BY 1),
+m AS (SELECT *, ab / sqrt(aa * bb) AS r, ay / sqrt(aa) AS ra, sy / sqrt(bb) AS rb FROM s), f AS (SELECT *, ((1 + 1e-8) * ra - r * rb) / ((1 + 1e-8) * (1 + 1e-8) - r * r) / sqrt(aa) AS fa, ((1 + 1e-8) * rb - r * ra) / ((1 + 1e-8) * (1 + 1e-8) - r * r) / sqrt(bb) AS fb,
+ra / (1 + 1e-8) / sqrt(aa) AS oa, rb / (1 + 1e-8) / sqrt(bb) AS ob FROM m), h AS (SELECT *, list_position({list(STEPS)}, h) AS i FROM f, (SELECT unnest({list(STEPS)}::DOUBLE[]) AS h)),
+c AS (SELECT *, CASE WHEN abs(fa) >= h AND abs(fb) >= h THEN fa WHEN abs(fa) >= h AND abs(oa) >= h THEN oa ELSE 0 END AS ca, CASE WHEN abs(fa) >= h AND abs(fb) >= h THEN fb WHEN abs(fb) >= h AND NOT abs(fa) >= h AND abs(ob) >= h THEN ob ELSE 0 END AS cb FROM h),
+e AS (SELECT *, (abs(ca) > 1e-10)::INT AS p, (abs(cb) > 1e-10)::INT AS q, sqrt(pow(ca + 0.05, 2) + pow(cb - 0.02, 2)) / sqrt(0.0029) AS err FROM c), g AS (SELECT *, 2.0 * (p + q) / greatest(2.0 * (p + q) + (2 - p - q), 1e-12)::DOUBLE AS f1 FROM e)
+SELECT label, n, h AS threshold, round(f1, 6) AS support_f1, round(err, 6) AS coef_error, round(f1 / (1 + err), 6) AS practical_score, p = 1 AND q = 1 AS exact_support,
+round(sqrt(greatest(0, yy + 0.1 * ay - 0.04 * sy + 0.0025 * aa + 0.0004 * bb - 0.002 * ab) / yy), 6) AS truth_residual, round(sqrt(greatest(0, yy - 2 * (ca * ay + cb * sy) + ca * ca * aa + cb * cb * bb + 2 * ca * cb * ab) / yy), 6) AS fit_residual, 'ok' AS status
+FROM g QUALIFY row_number() OVER (PARTITION BY label ORDER BY f1 / (1 + err) DESC, f1 DESC, err, i) = 1""")
+def fit_weak_two(spark, sf_dir):
+    """The best fit of the weak time derivative on two weak terms, with the residuals of law and fit."""
+    out = G.oracle_fit(_weak(spark, sf_dir), ["f1", "f6"], "target", LAW, list(STEPS), ["label"])
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" and c != "threshold" else c for c, t in out.dtypes])
+
+
+@query()
+def fit_weak_all(spark, sf_dir):
+    """The same on all eight weak terms; tests/test_operators.py compares the fit with NumPy."""
+    return G.oracle_fit(_weak(spark, sf_dir), [f"f{i}" for i in range(8)], "target", LAW, list(STEPS), ["label"])
+
+
+@query()
+def fit_pde_all(spark, sf_dir):
+    """The best fit of the time derivative on the eight terms at all points of all interior vectors."""
+    d = S.central_difference_arrays(fields(spark, sf_dir), ["label"], "t", "field")
+    lib = L.pde_library(d, 2 * math.pi, ["label", "t", "derivative"], "field").withColumn("y", F.get("derivative", "j"))
+    return G.oracle_fit(lib.drop("derivative"), [f"f{i}" for i in range(8)], "y", LAW, list(STEPS), ["label"])
+
+
 @query()
 def modes_of_labels(spark, sf_dir):
     """The modes with half of the energy of each label's vectors, at most eight; tests/test_modes.py compares them."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..operators import evolution as E
 from ..operators import library as L
-from ..operators import regression as G
+from ..operators import modes as M
 from .inputs import table
 
 QUERIES, SQL = {}, {}
@@ -51,60 +52,42 @@ def lib_spatial_subset(spark, sf_dir):
     return s.select("vec_id", "place", F.col("value").cast("double").alias("value"))
 
 
-def _modes(spark, sf_dir, rank: int):
-    """(fields with their centred values c, mean, modes [n, rank]): means and products come from one aggregate of partial
-    matrices; only a matrix of the fields' size comes to the driver, whatever the number of fields."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    n = e.select(F.size("embedding")).first()[0]
-    names = [f"c{i}" for i in range(n)]
-    wide = e.select(F.lit(1.0).alias("one"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
-    row = G.gram_arrays(wide, ["one", *names], []).first()
-    g = np.zeros((n + 1, n + 1))
-    g[np.triu_indices(n + 1)] = row["g"]
-    mean = g[0, 1:] / g[0, 0]
-    cov = g[1:, 1:] / g[0, 0]
-    cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-    _, vectors = np.linalg.eigh(cov)
-    modes = vectors[:, ::-1][:, :rank]
-    modes = modes * np.sign(modes[np.abs(modes).argmax(0), range(rank)])
-    return e.select("vec_id", F.array(*[F.col("embedding")[i].cast("double") - F.lit(float(m)) for i, m in enumerate(mean)]).alias("c")), mean, modes
+def _fields(spark, sf_dir):
+    """All vectors as the fields of one run."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.lit(0).alias("run"), F.col("embedding").cast("array<double>").alias("field"))
 
 
-def _dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-
-
-def _literal(values):
-    return F.array(*[F.lit(float(v)) for v in values])
+def _basis(f):
+    return F.broadcast(M.basis(f, ["run"], rank=3))  # one row
 
 
 @query()
 def pod_project(spark, sf_dir):
-    """Coordinates of all fields on the three leading modes."""
-    centred, _, modes = _modes(spark, sf_dir, 3)
-    return centred.select("vec_id", *[F.round(_dot(F.col("c"), _literal(m)), 6).alias(f"z{k}") for k, m in enumerate(modes.T)])
+    """Coordinates of all fields on the three leading modes; tests/test_modes.py compares modes with NumPy."""
+    f = _fields(spark, sf_dir)
+    z = M.project(f, _basis(f), ["run"])
+    return z.select("vec_id", *[F.round(F.get("z", k), 6).alias(f"z{k}") for k in range(3)])
 
 
 @query()
 def pod_reconstruct(spark, sf_dir):
     """All fields from their coordinates on the three leading modes, with the error that is left."""
-    centred, mean, modes = _modes(spark, sf_dir, 3)
-    z = centred.withColumn("z", F.array(*[_dot(F.col("c"), _literal(m)) for m in modes.T]))
-    back = F.zip_with(_literal(mean), F.transform(F.array(*[_literal(row) for row in modes]), lambda row: _dot(row, F.col("z"))), lambda m, v: m + v)
-    off = F.aggregate(F.zip_with(F.col("c"), F.transform(F.array(*[_literal(row) for row in modes]), lambda row: _dot(row, F.col("z"))), lambda c, v: (c - v) * (c - v)), F.lit(0.0), lambda s, v: s + v)
-    return z.select("vec_id", F.transform(back, lambda v: F.round(v, 6)).alias("field"), F.round(F.sqrt(off), 6).alias("error"))
+    f = _fields(spark, sf_dir)
+    b = _basis(f)
+    back = M.restore(M.project(f, b, ["run"]), b, ["run"], out="back")
+    off = F.aggregate(F.zip_with("field", "back", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    return back.select("vec_id", F.transform("back", lambda v: F.round(v, 6)).alias("field"), F.round(F.sqrt(off), 6).alias("error"))
 
 
 @query("""WITH s AS (SELECT list(embedding ORDER BY vec_id) AS es FROM embeddings), e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
 SELECT a.i::INT AS i, b.i::INT AS j, round(covar_pop(a.v, b.v), 6) AS cov FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL""")
 def pod_covariance(spark, sf_dir):
     """All covariances of the components, from partial matrices."""
-    e = table(spark, sf_dir, "embeddings").select("embedding")
-    n = e.select(F.size("embedding")).first()[0]
-    wide = e.select(F.lit(1.0).alias("one"), *[F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(n)])
-    g = G.gram_arrays(wide, ["one", *[f"c{i}" for i in range(n)]], [])
-    cells = g.select("g", F.col("n").alias("rows"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("*", F.explode(F.sequence(F.col("i"), F.lit(n - 1))).alias("j"))
-    at = lambda i, j: F.get("g", (i * (2 * (n + 1) - i - 1) / 2 + j).cast("int"))  # noqa: E731  cell (i, j) of the upper triangle of n + 1 columns
+    x = _fields(spark, sf_dir).select("run", F.concat(F.array(F.lit(1.0)), "field").alias("x"))
+    g = E.summed_products(x, ["run"], "x").select("g", F.col("n").alias("rows"), "width")
+    n = F.col("width") - 1
+    cells = g.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select("*", F.explode(F.sequence(F.col("i"), n - 1)).alias("j"))
+    at = lambda i, j: F.get("g", (i * (2 * F.col("width") - i - 1) / 2 + j).cast("int"))  # noqa: E731  cell (i, j) of the upper triangle
     zero = F.lit(0)
     cov = at(F.col("i") + 1, F.col("j") + 1) / F.col("rows") - at(zero, F.col("i") + 1) * at(zero, F.col("j") + 1) / F.col("rows") ** 2
     return cells.select("i", "j", F.round(cov, 6).alias("cov"))

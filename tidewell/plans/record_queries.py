@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import records as X
 from ..operators import reporting as R
-from .inputs import KEYS, RECORDS, records
+from .inputs import KEYS, RECORDS, records, table
 
 QUERIES, SQL = {}, {}
 
@@ -258,3 +258,12 @@ def rpt_matched_controls(spark, sf_dir):
     matched = X.common_keys(records(spark, sf_dir), KEYS, "method", ["A", "N", "R"])
     pairs = R.paired(matched, KEYS, "method", "N", ["coef_error"])
     return rounded(R.clustered_se(pairs.withColumn("delta", F.col("coef_error") - F.col("coef_error_base")), ["method"], "seed", "delta"))
+
+
+@query("""SELECT p_partkey, string_split(p_type, ' ')[1] AS first_word, len(string_split(p_type, ' '))::INT AS words, array_to_string(list_sort(string_split(p_type, ' ')), ';') AS sorted_words,
+regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS slug FROM part""")
+def rec_text_lists(spark, sf_dir):
+    """Words of a text as a list, joined in order, and a name made of what a file name may hold."""
+    words, slug = F.split("p_type", " "), F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "_")
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", words[0].alias("first_word"), F.size(words).alias("words"), F.array_join(F.array_sort(words), ";").alias("sorted_words"), F.regexp_replace(slug, "^_|_$", "").alias("slug"))
