@@ -461,6 +461,22 @@ def test_license_scan_of_all_templates_in_one_file(spark):
     assert all(license_texts.TEXTS[i][0] in by[300 + i].labels.split(",") for i in edited) and len(edited) > 5
 
 
+def test_license_bodies_and_many_notices(spark):
+    """Licences that stand as whole files, with their titles and copyright lines; and a file of many notices."""
+    head = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+    bodies = {
+        "gpl-3": f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {head} Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast,",
+        "lgpl": f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {head} This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below. 0. Additional Definitions.",
+        "mpl": "Mozilla Public License Version 2.0 ================================== 1. Definitions -------------- 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software. 1.2. \"Contributor Version\" means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor's Contribution. 1.3.",
+    }
+    bsd = next(t for name, _, t in license_texts.TEXTS if name == "bsd-2")
+    rows = [(i, t) for i, t in enumerate(bodies.values())] + [(10, "\n\n".join(f"Copyright {1900 + i} {bsd}" for i in range(150))), (11, head)]
+    by = {r.doc_id: r for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in enumerate(bodies):
+        assert name in by[i].labels.split(",")
+    assert "bsd-2" in by[10].labels.split(",") and by[10].score == pytest.approx(1.0) and by[11].labels == ""
+
+
 def test_license_labels_match_brute_force(spark):
     """Of texts that are cut and mixed at random."""
     rng, rows = random.Random(7), [(0, None), (1, ""), (2, "permission " * 300)]

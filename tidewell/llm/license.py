@@ -109,21 +109,27 @@ def _matches(index: list[tuple], weight: list[float], templates) -> Column:
     key_at = F.array(*[F.array(*[F.struct(F.lit(mandatory(templates).index(m)).alias("m"), F.lit(_offset(text, m)).alias("o")) for m in phrases]) for text, _, phrases in templates])
 
     def run(s, v):
-        """Votes of one template that begin within SLACK words of the first of them make a run; places are noted once they suffice."""
+        """Votes of one template that begin within SLACK words of the first of them make a run: one stretch of the sorted votes. A run is
+        noted, with where it stands among the votes, once its votes suffice, and its length once it is over."""
         goes_on = (s.t == v.t) & (v.begins - s.begins <= SLACK)
         total = F.when(goes_on, s.total).otherwise(F.lit(0.0)) + v.idf
-        begins, enough = F.when(goes_on, s.begins).otherwise(v.begins), F.get(need, v.t) - 1e-9
-        new = (total >= enough) & (~goes_on | (s.total < enough))
-        found = F.when(new, F.concat(s.found, F.array(F.struct(v.t.alias("t"), begins.alias("begins"))))).otherwise(s.found)
-        return F.struct(v.t.alias("t"), begins.alias("begins"), total.alias("total"), found.alias("found"))
+        begins, first = F.when(goes_on, s.begins).otherwise(v.begins), F.when(goes_on, s.first).otherwise(s.n)
+        over = F.when(goes_on, s.found).otherwise(closed(s))
+        return F.struct(v.t.alias("t"), begins.alias("begins"), total.alias("total"), first.alias("first"), (s.n + 1).alias("n"), over.alias("found"))
 
-    start = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("begins"), F.lit(0.0).alias("total"), F.array().cast("array<struct<t:int,begins:int>>").alias("found"))
+    def closed(s):
+        """The runs found, and the last one if its votes suffice."""
+        enough = (s.t >= 0) & (s.total >= F.get(need, F.greatest(s.t, F.lit(0))) - 1e-9)
+        return F.when(enough, F.concat(s.found, F.array(F.struct(s.t.alias("t"), s.begins.alias("begins"), s.first.alias("first"), (s.n - s.first).alias("n"))))).otherwise(s.found)
+
+    none = F.array().cast("array<struct<t:int,begins:int,first:int,n:int>>")
+    start = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("begins"), F.lit(0.0).alias("total"), F.lit(0).alias("first"), F.lit(0).alias("n"), none.alias("found"))
 
     def verified(all_votes):
-        runs = F.aggregate(all_votes, start, run, lambda s: s.found)
+        runs = F.aggregate(all_votes, start, run, closed)
 
         def score(r):
-            mine = F.filter(all_votes, lambda v: (v.t == r.t) & (v.begins >= r.begins) & (v.begins <= r.begins + SLACK))
+            mine = F.slice(all_votes, r.first + 1, r.n)
             once = F.array_distinct(F.transform(mine, lambda v: F.struct(v.at.alias("at"), v.idf.alias("idf"))))
             total = F.aggregate(once, F.lit(0.0), lambda s, v: s + v.idf)
             stands = F.forall(F.get(key_at, r.t), lambda k: F.exists(F.get("mandatory", k.m), lambda p: F.abs(p - k.o - r.begins) <= SLACK))

@@ -193,4 +193,47 @@ TEXTS = (
         long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND
         MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.""",
     ),
+    # How the long licences themselves begin, after their copyright lines.
+    (
+        "gpl-3", ("the gnu general public license is a free copyleft license",),
+        """Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The
+        GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software
+        and other practical works are designed to take away your freedom to share and change the works.""",
+    ),
+    (
+        "agpl-3", ("the gnu affero general public license is a free copyleft license",),
+        """Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The
+        GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to
+        ensure cooperation with the community in the case of network server software.""",
+    ),
+    (
+        "gpl-2", ("this general public license applies to most of the free software foundation",),
+        """Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The
+        licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public
+        License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its
+        users. This General Public License applies to most of the Free Software Foundation's software and to any other program whose
+        authors commit to using it.""",
+    ),
+    (
+        "lgpl", ("this license the lesser general public license applies to some",),
+        """By contrast, the GNU General Public Licenses are intended to guarantee your freedom to share and change free software--to make sure
+        the software is free for all its users. This license, the Lesser General Public License, applies to some specially designated
+        software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it.""",
+    ),
+    (
+        "lgpl", ("this version of the gnu lesser general public license incorporates",),
+        """This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public
+        License, supplemented by the additional permissions listed below.""",
+    ),
+    (
+        "mpl", ("mozilla public license version 2 0",),
+        """Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes
+        to the creation of, or owns Covered Software. 1.2. "Contributor Version" means the combination of the Contributions of others
+        (if any) used by a Contributor and that particular Contributor's Contribution.""",
+    ),
+    (
+        "epl-2", ("provided under the terms of this eclipse public license",),
+        """Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT"). ANY
+        USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT.""",
+    ),
 )
