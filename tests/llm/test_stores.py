@@ -84,6 +84,8 @@ def test_sniff_corrects_and_carves(spark):
     assert {r.doc_id: r.media_type for r in out.collect()} == {1: "image/png", 2: "text/plain", 3: None, 4: "audio/wav", 5: "a/b"}
     (part,) = media.carve(out).collect()
     assert part.doc_id == 4 and part.part_type == "image/png" and bytes(part.part) == FILES["image/png"]
+    named = media.carve(out.withColumnsRenamed({"declared": "part_type", "doc_id": "part"})).first()
+    assert named.docs_part == 4 and named.docs_part_type == "audio/wav" and named.part_type == "image/png" and bytes(named.part) == FILES["image/png"]
 
 
 def test_captures(spark):

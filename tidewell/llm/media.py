@@ -3,13 +3,14 @@
 An Aho-Corasick automaton finds all magic bytes in one pass over a value. At each hit the format's validator follows
 the structure (chunks, blocks, lengths, checksums) and either gives the length of a whole file or rejects the hit. A
 file at the start of the value is the value's type, which corrects the declared one; files elsewhere are embedded and
-can be carved. Whatever is inside an accepted file belongs to it, unless it ends before the hit.
+can be carved, those within another file's data too; only a signature that is part of an accepted file's own header is not a file.
 
 ``store`` puts bytes into a container without loss, as 8-bit mono samples of a WAV file; ``samples`` reads them back.
 
 Defined results: a null text is an empty payload, padded with zeros to 64 bytes; a null value has type null and nothing
 found; a value that no validator accepts keeps its declared type; equal values give equal results; an empty table
-gives an empty result; further columns are kept by ``sniff``, which replaces columns named media_type or media_found.
+gives an empty result; further columns are kept by ``sniff``, which replaces columns named media_type or media_found, and by ``carve``,
+where those named part, part_type or part_offset get the prefix docs_, once more while that name is taken.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_slices, stored
+from .common import free_name, in_slices, stored
 
 # Magic bytes and the types they stand for.
 MAGIC = (
@@ -284,6 +285,9 @@ def sniff(df: DataFrame, media_col: str = "media", declared_col: str = "declared
 
 def carve(sniffed: DataFrame, media_col: str = "media") -> DataFrame:
     """A row for each embedded file of a sniffed table: its columns, and part_type, part_offset and part (bytes)."""
+    for c in ("part_type", "part_offset", "part"):
+        other = free_name(sniffed, c, "docs_")
+        sniffed, media_col = sniffed.withColumnRenamed(c, other), other if media_col == c else media_col
     inside = sniffed.withColumn("__f", F.explode(F.filter("media_found", lambda f: f.offset > 0)))
     part = F.substring(F.col(media_col), F.col("__f.offset").cast("int") + 1, F.col("__f.length").cast("int"))
     return inside.withColumn("part_type", F.col("__f.type")).withColumn("part_offset", F.col("__f.offset")).withColumn("part", part).drop("__f")

@@ -7,7 +7,8 @@ substring: equal passages get the same interior symbols, whatever surrounds them
 words that determined it. A passage that repeats holds, at both places, the same symbols among those determined
 by its own words alone; so a window of words can only repeat if every such symbol of it occurs twice at least. Spark
 counts the symbols of the top level over all documents. Windows that the shared symbols leave (and those
-too short-ranged to hold any symbol, as inside long runs) are verified: Spark counts their exact 96-bit hashes.
+too short-ranged to hold any symbol, as inside long runs) are verified: Spark counts their two
+hashes, of 64 and 31 bits; two windows with equal hashes of both are taken as equal.
 
 The texts are dealt to chunks of bounded size once. A group in any shuffle holds a row for a chunk at most, however
 often a passage repeats.
@@ -110,7 +111,7 @@ def open_windows(first: np.ndarray, left: np.ndarray, right: np.ndarray, shared:
 
 
 def window_hashes(names: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes, of 64 and 32 bits, of the windows at starts."""
+    """Two independent hashes, of 64 and 31 bits, of the windows at starts."""
     up, down = powers(len(names) + 1)
     out = []
     for salt in (U64(0x9FB21C651E98DF25), U64(0xC2B2AE3D27D4EB4F)):
