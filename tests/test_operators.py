@@ -339,6 +339,13 @@ def test_bad_cells_batches_and_digests(spark, tmp_path):
     assert files.file_digests(spark, str(top), "*.bin").count() == 1
 
 
+def test_combinations_are_of_short_tables(spark):
+    a, b = spark.range(3).withColumnRenamed("id", "a"), spark.range(4).withColumnRenamed("id", "b")
+    assert records.combinations(a, b).count() == 12
+    with pytest.raises(ValueError):
+        records.combinations(a, b, most=3)
+
+
 def test_failed_tasks_are_done_again_once(spark):
     tasks = records.parameter_grid(spark, system=["a", "b"], seed=[1, 2])
     done = spark.createDataFrame([("a", 1)], "system string, seed int")

@@ -16,8 +16,12 @@ def parameter_grid(spark: SparkSession, **axes: list) -> DataFrame:
     return df
 
 
-def combinations(*tables: DataFrame) -> DataFrame:
-    """All combinations of rows of parameter tables (a few values each)."""
+def combinations(*tables: DataFrame, most: int = 10_000) -> DataFrame:
+    """All combinations of rows of parameter tables (a few values each). Tables after the first are held by each task, and more than most rows of one
+    are an error."""
+    for other in tables[1:]:
+        if (n := other.limit(most + 1).count()) > most:
+            raise ValueError(f"a parameter table has over {n - 1} rows; at most {most} are held by each task")
     return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), tables)
 
 
