@@ -1,9 +1,17 @@
+import bisect
+import itertools
+import math
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewell.llm import mixing, sharding
+from tidewell.llm.common import uniform
+
+from .conftest import words
 
 
 def count(text):
@@ -116,3 +124,58 @@ def test_shards_are_even_with_hot_keys(spark):
         if r.doc_id % 50 == 1 and r.doc_id % 3:
             small[r.text_crc32].add(r.shard)
     assert all(len(s) == 1 for s in small.values())
+
+
+def plain_shards(rows, shards):
+    """The shard and slot of each (key, id, size, u, h): splitters, heavy keys, placing and filling as loops. u: the row's place in the
+    sample, h: the hash that splits keys."""
+    total = sum(r[2] for r in rows)
+    per = min(sharding.MAX_RANGES_PER_SHARD, max(sharding.RANGES_PER_SHARD, total // (shards * sharding.RANGE_BYTES)))
+    ranges, share, quota = shards * per, max(1.0, total / (shards * per)), max(1.0, total / shards)
+    sample = sorted(k for k, _, size, u, _ in rows if u < size * (sharding.SAMPLES_PER_RANGE / share))
+    bounds = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
+    placed = {k: bisect.bisect_right(bounds, k) for k, *_ in rows}
+    in_range, of_key = Counter(), Counter()
+    for k, _, size, _, _ in rows:
+        in_range[placed[k]] += size
+        of_key[k] += size
+    heavy = {k for k in of_key if in_range[placed[k]] > 1.5 * share and of_key[k] > share}
+    units = defaultdict(list)
+    for i, (k, ident, size, _, h) in enumerate(rows):
+        units[placed[k], k if k in heavy else None, h % math.ceil(of_key[k] / share) if k in heavy else 0].append(i)
+    low = lambda v: (v is not None, v or 0)  # noqa: E731  nulls first
+    pieces = Counter()
+    piece_of = {u: (u[0], u[1], u[2] if u[1] is not None and of_key[u[1]] > quota else None) for u in units}
+    for u, members in units.items():
+        pieces[piece_of[u]] += sum(rows[i][2] for i in members)
+    home, loads = {}, [0] * shards
+    for p, size in sorted(pieces.items(), key=lambda x: (x[1], x[0][0], low(x[0][1]), low(x[0][2])), reverse=True):
+        if size > quota / 32:
+            home[p] = loads.index(min(loads))
+            loads[home[p]] += size
+    room = [max(0.0, quota - x) for x in loads]
+    upto = list(itertools.accumulate(x / (sum(room) or 1.0) for x in room))
+    small = sorted((p for p in pieces if p not in home), key=lambda p: (p[0], low(p[1]), low(p[2])))
+    whole, done = sum(pieces[p] for p in small), 0
+    for p in small:
+        home[p] = min(shards - 1, sum(x <= (done + pieces[p] / 2) / whole for x in upto))
+        done += pieces[p]
+    out, filled = {}, Counter()
+    for u in sorted(units, key=lambda u: (u[0], low(u[1]), u[2])):
+        for i in sorted(units[u], key=lambda i: (rows[i][0], rows[i][1] or "")):
+            shard = home[piece_of[u]]
+            out[i] = shard, filled[shard]
+            filled[shard] += 1
+    return out
+
+
+@pytest.mark.parametrize("shards", [3, 24])
+def test_shards_match_plain_loops(spark, shards):
+    rng = random.Random(12)
+    texts = [words(rng, rng.randrange(1, 60)) for _ in range(700)] + ["one text that many share " * 3] * 400 + [words(rng, 3000)] * 3 + [words(rng, 60_000), "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    key, ident = F.xxhash64(F.coalesce("text", F.lit(""))), F.col("doc_id").cast("string")
+    known = df.select("doc_id", key.alias("k"), ident.alias("i"), sharding.record_size(F.col("text")).alias("s"), uniform(F.lit(29), key, ident).alias("u"), F.xxhash64(F.lit(23), ident).alias("h")).orderBy("doc_id").collect()
+    want = plain_shards([(r.k, r.i, r.s, r.u, r.h) for r in known], shards)
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shard_index(df, shards).collect()}
+    assert got == {r.doc_id: want[n] for n, r in enumerate(known)} and len({s for s, _ in got.values()}) == shards
