@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.llm import decontam, license, license_texts, lm, neardup, quality, substring
-from tidewell.llm.common import span_hashes, text_buffers, word_spans
+from tidewell.llm.common import mix64, span_hashes, text_buffers, word_spans
 
 from .conftest import words
 
@@ -223,6 +223,61 @@ def test_quality_on_held_out_texts(spark, empty):
     assert quality.classify(empty, df.select("doc_id", "quality"), df).count() == 0
 
 
+def plain_features(text):
+    """Slots of the byte n-grams and of the marks of repeated words, as sets."""
+    data, found = (text or "").encode(), set()
+    for k in range(1, 5):
+        for i in range(len(data) - k + 1):
+            gram = data[i]
+            for c in data[i + 1 : i + k]:
+                gram = (gram * 257 + c + 1) % 2**32
+            found.add(((gram * 0x9E3779B1 + k * 0x05EBCA6B) % 2**32) >> (32 - quality.FEATURE_BITS))
+    w = split(text)
+    for k in range(1, 4):
+        if any(len({*w[i : i + k + 1]}) == 1 for i in range(len(w) - k)):
+            found.add(int(mix64(np.array([k + 7_000_000], np.uint64))[0]) >> (64 - quality.FEATURE_BITS))
+    return sorted(found)
+
+
+def test_quality_matches_plain_loops(spark):
+    """Log-count ratios, the dual descent in the same order, the curve and the scores, by loops over sets and dicts."""
+    rng, rows = random.Random(3), []
+    for i in range(90):
+        w = words(rng, rng.randrange(4, 25), 60)
+        rows.append((i, w if i % 3 else f"{w} spam spam {'spam ' * rng.randrange(4)}", int(i % 3 > 0) if rng.random() < 0.9 else 0))
+    rows += [(90, None, 0), (91, "", 1), (92, "é\U0001f600 é", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(df.drop("quality"), df.select("doc_id", "quality"))
+    slots = {i: plain_features(t) for i, t, _ in rows}
+    good = {i: q == 1 for i, _, q in rows}
+    counts = Counter((good[i], s) for i in slots for s in slots[i])
+    seen = {s for _, s in counts}
+    total = {c: quality.SIZE + sum(n for (g, _), n in counts.items() if g == c) for c in (False, True)}
+    ratio = {s: math.log((counts[True, s] + 1) / total[True]) - math.log((counts[False, s] + 1) / total[False]) if counts[True, s] + counts[False, s] >= 2 else 0.0 for s in seen}
+    order = [r.doc_id for r in df.orderBy(F.xxhash64(F.lit(11), "doc_id")).collect()]
+    norm = math.sqrt(sum(ratio[s] ** 2 for i in order for s in slots[i]) / len(order) + 1e-12)
+    scale = {s: r / norm for s, r in ratio.items()}
+    train, held = [i for n, i in enumerate(order) if n % 5 != 4], [i for n, i in enumerate(order) if n % 5 == 4]
+    share = {c: len(train) / (2 * max(1, sum(good[i] == c for i in train))) for c in (False, True)}
+    w, bias, alpha, shuffled = dict.fromkeys(seen, 0.0), 0.0, dict.fromkeys(train, 0.0), np.random.default_rng(5)
+    for _ in range(quality.EPOCHS):
+        for i in (train[n] for n in shuffled.permutation(len(train))):
+            y = 1.0 if good[i] else -1.0
+            slope = y * (sum(w[s] * scale[s] for s in slots[i]) + bias) - 1.0
+            new = min(max(alpha[i] - slope / (sum(scale[s] ** 2 for s in slots[i]) + 1.0), 0.0), quality.COST * share[good[i]])
+            step, alpha[i] = (new - alpha[i]) * y, new
+            bias += step
+            for s in slots[i]:
+                w[s] += step * scale[s]
+    margin = {i: sum(w[s] * scale[s] for s in slots[i]) + bias for i in slots}
+    assert model["bias"] == pytest.approx(bias, abs=1e-6)
+    n1, n0 = sum(good[i] for i in held), sum(not good[i] for i in held)
+    off = [1 / (1 + math.exp(-(model["a"] * margin[i] + model["b"]))) - ((n1 + 1) / (n1 + 2) if good[i] else 1 / (n0 + 2)) for i in held]
+    assert abs(sum(off)) < 1e-3 and abs(sum(o * margin[i] for o, i in zip(off, held))) < 2e-3  # where the curve's likelihood is greatest
+    for r in quality.score(df, model).collect():
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(model["a"] * margin[r.doc_id] + model["b"]))), abs=1e-4)
+
+
 def test_dual_descent_separates():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 20, 6) + (0 if i % 2 else 15)) for i in range(200)]
