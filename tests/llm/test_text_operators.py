@@ -203,6 +203,18 @@ def test_held_out_texts_score_above_the_base(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) and len(held) > 100
 
 
+def test_all_training_texts_are_counted_in_every_order(spark, monkeypatch):
+    rows = [(i, words(random.Random(i), 12, 90)) for i in range(1500)]
+    seen, build = [], lm.build
+    monkeypatch.setattr(lm, "build", lambda parts, bits: seen.append(parts) or build(parts, bits))
+    lm.scores(spark.createDataFrame(rows, "doc_id long, text string"))
+    train = sum(len(t) + 1 for i, t in rows if zlib.crc32(str(i).encode()) % 10)  # with the end mark
+    orders = Counter()
+    for part, body in seen[0]:
+        orders[part >> 16] += int(np.frombuffer(body, np.int64).sum()) if part < 0 else int(lm._unpacked(body)[1].sum())
+    assert orders == {k: train for k in range(-1, len(lm.ORDERS))}
+
+
 # --- 5: quality ----------------------------------------------------------------------------------
 
 
