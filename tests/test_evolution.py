@@ -113,6 +113,14 @@ def powered(k, f):
     return (v * np.exp(f * np.log(values))) @ np.linalg.inv(v)
 
 
+def test_a_state_is_computed_once_however_many_modes(spark, forms):
+    """An expression as state, such as coordinates on modes, must not be repeated for each eigenvalue and part."""
+    units = spark.createDataFrame([("a", [1.0, 2.0])], "k string, x array<double>")
+    state = F.transform("x", lambda v: v * 7.25)
+    plan = units.join(forms, "k").select(E.evolve(state, F.col("modes"), F.col("reads"), F.lit(0.5)).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("7.25") == 1
+
+
 @pytest.mark.parametrize("strategy", E.STRATEGIES)
 def test_reconstructions_match_loops(spark, states, data, strategy):
     lifted = E.polynomial_lift(states, 3, 1)

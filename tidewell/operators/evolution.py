@@ -297,15 +297,19 @@ def evolve(x: Column, modes: Column, reads: Column, steps: Column) -> Column:
     """The real readout of state x after so many steps (parts of one, or negative), as an array."""
     f = F.round(steps, 12)  # equal parts of a step stay equal
 
-    def mode(m):
+    def turned(m, re, im):
         size, angle = F.exp(m["growth"] * f), m["phase"] * f
-        re, im = _dot(x, m["right_re"]), _dot(x, m["right_im"])
         return F.struct((size * (re * F.cos(angle) - im * F.sin(angle))).alias("re"), (size * (re * F.sin(angle) + im * F.cos(angle))).alias("im"))
 
+    def mode(m, state):  # the coordinates are computed once, as is the state
+        both = F.struct(_dot(state, m["right_re"]).alias("re"), _dot(state, m["right_im"]).alias("im"))
+        return F.transform(F.array(both), lambda c: turned(m, c["re"], c["im"])).getItem(0)
+
     def read(d):
         return F.transform(reads, lambda r: _dot(F.transform(d, lambda z: z["re"]), r["re"]) - _dot(F.transform(d, lambda z: z["im"]), r["im"]))
 
-    return F.transform(F.array(F.transform(modes, mode)), read).getItem(0)  # the modes' coordinates are computed once
+    carried = F.transform(F.array(x), lambda state: F.transform(modes, lambda m: mode(m, state)))
+    return F.transform(carried, read).getItem(0)
 
 
 STRATEGIES = ("local_reset", "global_rollout", "residual_corrected", "two_sided")
