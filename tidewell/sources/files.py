@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +51,9 @@ def append_batch(df: DataFrame, path: str, batch: str, column: str = "batch") ->
 
 def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, bytes, sha256) of the files below a folder, at any depth. Each file is read whole by a task (2 GB at most) and only its
-    digest leaves it. Spark passes over empty files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    digest leaves it. Spark passes over empty files. Each call reads the files anew: its plan has a name of its own, so that it is
+    not answered from an earlier call's rows that are cached."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).where(F.lit(uuid.uuid4().hex) != "")
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
